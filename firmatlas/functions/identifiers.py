@@ -11,7 +11,7 @@ UNIT_NUMBER = r"^[0-9]\.[0-9]{3}\.[0-9]{3}\.[0-9]{3}$"
 BRANCH_PREFIX = "9."
 
 # Fixed value: the characters trimmed as blank space in source texts.
-BLANK = r"[\s   -     　﻿]"
+BLANK = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
 def strip_blanks(c: Column) -> Column:

@@ -5,29 +5,60 @@ Narrow expressions over the given tables; only activities need a join (line -> o
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from firmatlas.functions.identifiers import entity_kind
+RUBRIC_POS = (
+    "cast(concat(l_linenumber, lpad(l_partkey, 12, '0'), lpad(l_suppkey, 10, '0'), "
+    "lpad(cast(round(l_extendedprice * 100) as bigint), 12, '0')) as decimal(38, 0))"
+)
+NACE_CODE = "cast(10000 + (p_key * 7919) % 89999 as string)"
 
-ENTITY_COLUMNS = ["entityNumber", "activityGroupCode", "naceVersion", "naceCode", "classification"]
 
-
-def nine(c: Column) -> Column:
-    digits = F.lpad(c.cast("string"), 9, "0")
-    return F.concat_ws(
-        ".", F.substring(digits, 1, 3), F.substring(digits, 4, 3), F.substring(digits, 7, 3)
+def nine(key: str) -> str:
+    return (
+        f"regexp_replace(lpad(cast({key} as string), 9, '0'), "
+        "'^([0-9]{3})([0-9]{3})([0-9]{3})$', '$1.$2.$3')"
     )
 
 
-def company(c: Column) -> Column:
-    return F.concat(F.lit("0"), nine(c))
+def company(key: str) -> str:
+    return f"concat('0', {nine(key)})"
+
+
+def unit(prefix: str, key: str) -> str:
+    return f"concat('{prefix}', {nine(key)})"
+
+
+class RegistryTables(Mapping):
+    """The nine registry tables by name, each built when it is first asked for."""
+
+    ATTRIBUTES = {
+        "Code": "code",
+        "Enterprise": "enterprise",
+        "Establishment": "establishment",
+        "Branch": "branch",
+        "KBOAddress": "address",
+        "KBOContact": "contact",
+        "Denomination": "denomination",
+        "Activity": "activity",
+        "Meta": "meta",
+    }
 
+    def __init__(self, views: TestViews, activity: str = "activity"):
+        self.views = views
+        self.attributes = {**self.ATTRIBUTES, "Activity": activity}
 
-def unit(prefix: str, c: Column) -> Column:
-    return F.concat(F.lit(prefix), nine(c))
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self.views, self.attributes[name])
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.attributes)
+
+    def __len__(self) -> int:
+        return len(self.attributes)
 
 
 class TestViews:
@@ -38,273 +69,214 @@ class TestViews:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._read: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-
-    def tables(self) -> dict[str, DataFrame]:
-        return {
-            "Code": self.code,
-            "Enterprise": self.enterprise,
-            "Establishment": self.establishment,
-            "Branch": self.branch,
-            "KBOAddress": self.address,
-            "KBOContact": self.contact,
-            "Denomination": self.denomination,
-            "Activity": self.activity,
-            "Meta": self.meta,
-        }
-
-    def market_tables(self) -> dict[str, DataFrame]:
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
+
+    def tables(self) -> RegistryTables:
+        return RegistryTables(self)
+
+    def market_tables(self) -> RegistryTables:
         """As ``tables``; activities keep repeated rows, which the hits make distinct anyway."""
-        return {**self.tables(), "Activity": self.activity_links(self.activity_raw)}
+        return RegistryTables(self, "activity_rows")
 
     @cached_property
     def enterprise(self) -> DataFrame:
-        return self.table("customer").select(
-            company(F.col("c_custkey")).alias("enterpriseNumber"),
-            F.when(F.col("c_acctbal") >= 0, "AC").otherwise("ST").alias("KBOstatusCode"),
-            F.lpad((F.col("c_nationkey") % 8).cast("string"), 3, "0").alias("juridicalSituationCode"),
-            F.when(F.col("c_custkey") % 2 == 0, "2").otherwise("1").alias("typeOfEnterpriseCode"),
-            F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("juridicalFormCode"),
-            F.when(F.col("c_custkey") % 8 == 0, F.col("c_mktsegment")).alias("juridicalFormCACCode"),
-            F.date_add(F.lit("1990-01-01").cast("date"), (F.col("c_custkey") % 9000).cast("int"))
-            .cast("timestamp_ntz")
-            .alias("startDate"),
+        return self.table("customer").selectExpr(
+            f"{company('c_custkey')} as enterpriseNumber",
+            "if(c_acctbal >= 0, 'AC', 'ST') as KBOstatusCode",
+            "lpad(cast(c_nationkey % 8 as string), 3, '0') as juridicalSituationCode",
+            "if(c_custkey % 2 = 0, '2', '1') as typeOfEnterpriseCode",
+            "if(c_custkey % 4 <> 0, c_mktsegment, null) as juridicalFormCode",
+            "if(c_custkey % 8 = 0, c_mktsegment, null) as juridicalFormCACCode",
+            "cast(date_add(date'1990-01-01', cast(c_custkey % 9000 as int)) as timestamp_ntz) as startDate",
         )
 
     @cached_property
     def establishment(self) -> DataFrame:
-        return (
-            self.table("orders")
-            .filter(F.col("o_orderkey") % 3 == 0)
-            .select(
-                unit("2.", F.col("o_orderkey")).alias("establishmentNumber"),
-                F.col("o_orderdate").alias("startDate"),
-                company(F.col("o_custkey")).alias("enterpriseNumber"),
-            )
+        return self.table("orders").where("o_orderkey % 3 = 0").selectExpr(
+            f"{unit('2.', 'o_orderkey')} as establishmentNumber",
+            "o_orderdate as startDate",
+            f"{company('o_custkey')} as enterpriseNumber",
         )
 
     @cached_property
     def branch(self) -> DataFrame:
-        return (
-            self.table("orders")
-            .filter(F.col("o_orderkey") % 3 == 2)
-            .select(
-                unit("9.", F.col("o_orderkey")).alias("id"),
-                F.col("o_orderdate").alias("startDate"),
-                company(F.col("o_custkey")).alias("enterpriseNumber"),
-            )
+        return self.table("orders").where("o_orderkey % 3 = 2").selectExpr(
+            f"{unit('9.', 'o_orderkey')} as id",
+            "o_orderdate as startDate",
+            f"{company('o_custkey')} as enterpriseNumber",
         )
 
     @cached_property
     def activity_raw(self) -> DataFrame:
-        order, line = F.col("o_orderkey"), F.col("l_linenumber")
-        entity = (
-            F.when(order % 3 == 0, unit("2.", order))
-            .when(order % 3 == 1, company(F.col("o_custkey")))
-            .otherwise(unit("9.", order))
-        )
-        version = F.when(F.col("l_returnflag") == "A", "2003").when(
-            F.col("l_returnflag") == "N", "2008"
-        )
-        return (
-            self.table("lineitem")
-            .join(self.table("orders"), F.col("l_orderkey") == order)
-            .select(
-                entity.alias("entityNumber"),
-                F.lpad(line.cast("string"), 3, "0").alias("activityGroupCode"),
-                version.otherwise("2025").alias("naceVersion"),
-                (10000 + (F.col("l_partkey") * 7919) % 89999).cast("string").alias("naceCode"),
-                F.when(line <= 3, "MAIN").when(line <= 5, "SECO").otherwise("ANCI").alias("classification"),
-            )
+        lines = self.table("lineitem").withColumnRenamed("l_partkey", "p_key")
+        return lines.join(
+            self.table("orders"), lines["l_orderkey"] == self.table("orders")["o_orderkey"]
+        ).selectExpr(
+            f"case o_orderkey % 3 when 0 then {unit('2.', 'o_orderkey')} when 1 then {company('o_custkey')}"
+            f" else {unit('9.', 'o_orderkey')} end as entityNumber",
+            "lpad(cast(l_linenumber as string), 3, '0') as activityGroupCode",
+            "case l_returnflag when 'A' then '2003' when 'N' then '2008' else '2025' end as naceVersion",
+            f"{NACE_CODE} as naceCode",
+            "case when l_linenumber <= 3 then 'MAIN' when l_linenumber <= 5 then 'SECO' else 'ANCI' end"
+            " as classification",
         )
 
-    @staticmethod
-    def activity_links(rows: DataFrame) -> DataFrame:
-        number = F.col("entityNumber")
-        kind = entity_kind(number)
-        return rows.select(
-            *ENTITY_COLUMNS,
-            F.when(kind == "Enterprise", number).alias("enterpriseId"),
-            F.when(kind == "Establishment", number).alias("establishmentId"),
-        )
+    @cached_property
+    def activity_rows(self) -> DataFrame:
+        return self._linked(self.activity_raw)
 
     @cached_property
     def activity(self) -> DataFrame:
-        return self.activity_links(self.activity_raw.distinct())
+        return self._linked(self.activity_raw.distinct())
+
+    @staticmethod
+    def _linked(rows: DataFrame) -> DataFrame:
+        return rows.selectExpr(
+            "*",
+            r"if(entityNumber rlike r'^[0-9]{4}[.][0-9]{3}[.][0-9]{3}$', entityNumber, null) as enterpriseId",
+            "if(startswith(entityNumber, '2.'), entityNumber, null) as establishmentId",
+        )
 
     @cached_property
     def address(self) -> DataFrame:
-        key, nation = F.col("c_custkey"), F.col("c_nationkey")
-        number = company(key)
-        zipcode = (1000 + nation * 100 + key % 7).cast("string")
-        customer = self.table("customer")
-
-        def rows(df: DataFrame, kind: str) -> DataFrame:
-            return df.select(
-                number.alias("entityNumber"),
-                F.lit(kind).alias("typeOfAddressCode"),
-                F.when(key % 5 == 0, "Nederland").alias("countryNL"),
-                F.when(key % 7 == 0, "Pays-Bas").alias("countryFR"),
-                F.when(key % 11 == 0, "").otherwise(zipcode).alias("zipcode"),
-                F.when(key % 3 != 0, F.concat(F.lit(f"Stad {kind} "), nation.cast("string"))).alias("municipalityNL"),
-                F.when(key % 10 != 0, F.concat(F.lit(f"Ville {kind} "), nation.cast("string"))).alias("municipalityFR"),
-                F.when(key % 4 != 0, F.concat(F.lit("Straat "), (key % 50).cast("string"))).alias("streetNL"),
-                F.when(key % 6 != 0, F.concat(F.lit("Rue "), (key % 50).cast("string"))).alias("streetFR"),
-                (key % 200 + 1).cast("string").alias("houseNumber"),
-                F.lit(None).cast("string").alias("box"),
-                F.lit(None).cast("string").alias("extraAddressInfo"),
-                F.lit(None).cast("timestamp_ntz").alias("dateStrikingOff"),
-                number.alias("enterpriseId"),
-                F.lit(None).cast("string").alias("establishmentId"),
+        def rows(kind: str, condition: str) -> DataFrame:
+            return self.table("customer").where(condition).selectExpr(
+                f"{company('c_custkey')} as entityNumber",
+                f"'{kind}' as typeOfAddressCode",
+                "if(c_custkey % 5 = 0, 'Nederland', null) as countryNL",
+                "if(c_custkey % 7 = 0, 'Pays-Bas', null) as countryFR",
+                "if(c_custkey % 11 = 0, '', cast(1000 + c_nationkey * 100 + c_custkey % 7 as string)) as zipcode",
+                f"if(c_custkey % 3 <> 0, concat('Stad {kind} ', c_nationkey), null) as municipalityNL",
+                f"if(c_custkey % 10 <> 0, concat('Ville {kind} ', c_nationkey), null) as municipalityFR",
+                "if(c_custkey % 4 <> 0, concat('Straat ', c_custkey % 50), null) as streetNL",
+                "if(c_custkey % 6 <> 0, concat('Rue ', c_custkey % 50), null) as streetFR",
+                "cast(c_custkey % 200 + 1 as string) as houseNumber",
+                "cast(null as string) as box",
+                "cast(null as string) as extraAddressInfo",
+                "cast(null as timestamp_ntz) as dateStrikingOff",
+                f"{company('c_custkey')} as enterpriseId",
+                "cast(null as string) as establishmentId",
             )
 
-        return rows(customer.filter(key % 13 != 0), "REGO").unionByName(
-            rows(customer.filter(key % 9 == 0), "BAET")
-        )
+        return rows("REGO", "c_custkey % 13 <> 0").unionByName(rows("BAET", "c_custkey % 9 = 0"))
 
     @cached_property
     def code(self) -> DataFrame:
-        fixed = self.spark.createDataFrame(
-            [
-                ("Status", "AC", "Actief"),
-                ("Status", "ST", "Stopgezet"),
-                ("ContactType", "EMAIL", "E-mail"),
-                ("ContactType", "TEL", "Telefoon"),
-            ],
-            "category string, code string, description string",
+        fixed = self.spark.sql(
+            "select * from values ('Status', 'AC', 'Actief'), ('Status', 'ST', 'Stopgezet'), "
+            "('ContactType', 'EMAIL', 'E-mail'), ('ContactType', 'TEL', 'Telefoon') "
+            "as t(category, code, description)"
         )
-        nation, segment = self.table("nation"), F.col("c_mktsegment")
-        situations = nation.filter(F.col("n_nationkey") < 7).select(
-            F.lit("JuridicalSituation").alias("category"),
-            F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("code"),
-            F.col("n_name").alias("description"),
+        situations = self.table("nation").where("n_nationkey < 7").selectExpr(
+            "'JuridicalSituation' as category",
+            "lpad(cast(n_nationkey as string), 3, '0') as code",
+            "n_name as description",
         )
         forms = (
             self.table("customer")
-            .select(segment)
+            .where("c_mktsegment <> 'FURNITURE'")
+            .select("c_mktsegment")
             .distinct()
-            .filter(segment != "FURNITURE")
-            .select(
-                F.lit("JuridicalForm").alias("category"),
-                segment.alias("code"),
-                F.concat(F.lit("Vorm "), segment).alias("description"),
+            .selectExpr(
+                "'JuridicalForm' as category",
+                "c_mktsegment as code",
+                "concat('Vorm ', c_mktsegment) as description",
             )
         )
         return fixed.unionByName(situations).unionByName(forms)
 
     @cached_property
     def denomination(self) -> DataFrame:
-        key, name = F.col("c_custkey"), F.col("c_name")
-        number = company(key)
-        customer = self.table("customer")
-
-        def rows(condition: Column, language: str, kind: str, text: Column) -> DataFrame:
-            return customer.filter(condition).select(
-                number.alias("entityNumber"),
-                F.lit(language).alias("languageCode"),
-                F.lit(kind).alias("typeOfDenominationCode"),
-                text.alias("denomination"),
-                number.alias("enterpriseId"),
-                F.lit(None).cast("string").alias("establishmentId"),
+        def rows(condition: str, language: str, kind: str, text: str) -> DataFrame:
+            return self.table("customer").where(condition).selectExpr(
+                f"{company('c_custkey')} as entityNumber",
+                f"'{language}' as languageCode",
+                f"'{kind}' as typeOfDenominationCode",
+                f"{text} as denomination",
+                f"{company('c_custkey')} as enterpriseId",
+                "cast(null as string) as establishmentId",
             )
 
         return (
-            rows(key % 2 == 0, "FR", "001", F.concat(F.lit("SA "), name))
-            .unionByName(rows(key % 3 == 0, "NL", "001", F.concat(name, F.lit(" NV"))))
-            .unionByName(rows(key % 3 != 2, "NL", "002", F.concat(F.lit("Handel "), name)))
-            .unionByName(rows(key % 5 != 0, "EN", "003", F.concat(name, F.lit(" Ltd"))))
+            rows("c_custkey % 2 = 0", "FR", "001", "concat('SA ', c_name)")
+            .unionByName(rows("c_custkey % 3 = 0", "NL", "001", "concat(c_name, ' NV')"))
+            .unionByName(rows("c_custkey % 3 <> 2", "NL", "002", "concat('Handel ', c_name)"))
+            .unionByName(rows("c_custkey % 5 <> 0", "EN", "003", "concat(c_name, ' Ltd')"))
         )
 
     @cached_property
     def contact(self) -> DataFrame:
-        key = F.col("c_custkey")
-        number = company(key)
-        customer = self.table("customer")
-
-        def rows(condition: Column, kind: str, text: Column) -> DataFrame:
-            return customer.filter(condition).select(
-                number.alias("entityNumber"),
-                F.lit("ENT").alias("entityContactCode"),
-                F.lit(kind).alias("conctactTypeCode"),
-                text.alias("value"),
-                number.alias("enterpriseId"),
-                F.lit(None).cast("string").alias("establishmentId"),
+        def rows(condition: str, kind: str, text: str) -> DataFrame:
+            return self.table("customer").where(condition).selectExpr(
+                f"{company('c_custkey')} as entityNumber",
+                "'ENT' as entityContactCode",
+                f"'{kind}' as conctactTypeCode",
+                f"{text} as value",
+                f"{company('c_custkey')} as enterpriseId",
+                "cast(null as string) as establishmentId",
             )
 
-        mail = F.concat(F.lit("info"), key.cast("string"), F.lit("@example.org"))
-        web = F.concat(F.lit("example.org/"), key.cast("string"))
-        return rows(key % 2 == 0, "EMAIL", mail).unionByName(rows(key % 3 == 0, "WEB", web))
+        return rows("c_custkey % 2 = 0", "EMAIL", "concat('info', c_custkey, '@example.org')").unionByName(
+            rows("c_custkey % 3 = 0", "WEB", "concat('example.org/', c_custkey)")
+        )
 
     @cached_property
     def meta(self) -> DataFrame:
-        return self.table("region").select(
-            F.col("r_name").alias("variable"), F.col("r_regionkey").cast("string").alias("value")
+        return self.table("region").selectExpr(
+            "r_name as variable", "cast(r_regionkey as string) as value"
         )
 
     @cached_property
     def filing_ref(self) -> DataFrame:
-        key, day = F.col("o_orderkey"), F.col("o_orderdate")
-        digits = F.concat(F.lit("0"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
-        year = F.date_format(day, "yyyy")
-        deposit = F.date_format(F.date_add(day.cast("date"), 90), "yyyy-MM-dd")
-        return self.table("orders").select(
-            key.alias("filing_id"),
-            digits.alias("enterpriseNumber"),
-            F.concat(year, F.lit("-"), F.lpad(key.cast("string"), 8, "0")).alias("referenceNumber"),
-            F.date_format(day, "yyyy-MM-dd").alias("endDate"),
-            F.when(key % 10 != 0, deposit).alias("depositDate"),
-            year.cast("int").alias("fiscalYear"),
-            F.when(key % 4 != 0, F.concat(F.lit("Naam "), digits)).alias("enterpriseName"),
-            F.when(F.col("o_orderstatus") == "O", "PDF").when(key % 7 != 0, "XBRL").alias("importFileType"),
-            key.alias("pos"),
+        return self.table("orders").selectExpr(
+            "o_orderkey as filing_id",
+            "concat('0', lpad(cast(o_custkey as string), 9, '0')) as enterpriseNumber",
+            "concat(year(o_orderdate), '-', lpad(cast(o_orderkey as string), 8, '0')) as referenceNumber",
+            "date_format(o_orderdate, 'yyyy-MM-dd') as endDate",
+            "if(o_orderkey % 10 <> 0, cast(date_add(cast(o_orderdate as date), 90) as string), null) as depositDate",
+            "year(o_orderdate) as fiscalYear",
+            "if(o_orderkey % 4 <> 0, concat('Naam 0', lpad(cast(o_custkey as string), 9, '0')), null)"
+            " as enterpriseName",
+            "case when o_orderstatus = 'O' then 'PDF' when o_orderkey % 7 <> 0 then 'XBRL' end as importFileType",
+            "o_orderkey as pos",
         )
 
     @cached_property
     def rubric(self) -> DataFrame:
         """Account lines. ``pos`` packs line, part, supplier and price into one ordered number,
         so no filing has to be numbered in one task."""
-        codes = F.array(*[F.lit(c) for c in RUBRIC_CODES])
-        cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-        pos = F.concat(
-            F.col("l_linenumber").cast("string"),
-            F.lpad(F.col("l_partkey").cast("string"), 12, "0"),
-            F.lpad(F.col("l_suppkey").cast("string"), 10, "0"),
-            F.lpad(cents.cast("string"), 12, "0"),
-        ).cast("decimal(38,0)")
-        return self.table("lineitem").select(
-            F.col("l_orderkey").alias("filing_id"),
-            F.element_at(codes, F.col("l_linenumber")).alias("code"),
-            F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("value"),
-            F.when(F.col("l_linestatus") == "O", "N").otherwise("NM1").alias("period"),
-            pos.alias("pos"),
+        codes = ", ".join(f"'{code}'" for code in RUBRIC_CODES)
+        return self.table("lineitem").selectExpr(
+            "l_orderkey as filing_id",
+            f"element_at(array({codes}), l_linenumber) as code",
+            "cast(cast(l_extendedprice as decimal(18, 2)) as string) as value",
+            "if(l_linestatus = 'O', 'N', 'NM1') as period",
+            f"{RUBRIC_POS} as pos",
         )
 
     @cached_property
     def filing_text(self) -> DataFrame:
-        key = F.col("o_orderkey")
-        d, dd = (1 + key % 9).cast("string"), (10 + key % 80).cast("string")
-        text = F.concat(
-            F.lit("20/58 "), d, F.lit(".250.000 1.000.000\nnote\n9904 ( "),
-            dd, F.lit(".500 ) 10.000\nC. Beleggingen (staat 1)\n22\n"), dd, F.lit(".117.997.323"),
-        )
-        return (
-            self.table("orders")
-            .filter(F.col("o_orderstatus") == "O")
-            .select(key.alias("filing_id"), text.alias("text"))
+        return self.table("orders").where("o_orderstatus = 'O'").selectExpr(
+            "o_orderkey as filing_id",
+            r"concat('20/58 ', 1 + o_orderkey % 9, '.250.000 1.000.000\nnote\n9904 ( ', 10 + o_orderkey % 80,"
+            r" '.500 ) 10.000\nC. Beleggingen (staat 1)\n22\n', 10 + o_orderkey % 80, '.117.997.323') as text",
         )
 
     @cached_property
     def nace_catalog(self) -> DataFrame:
-        kinds = F.when(F.col("p_size") % 3 == 0, "Nace2003").when(F.col("p_size") % 3 == 1, "Nace2008")
         return (
             self.table("part")
-            .select(
-                kinds.otherwise("Nace2025").alias("Category"),
-                (10000 + (F.col("p_partkey") * 7919) % 89999).cast("string").alias("Code"),
-                F.lit("NL").alias("Language"),
-                F.col("p_name").alias("Description"),
+            .withColumnRenamed("p_partkey", "p_key")
+            .selectExpr(
+                "case p_size % 3 when 0 then 'Nace2003' when 1 then 'Nace2008' else 'Nace2025' end as Category",
+                f"{NACE_CODE} as Code",
+                "'NL' as Language",
+                "p_name as Description",
             )
             .distinct()
         )
