@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["market", "lookup"]
+MODULES = ["market", "lookup", "loading"]
 
 
 def _merged(attribute: str) -> dict:

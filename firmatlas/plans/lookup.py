@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmatlas.functions.identifiers import dotted_number, remove_blanks, strip_blanks, vat_digits
-from firmatlas.operators.keyed import BROADCAST_ROWS, has_at_most, reduce_to
+from firmatlas.operators.keyed import BROADCAST_ROWS, has_at_most
 from firmatlas.operators.registry import NUMBER, code_labels, decode_companies, profile_names
 from firmatlas.schemas import DEFAULT_COUNTRY
 
@@ -17,12 +17,13 @@ ADDRESS_TYPE = "struct<street:string,houseNumber:string,postalZone:string,city:s
 CONTACT_TYPE = "struct<type:string,value:string>"
 
 
-def profiles(tables: Tables, wanted: DataFrame | None = None) -> DataFrame:
+def profiles(tables: Tables, wanted: DataFrame | None = None, few: bool | None = None) -> DataFrame:
     """Company with decoded codes, name, addresses and contacts.
 
     Children are grouped per company before the joins. Their keys bound a group: one address
     per address type, one contact per contact code and type, one name.
-    ``wanted`` (company numbers) reduces every table first when it is small enough.
+    ``wanted`` (company numbers) reduces every table first when it is small enough, which is
+    counted unless ``few`` says so already.
     """
     enterprise = tables["Enterprise"]
     name, address, contact = (
@@ -30,8 +31,9 @@ def profiles(tables: Tables, wanted: DataFrame | None = None) -> DataFrame:
         for t in ("Denomination", "KBOAddress", "KBOContact")
     )
     if wanted is not None:
-        if has_at_most(wanted.select(NUMBER).distinct(), BROADCAST_ROWS):
-            keys = F.broadcast(wanted.select(NUMBER).distinct())
+        numbers = wanted.select(NUMBER).distinct()
+        if few if few is not None else has_at_most(numbers, BROADCAST_ROWS):
+            keys = F.broadcast(numbers)
             enterprise, name, address, contact = (
                 df.join(keys, NUMBER, "left_semi") for df in (enterprise, name, address, contact)
             )
@@ -101,7 +103,15 @@ def lookup_vats(
     return asked.join(profiles(tables, asked), NUMBER, "left")
 
 
-def resolve_names(names: DataFrame, denomination: DataFrame) -> DataFrame:
+def asked_texts(names: DataFrame, name: str = "name") -> DataFrame:
+    return (
+        names.select(F.lower(strip_blanks(F.col(name))).alias("text"))
+        .filter(F.length("text") > 0)
+        .distinct()
+    )
+
+
+def resolve_names(asked: DataFrame, denomination: DataFrame, few: bool) -> DataFrame:
     """Distinct search texts with the lowest company number that carries the name.
 
     A text equal to a name (ignoring case) wins; otherwise names that contain it count. The
@@ -110,10 +120,6 @@ def resolve_names(names: DataFrame, denomination: DataFrame) -> DataFrame:
     name is ever built that does not match, and both steps keep only the lowest company per
     name or piece before they shuffle, so a name shared by very many companies does no harm.
     """
-    search = strip_blanks(F.col("name"))
-    asked = (
-        names.select(F.lower(search).alias("text")).filter(F.length("text") > 0).distinct()
-    )
     # One row per distinct name.
     known = (
         denomination.filter(F.col("enterpriseId").isNotNull() & F.col("denomination").isNotNull())
@@ -129,8 +135,9 @@ def resolve_names(names: DataFrame, denomination: DataFrame) -> DataFrame:
         .withColumn("at", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("size") + 1)))
         .select(F.substring(F.col("text"), F.col("at"), F.col("size")).alias("text"), NUMBER)
     )
-    # Few texts: pieces nobody asks for are dropped before they are grouped.
-    pieces = reduce_to(pieces, asked, "text")
+    if few:
+        # Pieces nobody asks for are dropped before they are grouped.
+        pieces = pieces.join(F.broadcast(asked), "text", "left_semi")
     partial = pieces.groupBy("text").agg(F.min(NUMBER).alias(NUMBER))
     found = missing.join(partial, "text", "left")
     return exact.filter(F.col(NUMBER).isNotNull()).unionByName(found)
@@ -138,7 +145,9 @@ def resolve_names(names: DataFrame, denomination: DataFrame) -> DataFrame:
 
 def lookup_names(queries: DataFrame, tables: Tables, name: str = "name") -> DataFrame:
     """Every query row with the profile of the company it names, or nulls."""
-    resolved = resolve_names(queries.select(F.col(name).alias("name")), tables["Denomination"])
+    texts = asked_texts(queries, name)
+    few = has_at_most(texts, BROADCAST_ROWS)
+    resolved = resolve_names(texts, tables["Denomination"], few)
     asked = queries.withColumn("text", F.lower(strip_blanks(F.col(name))))
     found = asked.join(resolved, "text", "left").drop("text")
-    return found.join(profiles(tables, resolved), NUMBER, "left")
+    return found.join(profiles(tables, resolved, few), NUMBER, "left")
