@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["market", "lookup", "loading"]
+MODULES = ["market", "lookup", "loading", "filings"]
 
 
 def _merged(attribute: str) -> dict:
