@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["market", "lookup", "loading", "filings"]
+MODULES = ["market", "lookup", "loading", "filings", "reports"]
 
 
 def _merged(attribute: str) -> dict:

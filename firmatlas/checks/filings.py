@@ -179,12 +179,14 @@ def text_rubrics_query(spark: SparkSession, folder: str) -> DataFrame:
     return text_rubrics(_views(spark, folder).filing_text).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def document_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """The text parser over the whole of every document, which holds no coded accounts by design."""
-    texts = _views(spark, folder).table("documents").selectExpr("doc_id as filing_id", "text")
-    return coded_rubrics(texts).select("filing_id", F.explode("coded").alias("entry")).select(
-        "filing_id", "entry.code", "entry.value"
+def document_rubrics(spark: SparkSession, folder: str) -> DataFrame:
+    """The text parser over the whole of every document, with account lines at its end."""
+    text = (
+        "concat(text, '\\n20/58 ', n_chars, '.000 1.000\\nC. Placements (note 3)\\n11\\n\\n( ',"
+        " n_chars, '.459 )\\n70/76A ', doc_id, ',5')"
     )
+    texts = _views(spark, folder).table("documents").selectExpr("doc_id as filing_id", f"{text} as text")
+    return text_rubrics(texts).select("filing_id", "code", "value")
 
 
 def company_history_query(spark: SparkSession, folder: str) -> DataFrame:
@@ -213,7 +215,7 @@ QUERIES = {
     "coded_text_lines": coded_text_lines,
     "insurer_rubrics": insurer_lines,
     "text_rubrics": text_rubrics_query,
-    "document_lines": document_lines,
+    "document_rubrics": document_rubrics,
     "company_history": company_history_query,
     "published_financials": published,
 }
@@ -356,9 +358,11 @@ FROM (SELECT {NOISY_VALUE.format(value="cast(l_quantity AS string)")} AS value F
     ),
     "insurer_rubrics": with_views("filing_text", "SELECT * FROM insurer", f"{_TEXT_LINES}, {INSURER_SQL}"),
     "text_rubrics": with_views("filing_text", "SELECT * FROM text_rubric", TEXT_SQL),
-    "document_lines": "WITH texts AS (SELECT doc_id AS filing_id, text FROM documents), "
+    "document_rubrics": "WITH texts AS (SELECT doc_id AS filing_id, text || chr(10) || '20/58 ' || n_chars || '.000 1.000' || chr(10)"
+    " || 'C. Placements (note 3)' || chr(10) || '11' || chr(10) || chr(10) || '( ' || n_chars || '.459 )' || chr(10)"
+    " || '70/76A ' || doc_id || ',5' AS text FROM documents), "
     + _LINES.format(source="texts")
-    + f", {CODED_SQL} SELECT filing_id, code, value FROM coded",
+    + f", {CODED_SQL}, {INSURER_SQL} SELECT filing_id, code, value FROM coded UNION ALL SELECT filing_id, code, value FROM insurer",
     "company_history": with_views(
         "filing_ref rubric",
         f"""
