@@ -14,7 +14,7 @@ from firmatlas.operators.rubrics import (
     current_period,
     filing_measures,
 )
-from firmatlas.operators.text_rubrics import coded_rubrics, insurer_rubrics, text_rubrics
+from firmatlas.operators.text_rubrics import coded_rubrics, insurer_rubrics, text_rubrics, with_lines
 from firmatlas.plans.financials import (
     HISTORY_MEASURES,
     annual_summary,
@@ -164,13 +164,13 @@ def annual_summary_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def coded_text_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return coded_rubrics(_views(spark, folder).filing_text).select(
+    return coded_rubrics(with_lines(_views(spark, folder).filing_text)).select(
         "filing_id", F.posexplode("coded").alias("pos", "entry")
     ).select("filing_id", F.col("pos").cast("bigint").alias("pos"), "entry.code", "entry.value")
 
 
 def insurer_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return insurer_rubrics(_views(spark, folder).filing_text).select(
+    return insurer_rubrics(with_lines(_views(spark, folder).filing_text)).select(
         "filing_id", F.explode("insurer").alias("entry")
     ).select("filing_id", "entry.code", "entry.value")
 

@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firmatlas.functions.identifiers import dotted_number
 from firmatlas.operators.keyed import dedupe_first
 from firmatlas.operators.registry import NUMBER, decode_companies, preferred_names, registered_offices
 from firmatlas.operators.rubrics import INSURER_MEASURES
@@ -23,7 +24,7 @@ from .market import COUNTS_SQL, DECODED_SQL, LIST_NAMES_SQL, MARKET_VIEWS, PREFI
 
 RUN_POSTAL = "1001"
 OPTIONS = ["employees", "revenue", "profit-margin", "equity"]
-SELECTION = Selection("61", "2008", "1001", [1998, 1999], ["revenue", "net-result"])
+SELECTION = Selection("60", "2008", "1001", [1998, 1999], ["revenue", "net-result"])
 
 
 def _companies(views: TestViews) -> DataFrame:
@@ -77,7 +78,9 @@ def report_status(spark: SparkSession, folder: str) -> DataFrame:
 
 def report_remaining(spark: SparkSession, folder: str) -> DataFrame:
     views = TestViews(spark, folder)
-    stored = _stored(views).select(NUMBER)
+    stored = views.filing_ref.filter(F.col("fiscalYear") == YEARS[0]).select(
+        dotted_number(F.col("enterpriseNumber")).alias(NUMBER)
+    )
     return report.remaining(views.enterprise.select(NUMBER, "KBOstatusCode"), stored)
 
 
@@ -357,7 +360,7 @@ _RUNS = """runs AS (
     CASE s_suppkey % 3 WHEN 1 THEN '' WHEN 2 THEN 'MAIN' END AS classification, cast(1000 + s_nationkey % 3 AS string) AS "postalCode",
     CASE WHEN s_suppkey % 7 = 0 THEN [1999] ELSE [1999, 1998] END AS "fiscalYears"
   FROM supplier)"""
-_CHOSEN = """"naceCode" = '61' AND coalesce(classification, '') = '' AND "postalCode" = '1001' AND "fiscalYears" = [1999, 1998]"""
+_CHOSEN = """"naceCode" = '60' AND coalesce(classification, '') = '' AND "postalCode" = '1001' AND "fiscalYears" = [1999, 1998]"""
 _STORED = f"WITH stored AS ({_stored_sql()}), {_RUNS}"
 _COMPLETED = f"""{_STORED}, done AS (
   SELECT s.*, r."naceCode", r."naceVersion", r.classification, r."updatedAt" FROM stored s JOIN runs r ON r.id = s."runId" WHERE r.status = 'completed')"""
@@ -406,7 +409,8 @@ SELECT "enterpriseNumber" AS "Enterprise number", name AS "KBO name", "nbbName"
     ),
     "report_remaining": with_views(
         "enterprise",
-        f"""SELECT "enterpriseNumber", "KBOstatusCode" FROM enterprise WHERE "enterpriseNumber" NOT IN (SELECT "enterpriseNumber" FROM ({_stored_sql()}))""",
+        f"""SELECT "enterpriseNumber", "KBOstatusCode" FROM enterprise WHERE replace("enterpriseNumber", '.', '') NOT IN (
+  SELECT '0' || lpad(cast(o_custkey AS string), 9, '0') FROM orders WHERE year(o_orderdate) = {YEARS[0]})""",
     ),
     "report_csv": with_views(
         REPORT_VIEWS,

@@ -1,35 +1,43 @@
-"""Amounts: coded exports, Belgian notation in texts, imported report cells."""
+"""Amounts: coded exports, Belgian notation in texts, imported report cells.
+
+Every source text is looked at once: an expression that names its input twice would evaluate
+it twice, and nested ones would multiply.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from firmatlas.functions.identifiers import BLANK
+from firmatlas.functions.identifiers import BLANK, BLANK_CHARACTERS, remove_blanks
 
 LEADING_NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
-WHOLE_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+WHOLE_NUMBER = r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)$"
 LARGEST_EXACT = float(2**53)
 
-
-def _finite(c: Column) -> Column:
-    return F.when(F.abs(c) < F.lit(float("inf")), c)
+# A Belgian amount: dots between digits, one decimal comma, parentheses when negative.
+AMOUNT = f"\\(?{BLANK}*\\.*[0-9][0-9.]*(?:,[0-9]+)?{BLANK}*\\)?"
+# At the end of a line only with a separator or four digits: shorter numbers are row codes.
+TRAILING_AMOUNT = (
+    f"\\(?{BLANK}*(?:[0-9]{{4,}}|\\.+[0-9][0-9.]*(?:,[0-9]+)?|[0-9]+\\.[0-9.]*(?:,[0-9]+)?|[0-9]+,[0-9]+)"
+    f"{BLANK}*\\)?{BLANK}*\\z"
+)
 
 
-def first_comma_to_dot(c: Column) -> Column:
-    return F.regexp_replace(c, r"^([^,]*),", "$1.")
+def _number(text: Column) -> Column:
+    """Matched text as a double; no match (empty text) and overflow give null."""
+    return F.nullif(F.nullif(text.try_cast("double"), F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 def leading_number(c: Column) -> Column:
-    """The number a text starts with (only the first comma is a decimal mark), else null."""
-    text = F.regexp_extract(first_comma_to_dot(c), LEADING_NUMBER, 1)
-    return _finite(F.when(text != "", text).cast("double"))
+    """The number a text starts with, else null. A comma is a decimal mark; a second mark ends
+    the number."""
+    return _number(F.regexp_extract(F.translate(c, ",", "."), LEADING_NUMBER, 1))
 
 
 def imported_number(c: Column) -> Column:
     """A cell of an exported report: blanks dropped, comma as decimal mark, blank is null."""
-    text = first_comma_to_dot(F.regexp_replace(c, f"{BLANK}+", ""))
-    return _finite(F.when(text.rlike(WHOLE_NUMBER), text).cast("double"))
+    return _number(F.regexp_extract(F.translate(remove_blanks(c), ",", "."), WHOLE_NUMBER, 1))
 
 
 def round_half_up(c: Column, digits: int) -> Column:
@@ -49,21 +57,17 @@ def margin_percent(revenue: Column, net_result: Column) -> Column:
     ).otherwise(scaled / 100.0)
 
 
-def belgian_amount(c: Column) -> Column:
-    """``1.250.000`` -> ``1250000``; ``( 12.500 )`` -> ``-12500``; anything else null."""
-    compact = F.regexp_replace(c, f"({BLANK}|\\.)+", "")
-    plain = F.regexp_replace(first_comma_to_dot(compact), "[()]", "")
-    signed = F.when(F.contains(c, F.lit("(")), F.concat(F.lit("-"), plain)).otherwise(plain)
-    return F.when(plain.rlike(r"^[0-9]+(\.[0-9]+)?$"), signed)
+def belgian_amount(matched: Column) -> Column:
+    """Text matched as an amount -> plain number text: ``( 12.500 )`` -> ``-12500``.
+
+    One pass: ``(`` becomes the sign, the comma the point, and everything else is dropped.
+    """
+    return F.translate(matched, "(,.)" + BLANK_CHARACTERS, "-.")
 
 
 def trailing_amount(line: Column) -> Column:
-    """The amount at the end of a line; bare numbers under four digits are row codes, not amounts."""
-    text = F.regexp_extract(
-        line, f"\\(?{BLANK}*[0-9.]+(?:,[0-9]+)?{BLANK}*\\)?{BLANK}*$", 0
-    )
-    is_amount = text.rlike("[.,]") | (F.length(F.regexp_replace(text, "[^0-9]", "")) >= 4)
-    return F.when(is_amount, belgian_amount(text))
+    """The amount a line ends with, else null."""
+    return F.nullif(belgian_amount(F.regexp_extract(line, TRAILING_AMOUNT, 0)), F.lit(""))
 
 
 def plain_number(c: Column) -> Column:

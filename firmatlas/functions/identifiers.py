@@ -14,12 +14,18 @@ BRANCH_PREFIX = "9."
 BLANK = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
+# The same characters one by one, for expressions that need no pattern.
+BLANK_CHARACTERS = (
+    " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+
+
 def strip_blanks(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(BLANK_CHARACTERS))
 
 
 def remove_blanks(c: Column) -> Column:
-    return F.regexp_replace(c, f"{BLANK}+", "")
+    return F.translate(c, BLANK_CHARACTERS, "")
 
 
 def bare_digits(c: Column) -> Column:
@@ -42,10 +48,18 @@ def vat_digits(c: Column) -> Column:
     return F.when((F.length(ten) == 10) & F.substring(ten, 1, 1).isin("0", "1"), ten)
 
 
+def is_company(c: Column) -> Column:
+    return c.rlike(COMPANY_NUMBER)
+
+
+def is_establishment(c: Column) -> Column:
+    return ~c.startswith(BRANCH_PREFIX) & c.rlike(UNIT_NUMBER)
+
+
 def entity_kind(c: Column) -> Column:
     return (
-        F.when(c.rlike(COMPANY_NUMBER), "Enterprise")
-        .when(c.rlike(UNIT_NUMBER) & c.startswith(BRANCH_PREFIX), "Branch")
-        .when(c.rlike(UNIT_NUMBER), "Establishment")
+        F.when(is_company(c), "Enterprise")
+        .when(is_establishment(c), "Establishment")
+        .when(c.rlike(UNIT_NUMBER), "Branch")
         .otherwise("Unknown")
     )

@@ -70,30 +70,47 @@ def load_plan(audit: DataFrame) -> DataFrame:
 def orphan_check(tables: Frames, relations: list[Relation] = RELATIONS) -> DataFrame:
     """Rows per foreign key whose parent is missing (nulls are allowed).
 
-    References are counted per distinct value before the anti join, so a parent that very many
-    rows point to costs one row in the shuffle.
+    Each child table is read once, whatever the number of its relations. References are counted
+    per distinct value before the join, so a parent that very many rows point to costs one row.
     """
-    found = []
-    for relation in relations:
-        parent = tables[relation.parent]
-        if relation.category:
-            keys = parent.filter(F.col("category") == relation.category).select(
-                F.col("code").alias("ref")
+    parts = []
+    for child in dict.fromkeys(r.child for r in relations):
+        own = [r for r in relations if r.child == child]
+        entries = [
+            F.struct(
+                F.lit(r.name).alias("relation"),
+                F.lit(r.parent).alias("parent"),
+                F.lit(r.category).cast("string").alias("category"),
+                F.col(r.column).alias("ref"),
             )
-        else:
-            keys = parent.select(F.col(TABLES[relation.parent].key[0]).alias("ref"))
-        values = (
-            tables[relation.child]
-            .filter(F.col(relation.column).isNotNull())
-            .groupBy(F.col(relation.column).alias("ref"))
-            .agg(F.count("*").alias("n"))
-        )
-        found.append(
-            values.join(keys, "ref", "left_anti").agg(
-                F.lit(relation.name).alias("relation"),
-                F.lit(relation.parent).alias("parent"),
-                F.coalesce(F.sum("n"), F.lit(0)).alias("orphanRows"),
-                F.count("*").alias("orphanValues"),
+            for r in own
+        ]
+        parts.append(tables[child].select(F.inline(F.array(*entries))))
+    keys = []
+    for parent, category in dict.fromkeys((r.parent, r.category) for r in relations):
+        key = "code" if category else TABLES[parent].key[0]
+        rows = tables[parent].filter(F.col("category") == category) if category else tables[parent]
+        keys.append(
+            rows.select(
+                F.lit(parent).alias("parent"),
+                F.lit(category).cast("string").alias("category"),
+                F.col(key).alias("ref"),
+                F.lit(True).alias("known"),
             )
         )
-    return _stack(found)
+    group = ["relation", "parent", "category"]
+    # Null references stay as one row per relation, so that every relation is reported.
+    counted = _stack(parts).groupBy(*group, "ref").agg(F.count("*").alias("n")).alias("c")
+    known = _stack(keys).alias("k")
+    joined = counted.join(
+        known,
+        (F.col("c.parent") == F.col("k.parent"))
+        & F.col("c.category").eqNullSafe(F.col("k.category"))
+        & (F.col("c.ref") == F.col("k.ref")),
+        "left",
+    )
+    orphan = F.col("known").isNull() & F.col("c.ref").isNotNull()
+    return joined.groupBy("relation", F.col("c.parent").alias("parent")).agg(
+        F.coalesce(F.sum(F.when(orphan, F.col("n"))), F.lit(0)).alias("orphanRows"),
+        F.count_if(orphan).alias("orphanValues"),
+    )

@@ -18,6 +18,8 @@ def dedupe_first(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFra
     An aggregate rather than a window, so copies of a hot key collapse before the shuffle.
     """
     rest = [c for c in df.columns if c not in keys and c not in order_by]
+    if not rest and not order_by:
+        return df.distinct()
     first = F.min(F.struct(*order_by, *rest)).alias("first")
     return (
         df.groupBy(*keys)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmatlas.functions.dates import is_malformed_day, parse_day
-from firmatlas.functions.identifiers import entity_kind
+from firmatlas.functions.identifiers import is_company, is_establishment
 from firmatlas.operators.keyed import dedupe_first
 from firmatlas.schemas import (
     ADDRESS_TYPES,
@@ -35,12 +35,19 @@ def country(name: str) -> Column:
     return F.coalesce(nullable(name), F.lit(DEFAULT_COUNTRY))
 
 
-def links(kind: Column, company: str, unit: str, number: str = "EntityNumber") -> list[Column]:
-    return [F.when(kind == company, F.col(number)), F.when(kind == unit, F.col(number))]
+def links(table: str) -> list[Column]:
+    """Company and establishment a row belongs to, out of its key columns.
+
+    The shape of the number decides, except for contacts, where the contact code does.
+    """
+    number = F.col("entityNumber")
+    if table == "KBOContact":
+        kind = F.col("entityContactCode")
+        return [F.when(kind == "ENT", number), F.when(kind == "EST", number)]
+    return [F.when(is_company(number), number), F.when(is_establishment(number), number)]
 
 
-def link_by_shape() -> list[Column]:
-    return links(entity_kind(F.col("EntityNumber")), "Enterprise", "Establishment")
+LINK_COLUMNS = ["enterpriseId", "establishmentId"]
 
 
 def source_filter(table: str) -> Column:
@@ -78,24 +85,20 @@ def _values(table: str, load_time: Column) -> list[Column]:
             country("CountryFR"),
             *[nullable(c) for c in TABLES["KBOAddress"].source_columns[4:12]],
             parse_day(F.col("DateStrikingOff")),
-            *link_by_shape(),
         ],
-        # The contact code, not the shape of the number, decides what a contact belongs to.
         "KBOContact": lambda: [
             text("EntityNumber"),
             text("EntityContact"),
             text("ContactType"),
             text("Value"),
-            *links(F.col("EntityContact"), "ENT", "EST"),
         ],
         "Denomination": lambda: [
             text("EntityNumber"),
             text("Language"),
             text("TypeOfDenomination"),
             text("Denomination"),
-            *link_by_shape(),
         ],
-        "Activity": lambda: [*[text(c) for c in TABLES["Activity"].source_columns], *link_by_shape()],
+        "Activity": lambda: [text(c) for c in TABLES["Activity"].source_columns],
         "Meta": lambda: [text("Variable"), text("Value")],
     }
     return rules[table]()
@@ -107,12 +110,17 @@ def stage_table(raw: DataFrame, table: str, load_time: datetime.datetime) -> Dat
     Missing start dates become ``load_time``, a parameter, so that a repeated load is equal.
     """
     spec = TABLES[table]
-    order = [c for c in FILE_ORDER if c in raw.columns]
     now = F.lit(load_time.isoformat(sep=" ")).cast("timestamp_ntz")
+    columns = [c for c in spec.columns if c not in LINK_COLUMNS]
+    # Where the key is the whole row, file order decides nothing.
+    order = [c for c in FILE_ORDER if c in raw.columns] if columns != spec.key else []
     typed = raw.filter(source_filter(table)).select(
-        *[v.alias(c) for v, c in zip(_values(table, now), spec.columns)], *order
+        *[v.alias(c) for v, c in zip(_values(table, now), columns)], *order
     )
-    return dedupe_first(typed, spec.key, order).select(*spec.columns)
+    first = dedupe_first(typed, spec.key, order)
+    if LINK_COLUMNS[0] in spec.columns:
+        first = first.withColumns(dict(zip(LINK_COLUMNS, links(table))))
+    return first.select(*spec.columns)
 
 
 def malformed_dates(raw: DataFrame, column: str = "StartDate") -> DataFrame:

@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmatlas.functions.amounts import belgian_amount, trailing_amount
+from firmatlas.functions.amounts import AMOUNT, belgian_amount, trailing_amount
 from firmatlas.functions.identifiers import BLANK, strip_blanks
 
-# A coded line is an account code, blanks and the rest of the line.
-CODED_LINE = r"^\s*([0-9]{2,4}(?:/[0-9]{2,3}[A-Z]?)?|[0-9]{2,4}[A-Z]?)\s+([^\n\r]+?)\s*$"
-LEADING_AMOUNT = r"^\(?\s*[0-9.]+(?:,[0-9]+)?\s*\)?"
+# The account code a coded line starts with.
+ACCOUNT_CODE = r"[0-9]{2,4}(?:/[0-9]{2,3}[A-Z]?)?|[0-9]{2,4}[A-Z]?"
+# Code, blanks, first amount and the rest of the line.
+CODED_LINE = rf"^({ACCOUNT_CODE}){BLANK}+({AMOUNT})[^\r\u2028\u2029]*\z"
 
 # Labels of insurer statements, Dutch and French, and the code each one stands for.
 INSURER_LABELS = {
@@ -46,41 +47,35 @@ def _label_pattern(text: str) -> str:
 ANY_LABEL = "|".join(f"(?:{_label_pattern(p)})" for p in INSURER_LABELS.values())
 
 
-def _rubric(code: Column, value: Column) -> Column:
-    return F.struct(code.alias("code"), value.alias("value"))
-
-
-def _first_amount(lines: Column) -> Column:
-    amounts = F.filter(F.transform(lines, trailing_amount), lambda a: a.isNotNull())
-    return F.get(amounts, F.lit(0))
+def with_lines(texts: DataFrame) -> DataFrame:
+    """Add ``lines``: the non-blank lines of a text, without surrounding blanks."""
+    return texts.withColumn(
+        "lines", F.filter(F.transform(F.split("text", "\n"), strip_blanks), lambda x: x != "")
+    )
 
 
-def coded_rubrics(texts: DataFrame) -> DataFrame:
+def coded_rubrics(lines: DataFrame) -> DataFrame:
     """Add ``coded``: code and first amount of every coded line, in line order."""
-    pattern = _pattern(CODED_LINE)
-
-    def parse(line: Column) -> Column:
-        amount = F.regexp_extract(
-            F.regexp_extract(line, pattern, 2), _pattern(LEADING_AMOUNT), 0
-        )
-        return _rubric(F.regexp_extract(line, pattern, 1), belgian_amount(amount))
-
-    lines = F.filter(F.split("text", "\r?\n"), lambda line: line.rlike(pattern))
-    return texts.withColumn(
-        "coded", F.filter(F.transform(lines, parse), lambda r: r["value"].isNotNull())
+    return lines.withColumn(
+        "coded",
+        F.transform(
+            F.filter("lines", lambda line: line.rlike(CODED_LINE)),
+            lambda line: F.struct(
+                F.regexp_extract(line, CODED_LINE, 1).alias("code"),
+                belgian_amount(F.regexp_extract(line, CODED_LINE, 2)).alias("value"),
+            ),
+        ),
     )
 
 
-def insurer_rubrics(texts: DataFrame) -> DataFrame:
+def insurer_rubrics(lines: DataFrame) -> DataFrame:
     """Add ``insurer``: per label the amount of its earliest line that has one.
 
-    A line's own amount counts first, then those of the next lines. Blank lines do not count.
+    A line's own amount counts first, then those of the next lines.
     """
-    lines = F.filter(F.transform(F.split("text", "\r?\n"), strip_blanks), lambda x: x != "")
-    with_lines = texts.withColumn("lines", lines)
-    # Label lines with the lines in reach; the lines column is read, not computed again.
-    labelled = with_lines.withColumn(
-        "labelled",
+    # Label lines with the lines in reach; columns of an earlier step are read, not computed again.
+    reach = lines.withColumn(
+        "reach",
         F.filter(
             F.transform(
                 "lines",
@@ -88,35 +83,42 @@ def insurer_rubrics(texts: DataFrame) -> DataFrame:
                     x.rlike(ANY_LABEL), F.slice(F.col("lines"), i + 1, LOOK_AHEAD + 1)
                 ),
             ),
-            lambda reach: reach.isNotNull(),
+            lambda found: found.isNotNull(),
         ),
     )
-    priced = labelled.withColumn(
+    priced = reach.withColumn(
         "priced",
         F.filter(
             F.transform(
-                "labelled",
+                "reach",
                 lambda x: F.struct(
-                    F.get(x, F.lit(0)).alias("line"), _first_amount(x).alias("value")
+                    F.get(x, F.lit(0)).alias("line"),
+                    F.get(F.filter(F.transform(x, trailing_amount), F.isnotnull), F.lit(0)).alias(
+                        "value"
+                    ),
                 ),
             ),
             lambda r: r["value"].isNotNull(),
         ),
     )
 
-    def labelled_amount(code: str, pattern: str) -> Column:
+    def first(code: str, pattern: str) -> Column:
         own = F.filter("priced", lambda r: r["line"].rlike(_label_pattern(pattern)))
-        return _rubric(F.lit(code), F.get(own, F.lit(0))["value"])
+        return F.struct(F.lit(code).alias("code"), F.get(own, F.lit(0))["value"].alias("value"))
 
-    amounts = F.array(*[labelled_amount(code, p) for code, p in INSURER_LABELS.items()])
+    amounts = F.array(*[first(code, p) for code, p in INSURER_LABELS.items()])
+    none = F.array().cast("array<struct<code:string,value:string>>")
     return priced.withColumn(
-        "insurer", F.filter(amounts, lambda r: r["value"].isNotNull())
-    ).drop("lines", "labelled", "priced")
+        "insurer",
+        F.when(F.size("priced") > 0, F.filter(amounts, lambda r: r["value"].isNotNull())).otherwise(
+            none
+        ),
+    ).drop("reach", "priced")
 
 
 def text_rubrics(texts: DataFrame) -> DataFrame:
     """Texts -> rubrics: coded lines first, then insurer labels, numbered in that order."""
-    parsed = insurer_rubrics(coded_rubrics(texts))
+    parsed = insurer_rubrics(coded_rubrics(with_lines(texts)))
     return parsed.select("filing_id", F.posexplode(F.concat("coded", "insurer"))).select(
         "filing_id",
         "pos",

@@ -18,10 +18,8 @@ NACE_CODE = "cast(10000 + (p_key * 7919) % 89999 as string)"
 
 
 def nine(key: str) -> str:
-    return (
-        f"regexp_replace(lpad(cast({key} as string), 9, '0'), "
-        "'^([0-9]{3})([0-9]{3})([0-9]{3})$', '$1.$2.$3')"
-    )
+    digits = f"lpad(cast({key} as string), 9, '0')"
+    return f"concat_ws('.', substr({digits}, 1, 3), substr({digits}, 4, 3), substr({digits}, 7, 3))"
 
 
 def company(key: str) -> str:
