@@ -56,7 +56,7 @@ def reference_payloads(spark: SparkSession, folder: str) -> DataFrame:
     payloads = _views(spark, folder).table("orders").selectExpr(
         "cast(o_custkey as string) as enterpriseNumber", f"{shape} as payload"
     )
-    return reference_rows(payloads).drop("accountingDataUrl")
+    return reference_rows(payloads).drop("accountingDataUrl", "filing_id")
 
 
 def accounting_payloads(spark: SparkSession, folder: str) -> DataFrame:

@@ -26,18 +26,21 @@ TRAILING_AMOUNT = (
 
 def _number(text: Column) -> Column:
     """Matched text as a double; no match (empty text) and overflow give null."""
-    return F.nullif(F.nullif(text.try_cast("double"), F.lit(float("inf"))), F.lit(float("-inf")))
+    value = F.array(text.try_cast("double"))
+    for infinite in (float("inf"), float("-inf")):
+        value = F.array_remove(value, infinite)
+    return F.get(value, F.lit(0))
 
 
 def leading_number(c: Column) -> Column:
     """The number a text starts with, else null. A comma is a decimal mark; a second mark ends
     the number."""
-    return _number(F.regexp_extract(F.translate(c, ",", "."), LEADING_NUMBER, 1))
+    return _number(F.regexp_extract(F.replace(c, F.lit(","), F.lit(".")), LEADING_NUMBER, 1))
 
 
 def imported_number(c: Column) -> Column:
     """A cell of an exported report: blanks dropped, comma as decimal mark, blank is null."""
-    return _number(F.regexp_extract(F.translate(remove_blanks(c), ",", "."), WHOLE_NUMBER, 1))
+    return _number(F.regexp_extract(F.replace(remove_blanks(c), F.lit(","), F.lit(".")), WHOLE_NUMBER, 1))
 
 
 def round_half_up(c: Column, digits: int) -> Column:

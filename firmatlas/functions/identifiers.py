@@ -25,7 +25,7 @@ def strip_blanks(c: Column) -> Column:
 
 
 def remove_blanks(c: Column) -> Column:
-    return F.translate(c, BLANK_CHARACTERS, "")
+    return F.regexp_replace(c, BLANK, "")
 
 
 def bare_digits(c: Column) -> Column:

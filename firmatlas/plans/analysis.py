@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firmatlas.functions.amounts import round_half_up
 from firmatlas.operators.registry import NUMBER
 from firmatlas.operators.rubrics import INSURER_MEASURES
 from firmatlas.plans.report import OK
@@ -143,9 +144,8 @@ def financial_slice(
 
 
 def _amount(column: str) -> Column:
-    """Sums in exact decimals, so that the order of the rows does not show."""
-    exact = F.sum(F.col(column).cast("decimal(28,4)"))
-    return F.coalesce(exact.cast("double"), F.lit(0.0))
+    """Sum of the known values in cents, so that the order of the rows does not show."""
+    return F.coalesce(round_half_up(F.sum(column), 2), F.lit(0.0))
 
 
 def financial_kpis(rows: DataFrame) -> DataFrame:

@@ -41,22 +41,27 @@ def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return read_payloads(spark, path, "filing_id").withColumnRenamed("payload", "text")
 
 
-def _reference_list() -> Column:
-    """The list itself, or the first listed object field that holds a list."""
-    payload = strip_blanks(F.col("payload"))
-    fields = F.from_json(payload, "map<string,string>")
-    texts = F.array(*[F.try_element_at(fields, F.lit(name)) for name in REFERENCE_LISTS])
-    listed = F.get(F.filter(texts, lambda t: t.startswith("[")), F.lit(0))
-    text = F.when(payload.startswith("["), payload).otherwise(listed)
-    return F.from_json(text, REFERENCE_SCHEMA)
+def _with_reference_list(payloads: DataFrame) -> DataFrame:
+    """Add ``listed``: the payload itself if it is a list, or the first of the listed object
+    fields that holds one. The payload is parsed once for its fields and once for the list."""
+    trimmed = payloads.withColumn("payload", strip_blanks(F.col("payload")))
+    fields = trimmed.withColumn("fields", F.from_json("payload", "map<string,string>"))
+    texts = F.array(*[F.try_element_at("fields", F.lit(name)) for name in REFERENCE_LISTS])
+    found = F.get(F.filter(texts, lambda t: t.startswith("[")), F.lit(0))
+    text = F.when(F.col("payload").startswith("["), F.col("payload")).otherwise(found)
+    return fields.withColumn("listed", F.from_json(text, REFERENCE_SCHEMA))
 
 
 def reference_rows(payloads: DataFrame) -> DataFrame:
-    """Company payloads -> filing references; those without a number or an end year are dropped."""
+    """Company payloads -> filing references; those without a number or an end year are dropped.
+
+    ``filing_id`` is the reference number, the key of the accounting rubrics.
+    """
     reference = F.col("col")
-    rows = payloads.select("enterpriseNumber", F.posexplode(_reference_list())).select(
+    rows = _with_reference_list(payloads).select("enterpriseNumber", F.posexplode("listed")).select(
         "enterpriseNumber",
         "pos",
+        strip_blanks(reference["ReferenceNumber"]).alias("filing_id"),
         strip_blanks(reference["ReferenceNumber"]).alias("referenceNumber"),
         reference["DepositDate"].alias("depositDate"),
         leading_year(reference["ExerciseDates"]["endDate"]).alias("fiscalYear"),

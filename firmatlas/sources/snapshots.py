@@ -68,3 +68,15 @@ def write_bucketed(df: DataFrame, table_name: str, buckets: int, column: str) ->
         .format("parquet")
         .saveAsTable(table_name)
     )
+
+
+def spread_coarse(df: DataFrame, column: str) -> DataFrame:
+    """Spread a scan with fewer splits than cores, so that all cores get rows.
+
+    Small files come as one row group, that is one task. A large table has far more splits
+    than there are cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, F.col(column))
