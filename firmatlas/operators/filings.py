@@ -76,11 +76,3 @@ def requested_filings(deposits: DataFrame, years: Sequence[int]) -> DataFrame:
     wanted = deposits.filter(F.col("fiscalYear").isin([int(y) for y in years]))
     return _best(wanted, [COMPANY, "fiscalYear"], F.col("pos"))
 
-
-def company_names(named: DataFrame, order: Column) -> DataFrame:
-    """The first non-empty name per company."""
-    return (
-        named.filter(F.coalesce("enterpriseName", F.lit("")) != "")
-        .groupBy(COMPANY)
-        .agg(F.min_by("enterpriseName", order).alias("enterpriseName"))
-    )

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmatlas.operators.filings import (
     COMPANY,
     DEFAULT_YEARS,
-    company_names,
     recent_filings,
     requested_filings,
 )
@@ -56,32 +55,36 @@ def company_history(
     if failures is not None:
         rows = rows.join(failures.withColumnRenamed("error", "failure"), "filing_id", "left")
         error = F.coalesce("failure", error)
-    rows = rows.withColumn("error", error)
     usable = F.col("error").isNull()
-    payload_name = F.col("payloadName") if named else F.lit(None).cast("string")
-    offers = F.array(
-        F.struct(F.lit(0).alias("source"), F.col("enterpriseName").alias("text")),
-        F.struct(F.lit(1).alias("source"), F.when(usable, payload_name).alias("text")),
+    payload_name = F.when(usable, F.col("payloadName")) if named else F.lit(None).cast("string")
+    offered = F.coalesce(
+        F.nullif("enterpriseName", F.lit("")), F.nullif(payload_name, F.lit(""))
     )
-    offered = rows.select(COMPANY, "fiscalYear", F.explode(offers).alias("offer")).select(
-        COMPANY,
-        "fiscalYear",
-        F.col("offer")["source"].alias("source"),
-        F.col("offer")["text"].alias("enterpriseName"),
-    )
-    names = company_names(offered, F.struct(-F.col("fiscalYear"), "source"))
-    return rows.drop("enterpriseName").join(names, COMPANY, "left").select(
-        COMPANY,
-        "enterpriseName",
-        "fiscalYear",
-        "referenceNumber",
-        *[F.when(usable, F.col(c)).alias(c) for c in HISTORY_MEASURES],
-        F.lit(CURRENCY).alias("currency"),
-        "depositDate",
-        "error",
+    return (
+        rows.withColumn("error", error)
+        .select(
+            COMPANY,
+            offered.alias("offered"),
+            "fiscalYear",
+            "referenceNumber",
+            *[F.when(usable, F.col(c)).alias(c) for c in HISTORY_MEASURES],
+            F.lit(CURRENCY).alias("currency"),
+            "depositDate",
+            "error",
+        )
+        .withColumn("enterpriseName", _newest("offered", ignore_nulls=True))
+        .drop("offered")
     )
 
 
+def _newest(column: str, ignore_nulls: bool = False) -> Column:
+    """Value of the newest year of a company. The rows hold one filing per company and year
+    asked for, so a window holds no more than those."""
+    years = Window.partitionBy(COMPANY).orderBy(F.desc("fiscalYear"))
+    whole = years.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.first_value(column, F.lit(ignore_nulls)).over(whole)
+
+
 def is_text_filing() -> Column:
     kind = F.coalesce("importFileType", F.lit(""))
     return (kind != "") & (F.upper(kind) != STRUCTURED_TYPE)
@@ -102,7 +105,11 @@ def published_financials(
     """
     if companies is not None:
         deposits = deposits.join(companies.select(COMPANY).distinct(), COMPANY, "left_semi")
-    selected = requested_filings(deposits, years).withColumn("isText", is_text_filing())
+    selected = (
+        requested_filings(deposits, years)
+        .withColumn("isText", is_text_filing())
+        .withColumn("enterpriseName", _newest("enterpriseName"))
+    )
     if companies is not None:
         wanted = selected.select("filing_id")
         export_lines = reduce_to(export_lines, wanted, "filing_id")
@@ -118,11 +125,7 @@ def published_financials(
         F.col("lineCount").isNull(),
         F.when(F.col("isText"), UNSUPPORTED_FORMAT).otherwise(FETCH_FAILED),
     )
-    newest = (
-        selected.groupBy(COMPANY)
-        .agg(F.max_by("enterpriseName", "fiscalYear").alias("enterpriseName"))
-    )
-    return rows.drop("enterpriseName").join(newest, COMPANY, "left").select(
+    return rows.select(
         COMPANY,
         "enterpriseName",
         "fiscalYear",
