@@ -41,16 +41,3 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
     """Bounded size check: looks at no more than ``rows + 1`` rows."""
     return df.limit(rows + 1).count() <= rows
 
-
-def reduce_to(df: DataFrame, wanted: DataFrame, on: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Drop rows of other keys early, when the wanted keys are proven few.
-
-    Only a reduction: callers join on the key afterwards, so with many keys ``df`` is returned
-    as it is and the join does the work with shuffles on both sides.
-    """
-    keys = wanted.select(on).distinct()
-    if not has_at_most(keys, rows):
-        return df
-    return df.join(F.broadcast(keys), on, "left_semi")
-
-

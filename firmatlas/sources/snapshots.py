@@ -58,6 +58,11 @@ def write_snapshot(tables: Mapping[str, DataFrame], folder: str) -> None:
         write_table(df, folder, name)
 
 
+def write_catalog(catalog: DataFrame, folder: str) -> None:
+    """Activity codes, one folder per version, so that a search reads one version."""
+    catalog.write.mode("overwrite").partitionBy("version").parquet(folder)
+
+
 def write_bucketed(df: DataFrame, table_name: str, buckets: int, column: str) -> None:
     """As a catalog table bucketed by company, so that joins on it need no shuffle."""
     (

@@ -5,6 +5,7 @@ import pytest
 from firmatlas.operators.filings import latest_per_year, recent_filings, requested_filings, requested_years
 from firmatlas.operators.rubrics import filing_measures
 from firmatlas.operators.text_rubrics import INSURER_LABELS, text_rubrics
+from firmatlas.plans import financials
 from firmatlas.plans.financials import company_history, published_financials
 from firmatlas.sources.csv_files import EXPORT_NAME, EXPORT_REFERENCE, read_rubric_exports
 from firmatlas.sources.payloads import (
@@ -203,7 +204,9 @@ def test_history(rows):
     assert {r["enterpriseName"] for r in history.values()} == {"Acme BV"}
 
 
-def test_published_financials(rows):
+@pytest.mark.parametrize("bound", [100000, 0])
+def test_published_financials(rows, monkeypatch, bound):
+    monkeypatch.setattr(financials, "BROADCAST_ROWS", bound)
     content = [
         {"id": "pdf", "reference": "r1", "periodEndDateYear": 2024, "depositDate": "2025-05-21", "enterpriseName": "Insurer", "importFileType": "PDF"},
         {"id": "csv", "reference": "r2", "periodEndDateYear": 2023, "importFileType": "xbrl"},

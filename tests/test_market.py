@@ -3,6 +3,7 @@ import itertools
 import pytest
 
 from firmatlas.plans import market
+from firmatlas.sources.snapshots import write_catalog
 
 ACTIVITY = "entityNumber string, naceVersion string, naceCode string, classification string, enterpriseId string, establishmentId string"
 
@@ -166,3 +167,12 @@ def test_prefix_reaches_the_scan(spark, tables, tmp_path):
     plan = market.hits_of(stored, "62", "2008")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(naceCode,62)" in plan
     assert "PartitionFilters: [isnotnull(naceVersion" in plan
+
+
+def test_catalog_search_reads_one_version(spark, rows, tmp_path):
+    catalog = rows("version string, code string, description string", ("2008", "1", "a"), ("2025", "1", "b"))
+    write_catalog(catalog, str(tmp_path / "catalog"))
+    stored = spark.read.schema(catalog.schema).parquet(str(tmp_path / "catalog"))
+    found = market.search_nace(stored, "2025", "1")
+    assert [r["description"] for r in found.collect()] == ["b"]
+    assert "PartitionFilters: [isnotnull(version" in found._jdf.queryExecution().executedPlan().toString()
