@@ -69,8 +69,8 @@ def belgian_amount(matched: Column) -> Column:
 
 
 def trailing_amount(line: Column) -> Column:
-    """The amount a line ends with, else null."""
-    return F.nullif(belgian_amount(F.regexp_extract(line, TRAILING_AMOUNT, 0)), F.lit(""))
+    """The amount a line ends with, empty if there is none."""
+    return belgian_amount(F.regexp_extract(line, TRAILING_AMOUNT, 0))
 
 
 def plain_number(c: Column) -> Column:

@@ -32,20 +32,19 @@ def bare_digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
+# Exactly ten digits with anything else between them.
+TEN_DIGITS = "^" + "[^0-9]*([0-9])" * 10 + "[^0-9]*$"
+
+
 def dotted_number(c: Column) -> Column:
     """``0123456789`` -> ``0123.456.789``; text with another digit count stays as it is."""
-    digits = bare_digits(c)
-    dotted = F.concat_ws(
-        ".", F.substring(digits, 1, 4), F.substring(digits, 5, 3), F.substring(digits, 8, 3)
-    )
-    return F.when(F.length(digits) == 10, dotted).otherwise(c)
+    return F.regexp_replace(c, TEN_DIGITS, "$1$2$3$4.$5$6$7.$8$9$10")
 
 
 def vat_digits(c: Column) -> Column:
-    """Belgian VAT text -> ten digits starting with 0 or 1, else null."""
-    digits = bare_digits(c)
-    ten = F.when(F.length(digits) == 9, F.concat(F.lit("0"), digits)).otherwise(digits)
-    return F.when((F.length(ten) == 10) & F.substring(ten, 1, 1).isin("0", "1"), ten)
+    """Belgian VAT text -> ten digits starting with 0 or 1, else null. Nine digits get a zero."""
+    ten = F.regexp_replace(bare_digits(c), "^([0-9]{9})$", "0$1")
+    return F.nullif(F.regexp_extract(ten, "^[01][0-9]{9}$", 0), F.lit(""))
 
 
 def is_company(c: Column) -> Column:

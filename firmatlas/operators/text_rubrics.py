@@ -93,7 +93,7 @@ def insurer_rubrics(lines: DataFrame) -> DataFrame:
                 "reach",
                 lambda x: F.struct(
                     F.get(x, F.lit(0)).alias("line"),
-                    F.get(F.filter(F.transform(x, trailing_amount), F.isnotnull), F.lit(0)).alias(
+                    F.get(F.filter(F.transform(x, trailing_amount), lambda a: a != ""), F.lit(0)).alias(
                         "value"
                     ),
                 ),

@@ -124,13 +124,13 @@ def test_imported_number(one, text, value):
     "line, amount",
     [
         ("E. Vorderingen 541.614.168", "541614168"),
-        ("11", None),
+        ("11", ""),
         ("1459", "1459"),
         ("( 12.500 )", "-12500"),
         ("x 12,50", "12.50"),
-        ("see ....", None),
+        ("see ....", ""),
         (f"total 1.000{NBSP}", "1000"),
-        ("100 EUR", None),
+        ("100 EUR", ""),
     ],
 )
 def test_trailing_amount(one, line, amount):
