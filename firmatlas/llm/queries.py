@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from firmatlas.llm import minhash
+from firmatlas.llm import decontaminate, lines, minhash
 from firmatlas.llm.store import table
 
 
@@ -12,5 +12,22 @@ def op1_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
-QUERIES = {"op1_minhash": op1_minhash}
+def op5_decontaminate(spark, sf_dir):
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op9_lines(spark, sf_dir):
+    found = lines.deduplicated(table(spark, sf_dir, "documents"), min_words=50)
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"),
+        F.size("deleted").cast("long").alias("n_deleted"), F.array_join("deleted", ",").alias("deleted_lines"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op5_decontaminate": op5_decontaminate, "op9_lines": op9_lines}
 ORACLE: dict[str, str] = {}
