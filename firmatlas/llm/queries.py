@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from firmatlas.llm import decontaminate, lines, minhash
+from firmatlas.llm.sql import ORACLE  # noqa: F401
 from firmatlas.llm.store import table
 
 
@@ -30,4 +31,4 @@ def op9_lines(spark, sf_dir):
 
 
 QUERIES = {"op1_minhash": op1_minhash, "op5_decontaminate": op5_decontaminate, "op9_lines": op9_lines}
-ORACLE: dict[str, str] = {}
+
