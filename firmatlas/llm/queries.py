@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from firmatlas.llm import decontaminate, lines, minhash
+from firmatlas.llm import decontaminate, lines, minhash, mixing
 from firmatlas.llm.sql import ORACLE  # noqa: F401
-from firmatlas.llm.store import table
+from firmatlas.llm.store import table, written
 
 
 def op1_minhash(spark, sf_dir):
@@ -30,5 +30,12 @@ def op9_lines(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op5_decontaminate": op5_decontaminate, "op9_lines": op9_lines}
+def op8_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    sizes = written(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "sizes")
+    found = mixing.mixed(sizes, share=1.0, passes=3, size=F.col("size"))
+    return found.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op5_decontaminate": op5_decontaminate, "op8_mixing": op8_mixing, "op9_lines": op9_lines}
 

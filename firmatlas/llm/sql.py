@@ -74,4 +74,26 @@ SELECT d.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(
 FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE = {"op1_minhash": OP1, "op5_decontaminate": OP5, "op9_lines": OP9}
+OP8 = r"""
+WITH d AS (
+  SELECT doc_id, source IS NULL AS no_name, coalesce(source, '') AS name, len(regexp_extract_all(coalesce(text, ''), {word})) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || '-17') AS key FROM documents),
+a AS (SELECT no_name, name, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY no_name, name),
+r AS (SELECT *, row_number() OVER (ORDER BY no_name, name) AS rank, 3 * words AS cap FROM a),
+w AS (SELECT *, (rank - 1) % 3 + 1 AS weight, cap / ((rank - 1) % 3 + 1) AS full_at, CAST(sum(words) OVER () AS DOUBLE) AS budget FROM r),
+o AS (
+  SELECT *, (budget - coalesce(CAST(sum(cap) OVER (ORDER BY full_at, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0))
+    / CAST(sum(weight) OVER (ORDER BY full_at, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS own FROM w),
+v AS (SELECT *, coalesce(max(CASE WHEN full_at > own THEN own END) OVER (), max(full_at) OVER ()) AS level FROM o),
+s AS (SELECT *, CASE WHEN full_at <= level THEN CAST(cap AS DOUBLE) ELSE level * weight END AS target FROM v),
+c AS (SELECT d.*, CAST(sum(size) OVER (PARTITION BY no_name, name ORDER BY key, doc_id, size) AS BIGINT) AS upto FROM d),
+x AS (
+  SELECT c.doc_id, c.size, c.key, s.rank, s.budget, (e * s.words + c.upto) / s.weight AS x, s.level
+  FROM c JOIN s USING (no_name, name), unnest([0, 1, 2]) t(e) WHERE c.size > 0),
+y AS (SELECT *, sum(size) OVER (ORDER BY x, rank, key, doc_id) AS run FROM x WHERE x <= 2 * level),
+n AS (SELECT doc_id, count(*) AS copies FROM y WHERE run <= budget GROUP BY doc_id)
+SELECT c.doc_id, CAST(c.size AS BIGINT) AS size, s.words AS source_size, s.target, CAST(c.size * coalesce(n.copies, 0) AS BIGINT) AS taken
+FROM c JOIN s USING (no_name, name) LEFT JOIN n USING (doc_id)
+""".format(word=WORD)
+
+ORACLE = {"op8_mixing": OP8, "op1_minhash": OP1, "op5_decontaminate": OP5, "op9_lines": OP9}
