@@ -10,12 +10,13 @@ chance, estimates the Jaccard similarity; what the estimate leaves is verified o
 Groups of copies. Documents with equal sets become one class, represented by the smallest doc_id, by
 a grouped minimum. Within a band, classes are not paired with each other: they are compared with a
 leader, by several rounds with another leader each; then only classes that are still in different
-components are compared. So a group of n copies takes about n comparisons, and a link is left out
-only where both ends are in one component already, which a link can't change.
+components are compared, and of those only sets without too many shingles of their own. So a group of
+n copies takes about n comparisons, and a link is left out only where both ends are in one component
+already, which a link can't change.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is linked with
 nothing; with fewer words than ``size`` the whole sequence is one shingle; rows that repeat a doc_id
-are kept as rows; a row without doc_id has component_id null and is kept; an empty table gives an
+are kept as rows and share one component, with the links of each of their texts; a row without doc_id has component_id null and is kept; an empty table gives an
 empty result; columns besides doc_id and text are not read.
 """
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from firmatlas.llm import kernel as K
@@ -36,6 +38,8 @@ SMALL_SET = 64
 #: Standard errors of the estimate that are allowed before a pair is rejected without verification.
 SLACK = 5.0
 LEADER_ROUNDS = 2
+#: Size of the bitmap by which tasks skip texts that are in no candidate pair (8 MB).
+FILTER_BITS = 1 << 26
 
 
 def shingles(data, offsets, rows: int, size: int, lower: bool = True):
@@ -110,15 +114,6 @@ def _sketches(size: int):
     return K.batches(one, pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("registers", pa.binary()), ("bands", pa.list_(pa.int64()))]))
 
 
-def _sets(size: int):
-    def one(batch):
-        for first, stop, data, offsets in K.texts(batch.column("text")):
-            hashes, row = shingles(data, offsets, stop - first, size)
-            yield [batch.column("doc_id").slice(first, stop - first), K.lists(hashes.view(np.int64), np.bincount(row, minlength=stop - first))]
-
-    return K.batches(one, pa.schema([("doc_id", pa.int64()), ("items", pa.list_(pa.int64()))]))
-
-
 def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Probability that registers of disjoint sets of n and m items agree."""
     level = 2.0 ** -np.arange(0, 46)
@@ -151,21 +146,48 @@ def _estimates(threshold: float):
     return K.batches(one, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
+def _wanted(ids: DataFrame) -> np.ndarray:
+    """Bitmap of ``id mod FILTER_BITS``: a filter of fixed size that lets through every id of ``ids``."""
+    bit = F.pmod(F.col("doc_id"), F.lit(FILTER_BITS)) + 1
+    parts = ids.select(bit.alias("bit")).distinct().groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for part, bits in zip(*parts.toArrow().select(["part", "bits"]).columns):
+        at = (part.as_py() - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(bits.as_py(), np.uint8)
+    return out
+
+
+def _sets(size: int, shared):
+    def one(batch):
+        bits = shared.value
+        low = pc.fill_null(batch.column("doc_id"), -1).to_numpy() % FILTER_BITS
+        keep = (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1
+        batch = batch.filter(pa.array(keep.astype(bool)))
+        for first, stop, data, offsets in K.texts(batch.column("text")):
+            hashes, row = shingles(data, offsets, stop - first, size)
+            yield [batch.column("doc_id").slice(first, stop - first), K.lists(hashes.view(np.int64), np.bincount(row, minlength=stop - first))]
+
+    return K.batches(one, pa.schema([("doc_id", pa.int64()), ("items", pa.list_(pa.int64()))]))
+
+
 class _Verifier:
     """Candidate pairs (a, b) of class representatives to true links."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int):
         self.docs, self.classes, self.size, self.percent = docs, classes, size, percent
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, items) of the ids. Texts are not shuffled: tasks drop most others by a bitmap."""
+        shared = self.docs.sparkSession.sparkContext.broadcast(_wanted(ids))
+        found = self.docs.mapInArrow(_sets(self.size, shared), "doc_id long, items array<long>")
+        return written(found.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "items"]), "sets")
+
     def links(self, pairs: DataFrame) -> DataFrame:
-        side = self.classes.select(F.col("doc_id"), "n", "registers")
-        sides = [side.select(*(F.col(c).alias(d) for c, d in (("doc_id", x), ("n", f"n_{x}"), ("registers", f"r_{x}")))) for x in "ab"]
+        sides = [self.classes.select(*(F.col(c).alias(d) for c, d in (("doc_id", x), ("n", f"n_{x}"), ("registers", f"r_{x}")))) for x in "ab"]
         both = pairs.join(sides[0], "a").join(sides[1], "b")
         both = both.filter(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
         likely = written(both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_estimates(self.percent / 100), "a long, b long"), "candidates")
-        ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.size), "doc_id long, items array<long>").dropDuplicates(["doc_id"])
-        sets = written(sets, "sets")
+        sets = self.sets(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         shared = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
         shared = shared.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("both"))
         return shared.filter(100 * F.col("both") >= self.percent * (F.col("total") - F.col("both"))).select("a", "b")
@@ -181,11 +203,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sketched = written(docs.mapInArrow(_sketches(size), "doc_id long, n long, d1 long, d2 long, registers binary, bands array<long>"), "sketches")
     keys = ["n", "d1", "d2"]
     owners = sketched.filter("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_members"))
+    # Written, so that the join below has an exchange on both sides and a hot class can be split.
+    owners = written(owners, "owners")
     members = written(sketched.select("doc_id", *keys).join(owners, keys, "left").select("doc_id", "n", "class_id", "n_members"), "members")
-    heads = members.filter("doc_id = class_id").select("doc_id").distinct()
-    classes = sketched.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    heads = owners.select(*keys, F.col("class_id").alias("doc_id"))
+    classes = written(sketched.join(heads, [*keys, "doc_id"], "left_semi").dropDuplicates([*keys, "doc_id"]), "classes")
     entries = classes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("band")
+    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1").select("band")
     entries = written(entries.join(shared, "band", "left_semi"), "bands")
     verifier = _Verifier(docs.filter("doc_id is not null"), classes.select("doc_id", "n", "registers"), size, percent)
     links = None
@@ -197,11 +221,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             F.min(F.struct(rank.alias("rank"), F.col("node").alias("leader"), F.col("comp").alias("lead_comp"))).alias("top"),
             F.min("comp").alias("lo"), F.max("comp").alias("hi"),
         ).filter("lo < hi").select("band", "top.leader", "top.lead_comp")
-        pairs = own.join(lead, "band").filter("comp <> lead_comp").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
-        found = verifier.links(pairs)
+        pairs = own.join(written(lead, "leaders"), "band").filter("comp <> lead_comp")
+        found = verifier.links(pairs.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct())
         links = written(found if links is None else links.union(found), "edges")
-        labels = _labels(entries, links)
-    rest = _open_pairs(entries, labels)
+        groups = components(links)
+        nodes = entries.select("node").distinct()
+        labels = written(nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "labels")
+    rest = _open_pairs(entries.join(labels, "node"), verifier)
     links = written(links.union(verifier.links(rest)), "edges")
     groups = components(links)
     out = members.join(groups, members.class_id == groups.node, "left")
@@ -213,21 +239,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
 
 
-def _labels(entries: DataFrame, links: DataFrame) -> DataFrame:
-    groups = components(links)
-    nodes = entries.select("node").distinct()
-    return written(nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "labels")
-
-
-def _open_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs within a band whose ends are still in different components.
+def _open_pairs(own: DataFrame, verifier: _Verifier) -> DataFrame:
+    """Pairs within a band whose ends (band, node, comp) are still in different components.
 
-    A band that is in one component is left out whole. In the others the rows of the largest
-    component meet the rows outside it, and those meet each other.
+    A set that links with another shares at least ``percent / (100 + percent)`` of both sizes with
+    it. Shingles that no other set of these bands holds can't be shared, so a set that has too many
+    of its own is left out: by itself, if no set of the band is small enough, and else from the
+    pairs that it can't satisfy.
     """
-    own = entries.join(labels, "node")
-    open_bands = own.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-    own = own.join(open_bands, "band", "left_semi")
-    left = own.select("band", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    right = own.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    return left.join(right, "band").filter("a > b and ca <> cb").select("a", "b").distinct()
+    percent = verifier.percent
+    spread = own.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
+    own = written(own.join(written(spread, "open-bands"), "band", "left_semi"), "open")
+    sets = verifier.sets(own.select(F.col("node").alias("doc_id")).distinct())
+    alone = sets.select("doc_id", F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("uses"), F.min("doc_id").alias("node"))
+    alone = alone.filter("uses = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = sets.groupBy(F.col("doc_id").alias("node")).agg(F.max(F.size("items")).alias("n"))
+    sizes = sizes.join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    own = own.join(written(sizes, "open-sizes"), "node")
+
+    def enough(n, m):
+        return (100 + percent) * F.col("common") >= percent * (n + m)
+
+    least = written(own.groupBy("band").agg(F.min("n").alias("least_n")), "open-least")
+    own = own.join(least, "band").filter(enough(F.col("n"), F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100))))
+    own = written(own.drop("least_n"), "open-rows")
+    left = own.select("band", *(F.col(c).alias(f"{c}_a") for c in ("node", "comp", "n", "common")))
+    right = own.select("band", *(F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "common")))
+    need = percent * (F.col("n_a") + F.col("n_b"))
+    fits = (F.col("node_a") > F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & ((100 + percent) * F.least("common_a", "common_b") >= need)
+    pairs = left.join(right, (left.band == right.band) & fits)
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
