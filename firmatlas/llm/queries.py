@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from firmatlas.llm import decontaminate, lines, minhash, mixing
+import corpus_pipeline
+
+from firmatlas.llm import decontaminate, lines, minhash, mixing, toxicity
 from firmatlas.llm.sql import ORACLE  # noqa: F401
 from firmatlas.llm.store import table, written
 
@@ -13,6 +15,12 @@ def op1_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("row.doc_id", *(F.col(c).alias(f"p_{c}") for c in toxicity.CATEGORIES), "rejected")
+
+
 def op5_decontaminate(spark, sf_dir):
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
     return found.select(
@@ -37,5 +45,9 @@ def op8_mixing(spark, sf_dir):
     return found.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op5_decontaminate": op5_decontaminate, "op8_mixing": op8_mixing, "op9_lines": op9_lines}
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"pipeline": pipeline, "op1_minhash": op1_minhash, "op3_toxicity": op3_toxicity, "op5_decontaminate": op5_decontaminate, "op8_mixing": op8_mixing, "op9_lines": op9_lines}
 
