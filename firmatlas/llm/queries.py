@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from firmatlas.llm import decontaminate, lines, minhash, mixing, toxicity
+from firmatlas.llm import decontaminate, lines, minhash, mixing, quality, toxicity
 from firmatlas.llm.sql import ORACLE  # noqa: F401
 from firmatlas.llm.store import table, written
 
@@ -45,9 +45,20 @@ def op8_mixing(spark, sf_dir):
     return found.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def _fold(n: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(0))
+
+
+def op10_quality(spark, sf_dir):
+    rows = quality.measured(table(spark, sf_dir, "documents"))
+    model = quality.train(rows, table(spark, sf_dir, "labels").filter(_fold(3) != 1))
+    found = quality.scored(rows, model)
+    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op1_minhash": op1_minhash, "op3_toxicity": op3_toxicity, "op5_decontaminate": op5_decontaminate, "op8_mixing": op8_mixing, "op9_lines": op9_lines}
+QUERIES = {"pipeline": pipeline, "op1_minhash": op1_minhash, "op3_toxicity": op3_toxicity, "op5_decontaminate": op5_decontaminate, "op8_mixing": op8_mixing, "op9_lines": op9_lines, "op10_quality": op10_quality}
 
