@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from firmatlas.llm import kernel as K
 from firmatlas.llm.components import components
+from firmatlas.llm.membership import bitmap, inside
 from firmatlas.llm.store import written
 
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
@@ -38,8 +39,6 @@ SMALL_SET = 64
 #: Standard errors of the estimate that are allowed before a pair is rejected without verification.
 SLACK = 5.0
 LEADER_ROUNDS = 2
-#: Size of the bitmap by which tasks skip texts that are in no candidate pair (8 MB).
-FILTER_BITS = 1 << 26
 
 
 def shingles(data, offsets, rows: int, size: int, lower: bool = True):
@@ -146,23 +145,9 @@ def _estimates(threshold: float):
     return K.batches(one, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _wanted(ids: DataFrame) -> np.ndarray:
-    """Bitmap of ``id mod FILTER_BITS``: a filter of fixed size that lets through every id of ``ids``."""
-    bit = F.pmod(F.col("doc_id"), F.lit(FILTER_BITS)) + 1
-    parts = ids.select(bit.alias("bit")).distinct().groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for part, bits in zip(*parts.toArrow().select(["part", "bits"]).columns):
-        at = (part.as_py() - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(bits.as_py(), np.uint8)
-    return out
-
-
 def _sets(size: int, shared):
     def one(batch):
-        bits = shared.value
-        low = pc.fill_null(batch.column("doc_id"), -1).to_numpy() % FILTER_BITS
-        keep = (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1
-        batch = batch.filter(pa.array(keep.astype(bool)))
+        batch = batch.filter(pa.array(inside(shared.value, pc.fill_null(batch.column("doc_id"), -1).to_numpy())))
         for first, stop, data, offsets in K.texts(batch.column("text")):
             hashes, row = shingles(data, offsets, stop - first, size)
             yield [batch.column("doc_id").slice(first, stop - first), K.lists(hashes.view(np.int64), np.bincount(row, minlength=stop - first))]
@@ -178,7 +163,7 @@ class _Verifier:
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """(doc_id, items) of the ids. Texts are not shuffled: tasks drop most others by a bitmap."""
-        shared = self.docs.sparkSession.sparkContext.broadcast(_wanted(ids))
+        shared = self.docs.sparkSession.sparkContext.broadcast(bitmap(ids, "doc_id"))
         found = self.docs.mapInArrow(_sets(self.size, shared), "doc_id long, items array<long>")
         return written(found.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "items"]), "sets")
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from firmatlas.llm import decontaminate, lines, minhash, mixing, quality, toxicity
+from firmatlas.llm import decontaminate, lines, minhash, mixing, quality, toxicity, warc
 from firmatlas.llm.sql import ORACLE  # noqa: F401
 from firmatlas.llm.store import table, written
+from firmatlas.session import work_folder
 
 
 def op1_minhash(spark, sf_dir):
@@ -38,6 +39,15 @@ def op9_lines(spark, sf_dir):
     )
 
 
+def op7_warc(spark, sf_dir):
+    folder = work_folder(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder, min_bytes=0)
+    full = warc.read_archives(spark, folder).filter("record_type = 'response'")
+    full = full.mapInArrow(warc.measured, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    again = warc.read_archives(spark, folder, payload=False).filter("record_type = 'revisit'")
+    return full.union(again.select(*full.columns))
+
+
 def op8_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     sizes = written(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "sizes")
@@ -60,5 +70,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op1_minhash": op1_minhash, "op3_toxicity": op3_toxicity, "op5_decontaminate": op5_decontaminate, "op8_mixing": op8_mixing, "op9_lines": op9_lines, "op10_quality": op10_quality}
+QUERIES = {"pipeline": pipeline, "op1_minhash": op1_minhash, "op3_toxicity": op3_toxicity, "op5_decontaminate": op5_decontaminate, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_lines": op9_lines, "op10_quality": op10_quality}
 

@@ -96,4 +96,15 @@ SELECT c.doc_id, CAST(c.size AS BIGINT) AS size, s.words AS source_size, s.targe
 FROM c JOIN s USING (no_name, name) LEFT JOIN n USING (doc_id)
 """.format(word=WORD)
 
-ORACLE = {"op8_mixing": OP8, "op1_minhash": OP1, "op5_decontaminate": OP5, "op9_lines": OP9}
+# Base32 of the SHA-1 hex text: 32 groups of five bits.
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS n, upper(sha1(html)) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (instr('0123456789ABCDEF', hex[i]) - 1) + 1, 4)), '') AS bits FROM h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda j: CASE WHEN bits[5 * i + j + 1] = '1' THEN (16 >> j) ELSE 0 END))::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
+ORACLE = {"op7_warc": OP7, "op8_mixing": OP8, "op1_minhash": OP1, "op5_decontaminate": OP5, "op9_lines": OP9}
