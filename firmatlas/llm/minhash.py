@@ -9,10 +9,11 @@ chance, estimates the Jaccard similarity; what the estimate leaves is verified o
 
 Groups of copies. Documents with equal sets become one class, represented by the smallest doc_id, by
 a grouped minimum. Within a band, classes are not paired with each other: they are compared with a
-leader, by several rounds with another leader each; then only classes that are still in different
-components are compared, and of those only sets without too many shingles of their own. So a group of
+leader (the class that shares most bands), by several rounds with another leader each; then only classes that are still in different
+components are compared. So a group of
 n copies takes about n comparisons, and a link is left out only where both ends are in one component
-already, which a link can't change.
+already, which a link can't change. That last comparison finds its pairs by the rarest shingles that
+two linked sets must share (prefix and position filters), so it is exact among the sets it sees.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is linked with
 nothing; with fewer words than ``size`` the whole sequence is one shingle; rows that repeat a doc_id
@@ -25,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from firmatlas.llm import kernel as K
 from firmatlas.llm.components import components
@@ -38,7 +39,7 @@ BUCKET_BITS = BUCKETS.bit_length() - 1
 SMALL_SET = 64
 #: Standard errors of the estimate that are allowed before a pair is rejected without verification.
 SLACK = 5.0
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 3
 
 
 def shingles(data, offsets, rows: int, size: int, lower: bool = True):
@@ -194,16 +195,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     heads = owners.select(*keys, F.col("class_id").alias("doc_id"))
     classes = written(sketched.join(heads, [*keys, "doc_id"], "left_semi").dropDuplicates([*keys, "doc_id"]), "classes")
     entries = classes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1").select("band")
-    entries = written(entries.join(shared, "band", "left_semi"), "bands")
+    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1")
+    entries = written(entries.join(written(shared, "shared-bands"), "band"), "bands")
+    weights = written(entries.groupBy("node").agg(F.sum("uses").alias("weight")), "weights")
     verifier = _Verifier(docs.filter("doc_id is not null"), classes.select("doc_id", "n", "registers"), size, percent)
     links = None
     labels = entries.select("node", F.col("node").alias("comp")).distinct()
     for turn in range(LEADER_ROUNDS):
-        own = entries.join(labels, "node")
-        rank = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
+        own = entries.select("band", "node").join(labels.join(weights, "node"), "node")
+        # The set that shares most bands is nearest to what its group has in common. Later rounds vary the choice.
+        rank = F.col("weight") * (1 - 0.1 * turn * F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(1024)) / 1024)
         lead = own.groupBy("band").agg(
-            F.min(F.struct(rank.alias("rank"), F.col("node").alias("leader"), F.col("comp").alias("lead_comp"))).alias("top"),
+            F.max(F.struct(rank.alias("rank"), F.col("node").alias("leader"), F.col("comp").alias("lead_comp"))).alias("top"),
             F.min("comp").alias("lo"), F.max("comp").alias("hi"),
         ).filter("lo < hi").select("band", "top.leader", "top.lead_comp")
         pairs = own.join(written(lead, "leaders"), "band").filter("comp <> lead_comp")
@@ -212,7 +215,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         groups = components(links)
         nodes = entries.select("node").distinct()
         labels = written(nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "labels")
-    rest = _open_pairs(entries.join(labels, "node"), verifier)
+    rest = _open_pairs(entries.select("band", "node").join(labels, "node"), verifier)
     links = written(links.union(verifier.links(rest)), "edges")
     groups = components(links)
     out = members.join(groups, members.class_id == groups.node, "left")
@@ -225,32 +228,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def _open_pairs(own: DataFrame, verifier: _Verifier) -> DataFrame:
-    """Pairs within a band whose ends (band, node, comp) are still in different components.
+    """Pairs that may be links, among sets (band, node, comp) whose bands hold several components.
 
-    A set that links with another shares at least ``percent / (100 + percent)`` of both sizes with
-    it. Shingles that no other set of these bands holds can't be shared, so a set that has too many
-    of its own is left out: by itself, if no set of the band is small enough, and else from the
-    pairs that it can't satisfy.
+    Shingles are ordered from rare to frequent among these sets. Two sets that link share at least
+    ``need`` shingles, so their first common one leaves that many in both from its place on; it lies
+    among the first few of either. Sets are joined on these few shingles and tested on their places.
+    What a large group has in common is frequent and comes late, so sets that only share that with the
+    group are left out one by one, before the join.
     """
     percent = verifier.percent
+
+    def need(n, m):
+        return F.ceil(percent * (n + m) / F.lit(100 + percent))
+
     spread = own.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-    own = written(own.join(written(spread, "open-bands"), "band", "left_semi"), "open")
-    sets = verifier.sets(own.select(F.col("node").alias("doc_id")).distinct())
-    alone = sets.select("doc_id", F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("uses"), F.min("doc_id").alias("node"))
-    alone = alone.filter("uses = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    sizes = sets.groupBy(F.col("doc_id").alias("node")).agg(F.max(F.size("items")).alias("n"))
-    sizes = sizes.join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
-    own = own.join(written(sizes, "open-sizes"), "node")
-
-    def enough(n, m):
-        return (100 + percent) * F.col("common") >= percent * (n + m)
-
-    least = written(own.groupBy("band").agg(F.min("n").alias("least_n")), "open-least")
-    own = own.join(least, "band").filter(enough(F.col("n"), F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100))))
-    own = written(own.drop("least_n"), "open-rows")
-    left = own.select("band", *(F.col(c).alias(f"{c}_a") for c in ("node", "comp", "n", "common")))
-    right = own.select("band", *(F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "common")))
-    need = percent * (F.col("n_a") + F.col("n_b"))
-    fits = (F.col("node_a") > F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & ((100 + percent) * F.least("common_a", "common_b") >= need)
-    pairs = left.join(right, (left.band == right.band) & fits)
+    nodes = written(own.join(written(spread, "open-bands"), "band", "left_semi").select("node", "comp").distinct(), "open")
+    sets = verifier.sets(nodes.select(F.col("node").alias("doc_id")))
+    items = sets.select(F.col("doc_id").alias("node"), F.size("items").alias("n"), F.explode("items").alias("item"))
+    uses = written(items.groupBy("item").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1"), "item-uses")
+    # A shingle of one set comes first in its order but joins with nothing.
+    shared = items.join(uses, "item")
+    order = W.partitionBy("node", "n").orderBy("uses", "item")
+    placed = shared.withColumn("at", F.row_number().over(order)).withColumn("common", F.count(F.lit(1)).over(W.partitionBy("node", "n")))
+    placed = placed.withColumn("left", F.col("common") - F.col("at") + 1).filter(F.col("left") >= F.ceil(percent * F.col("n") / F.lit(100)))
+    placed = written(placed.join(nodes, "node").select("node", "comp", "n", "item", "left"), "open-items")
+    for _ in range(2):
+        group = placed.groupBy("item").agg(F.min("n").alias("least_n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+        placed = placed.join(written(group.select("item", "least_n"), "open-groups"), "item")
+        smallest = F.greatest("least_n", F.ceil(percent * F.col("n") / F.lit(100)))
+        placed = written(placed.filter(F.col("left") >= need(F.col("n"), smallest)).drop("least_n"), "open-items")
+    left = placed.select("item", *(F.col(c).alias(f"{c}_a") for c in ("node", "comp", "n", "left")))
+    right = placed.select(F.col("item").alias("item_b"), *(F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "left")))
+    fits = (F.col("node_a") > F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.least("left_a", "left_b") >= need(F.col("n_a"), F.col("n_b")))
+    pairs = left.join(right, (F.col("item") == F.col("item_b")) & fits)
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
