@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from firmatlas.llm import decontaminate, lines, minhash, mixing, quality, toxicity, warc
+from firmatlas.llm import decontaminate, fertility, lines, minhash, mixing, quality, substrings, toxicity, warc
 from firmatlas.llm.sql import ORACLE  # noqa: F401
 from firmatlas.llm.store import table, written
 from firmatlas.session import work_folder
@@ -16,12 +16,21 @@ def op1_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op2_substrings(spark, sf_dir):
+    return substrings.without_repeats(table(spark, sf_dir, "documents"), length=400).drop("kept")
+
+
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
     return found.select("row.doc_id", *(F.col(c).alias(f"p_{c}") for c in toxicity.CATEGORIES), "rejected")
 
 
+def op4_fertility(spark, sf_dir):
+    found = fertility.judged(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *fertility.MEASURES)
+
+
 def op5_decontaminate(spark, sf_dir):
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
     return found.select(
@@ -70,5 +79,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op1_minhash": op1_minhash, "op3_toxicity": op3_toxicity, "op5_decontaminate": op5_decontaminate, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_lines": op9_lines, "op10_quality": op10_quality}
+QUERIES = {"pipeline": pipeline, "op1_minhash": op1_minhash, "op2_substrings": op2_substrings, "op3_toxicity": op3_toxicity, "op4_fertility": op4_fertility, "op5_decontaminate": op5_decontaminate, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_lines": op9_lines, "op10_quality": op10_quality}
 

@@ -203,14 +203,15 @@ class _Pass:
         def one(batch):
             for first, stop, data, offsets, prefix, (place, hashes, low, high, row) in self.chunks(batch):
                 keep = inside(shared_anchors.value, hashes)
-                owner, lo, hi, core, content = cells(place[keep], low[keep], high[keep], prefix, self.length, self.kgram, self.cell)
+                place = place[keep]
+                owner, lo, hi, core, content = cells(place, low[keep], high[keep], prefix, self.length, self.kgram, self.cell)
                 keep = np.flatnonzero(inside(shared_cores.value, core))
-                _, some = np.unique(np.column_stack([core[keep], content[keep]]), axis=0, return_index=True) if len(keep) else (0, keep)
+                _, some = np.unique(np.column_stack([core[keep], content[keep]]), axis=0, return_index=True)
                 keep = keep[some]
                 raw = data.tobytes()
                 body = [raw[a : b + self.length] for a, b in zip(lo[keep], hi[keep])]
-                farthest = (lo - place[np.flatnonzero(inside(shared_anchors.value, hashes))][owner])[keep] if len(keep) else keep
-                yield [core[keep].view(np.int64), content[keep].view(np.int64), farthest.astype(np.int32), pa.array(body, pa.binary())]
+                distance = (lo - place[owner])[keep]
+                yield [core[keep].view(np.int64), content[keep].view(np.int64), distance.astype(np.int32), pa.array(body, pa.binary())]
 
         return K.batches(one, pa.schema([("core", pa.int64()), ("content", pa.int64()), ("distance", pa.int32()), ("body", pa.binary())]))
 
