@@ -4,8 +4,8 @@ Base rules reject texts of fewer than 20 words and texts of which more than 30 %
 8-word windows that occur twice or more. For the others three measures are taken with public
 vocabularies: characters per token, the share of byte-fallback tokens, and the entropy of the tokens
 relative to its maximum. Each language (of texts without one, each script) has bands for them: the
-median over all its texts that pass the base rules, and ``spreads`` times the distance of an outer
-quantile from it on either side, but ``least`` at least. A text outside a band is rejected.
+median over all its texts that pass the base rules, and a multiple of the distance of the quartile
+from it on either side, but a least width (see ``BANDS``). A text outside a band is rejected.
 
 A text is measured word by word: a word is encoded once, with the space before it, and kept in a cache
 of ``CACHE_WORDS`` words for each tokenizer process; counts of words then give counts of tokens. The
@@ -172,8 +172,12 @@ def measured(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
     return rows.mapInArrow(K.batches(_measure(folder), SCHEMA), ddl).withColumn("base_failed", failed)
 
 
-#: Per measure: outer quantiles, how many times their distance from the median a band is wide, and its least width.
-BANDS = {"chars_per_token": (0.05, 0.95, 3.0, 0.4), "fallback_share": (0.05, 0.95, 3.0, 0.02), "entropy": (0.05, 0.95, 3.0, 0.1)}
+#: Per measure: lower and upper quantile, how many times their distance from the median a band is wide, and its least width.
+BANDS = {"chars_per_token": (0.25, 0.75, 5.0, 0.14), "fallback_share": (0.25, 0.75, 6.0, 0.02), "entropy": (0.25, 0.75, 6.0, 0.2)}
+
+
+#: Bands of a text of n tokens are wider by this, divided by the root of n.
+NOISE = 8.0
 
 
 def bands(rows: DataFrame, min_tokens: int = 50, min_texts: int = 100) -> DataFrame:
@@ -192,8 +196,11 @@ def judged(docs: DataFrame, folder: str = FOLDER, min_tokens: int = 50, min_text
     rows = written(measured(docs, folder), "fertility")
     limits = written(bands(rows, min_tokens, min_texts), "bands")
     rows = rows.withColumn("group", F.coalesce("lang", "script")).join(limits, "group", "left")
+    # A short text gives a less exact measure, so bands are wider for it.
+    spare = NOISE / F.sqrt(F.greatest("n_tokens", F.lit(1)))
     inside = F.lit(True)
     for m in MEASURES:
-        inside = inside & F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
+        more = (F.col(f"{m}_high") - F.col(f"{m}_low")) / 2 * spare
+        inside = inside & F.col(m).between(F.col(f"{m}_low") - more, F.col(f"{m}_high") + more)
     fits = F.when(F.col("n_tokens") < min_tokens, True).otherwise(F.coalesce(inside, F.lit(True)))
     return rows.withColumn("kept", ~F.col("base_failed") & fits)
