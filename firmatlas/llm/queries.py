@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from firmatlas.llm import decontaminate, fertility, lines, minhash, mixing, quality, substrings, toxicity, warc
+from firmatlas.llm import decontaminate, fertility, lines, minhash, mixing, ngram, quality, substrings, toxicity, warc
 from firmatlas.llm.sql import ORACLE  # noqa: F401
 from firmatlas.llm.store import table, written
 from firmatlas.session import work_folder
@@ -48,6 +48,11 @@ def op9_lines(spark, sf_dir):
     )
 
 
+def op6_ngram(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", _fold(10) == 0)
+    return ngram.scored(docs)
+
+
 def op7_warc(spark, sf_dir):
     folder = work_folder(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder, min_bytes=0)
@@ -79,5 +84,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op1_minhash": op1_minhash, "op2_substrings": op2_substrings, "op3_toxicity": op3_toxicity, "op4_fertility": op4_fertility, "op5_decontaminate": op5_decontaminate, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_lines": op9_lines, "op10_quality": op10_quality}
+QUERIES = {"pipeline": pipeline, "op1_minhash": op1_minhash, "op2_substrings": op2_substrings, "op3_toxicity": op3_toxicity, "op4_fertility": op4_fertility, "op5_decontaminate": op5_decontaminate, "op6_ngram": op6_ngram, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_lines": op9_lines, "op10_quality": op10_quality}
 

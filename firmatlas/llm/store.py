@@ -6,6 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from firmatlas.session import work_folder
 
+#: Rows that a task hands to Python at a time. The default of 10,000 long texts would not fit in memory.
+BATCH_ROWS = 512
+
+
+def _bounded_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
@@ -14,10 +23,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     named afresh for each call and stays until the checkpoint folder is cleaned.
     """
     spark = df.sparkSession
+    _bounded_batches(spark)
     path = work_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
