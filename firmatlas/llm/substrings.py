@@ -342,9 +342,28 @@ def _rest(batch):
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
+def _split(shared, members: bool):
+    """Rows whose doc_id may lose bytes, or the others; a row without doc_id may."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id")
+            maybe = inside(shared.value, ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(maybe if members else ~maybe))
+
+    return run
+
+
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal runs), kept_sha256 and the kept bytes of every row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans (maximal runs), kept_sha256 and the kept bytes of every row of docs.
+
+    Texts that lose nothing are not shuffled: a bitmap of fixed size tells most of them.
+    """
     spans = written(removed_spans(docs, length), "spans").select(F.col("doc_id").alias("id"), F.col("text_key").alias("tk"), "spans")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("tk")), "left")
-    return rows.select("doc_id", "text", "spans").mapInArrow(K.batches(_rest, RESULT), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(spans, "id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    some = rows.mapInArrow(_split(shared, True), "doc_id long, text string").withColumn("text_key", F.xxhash64("text"))
+    some = some.join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("tk")), "left").select("doc_id", "text", "spans")
+    others = rows.mapInArrow(_split(shared, False), "doc_id long, text string").withColumn("spans", F.lit(None).cast(some.schema["spans"].dataType))
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    return some.mapInArrow(K.batches(_rest, RESULT), ddl).union(others.mapInArrow(K.batches(_rest, RESULT), ddl))
