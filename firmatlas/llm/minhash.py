@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     out = members.join(groups, members.class_id == groups.node, "left")
     component = F.coalesce("component", "class_id", "doc_id")
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
         F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_members", F.lit(1)).alias("n_members"),
     )
