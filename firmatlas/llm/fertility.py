@@ -20,6 +20,7 @@ by its own text; an empty table gives an empty result; other columns are not rea
 from __future__ import annotations
 
 import base64
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ FOLDER = "/opt/tokenizers"
 BYTE_BPE, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 # Fixed value: how the byte-level vocabulary expects a text to be cut before it is encoded.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 MEASURES = ("chars_per_token", "fallback_share", "entropy")
 
 SYMBOL = np.zeros(256, bool)
@@ -57,24 +58,48 @@ class Encoder:
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{PIECES}")
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
         self.vocabulary = max(ranks.values()) + 1
+        self.size = np.zeros(self.vocabulary, np.int64)
+        self.size[list(ranks.values())] = [len(piece) for piece in ranks]
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.tokens: list[list[int]] = []
-        self.pieces_of: list[tuple[int, int]] = []
-
-    def words(self, words: list[bytes]):
-        """Byte-BPE tokens of each word, and its number of pieces and of byte pieces."""
+        self.flat = np.zeros(0, np.int32)
+        self.ends = np.zeros(1, np.int64)
+        self.n_pieces = self.n_bytes = np.zeros(0, np.int32)
+
+    def _tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Byte-BPE tokens of all words and their number by word.
+
+        No token goes over a space, so the words are encoded at once and cut by their lengths.
+        """
+        ids = np.array(self.bpe.encode_ordinary(" " + " ".join(texts)), np.int32)
+        ends = np.cumsum([len(t.encode()) + 1 for t in texts])
+        place = np.searchsorted(got := np.cumsum(self.size[ids]), ends)
+        if len(got) and got[-1] == ends[-1] and (got[place] == ends).all():
+            return ids, np.diff(place, prepend=-1)
+        one_by_one = [self.bpe.encode_ordinary(" " + t) for t in texts]
+        return np.array([i for x in one_by_one for i in x], np.int32), np.array([len(x) for x in one_by_one])
+
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """Place of each distinct word in the cache."""
         if len(self.known) + len(words) > CACHE_WORDS and self.known:
             self.clear()
-        fresh = [w for w in words if w not in self.known]
-        texts = [w.decode("utf-8", "replace") for w in fresh]
-        for word, text, ids in zip(fresh, texts, self.pieces.encode(texts, num_threads=1) if texts else ()):
-            self.known[word] = len(self.tokens)
-            self.tokens.append(self.bpe.encode_ordinary(" " + text))
-            self.pieces_of.append((len(ids), int(self.is_byte[ids].sum()) if ids else 0))
-        return [self.known[w] for w in words]
+        known = self.known
+        fresh = [w for w in words if w not in known]
+        if fresh:
+            texts = [w.decode("utf-8", "replace") for w in fresh]
+            ids, counts = self._tokens(texts)
+            pieces = self.pieces.encode(texts, num_threads=1)
+            n_pieces = np.fromiter(map(len, pieces), np.int32, len(pieces))
+            owner = np.repeat(np.arange(len(pieces)), n_pieces)
+            n_bytes = np.bincount(owner, weights=self.is_byte[np.fromiter(chain.from_iterable(pieces), np.int32)], minlength=len(pieces))
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
+            self.flat = np.concatenate([self.flat, ids])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+            self.n_pieces = np.concatenate([self.n_pieces, n_pieces])
+            self.n_bytes = np.concatenate([self.n_bytes, n_bytes.astype(np.int32)])
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -134,19 +159,16 @@ def _measure(folder: str):
             # Distinct words of the chunk are encoded; (row, word) counts give token counts.
             _, sample, word = np.unique(hashes, return_index=True, return_inverse=True)
             raw = data.tobytes()
-            at = np.array(encoder.words([raw[start[i] : end[i]] for i in sample]), np.int64)
-            n_tokens = np.array([len(encoder.tokens[i]) for i in at], np.int64)
-            pieces = np.array([encoder.pieces_of[i] for i in at], np.int64).reshape(-1, 2)
-            flat = np.concatenate([np.array(encoder.tokens[i], np.int64) for i in at]) if len(at) else at
+            at = encoder.words([raw[a:b] for a, b in zip(start[sample].tolist(), end[sample].tolist())])
+            begin, n_tokens = encoder.ends[at], np.diff(encoder.ends)[at]
             tokens = np.bincount(row, weights=n_tokens[word], minlength=rows) if len(row) else np.zeros(rows)
-            n_pieces = np.bincount(row, weights=pieces[word, 0], minlength=rows) if len(row) else np.zeros(rows)
-            n_bytes = np.bincount(row, weights=pieces[word, 1], minlength=rows) if len(row) else np.zeros(rows)
+            n_pieces = np.bincount(row, weights=encoder.n_pieces[at][word], minlength=rows) if len(row) else np.zeros(rows)
+            n_bytes = np.bincount(row, weights=encoder.n_bytes[at][word], minlength=rows) if len(row) else np.zeros(rows)
             pairs, times = np.unique(row * (len(sample) + 1) + word, return_counts=True)
             pair_row, pair_word = pairs // (len(sample) + 1), pairs % (len(sample) + 1)
-            begin = np.cumsum(n_tokens) - n_tokens
             size = n_tokens[pair_word]
             place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[pair_word], size)
-            keys = np.repeat(pair_row, size) * encoder.vocabulary + flat[place] if len(flat) else place
+            keys = np.repeat(pair_row, size) * encoder.vocabulary + encoder.flat[place]
             keys, inverse = np.unique(keys, return_inverse=True)
             held = np.bincount(inverse, weights=np.repeat(times, size), minlength=len(keys))
             logs = np.bincount(keys // encoder.vocabulary, weights=held * np.log2(np.maximum(held, 1)), minlength=rows)

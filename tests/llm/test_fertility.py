@@ -51,7 +51,9 @@ def test_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(fertility, "CACHE_WORDS", 10)
     encoder = fertility.Encoder(fertility.FOLDER)
     for i in range(20):
-        encoder.words([f"w{i}{j}".encode() for j in range(8)])
+        asked = [f"w{i}{j}\u00a0é".encode() for j in range(8)]
+        for w, at in zip(asked, encoder.words(asked)):
+            assert encoder.flat[encoder.ends[at] : encoder.ends[at + 1]].tolist() == encoder.bpe.encode_ordinary(" " + w.decode())
         assert len(encoder.known) <= 10
 
 
