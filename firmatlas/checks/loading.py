@@ -243,7 +243,7 @@ QUERIES = {
 
 def _day(key: str, day: str, blank: str) -> str:
     return (
-        f"CASE WHEN {key} % 17 = 0 THEN {blank} WHEN {key} % 19 = 0 THEN {blank} WHEN {key} % 23 = 0 THEN '2020-03-02' "
+        f"CASE WHEN {key} % 17 = 0 THEN {blank} WHEN {key} % 19 = 0 THEN NULL WHEN {key} % 23 = 0 THEN '2020-03-02' "
         f"ELSE strftime({day}, '%Y-%m-%d') END"
     )
 

@@ -67,7 +67,7 @@ def nace_financial_report(spark: SparkSession, folder: str) -> DataFrame:
     views = TestViews(spark, folder)
     companies = market.companies_by_nace_postal(views.market_tables(), "1", RUN_POSTAL)
     digits = companies.select(F.regexp_replace(NUMBER, "[.]", "").alias("enterpriseNumber"))
-    results = report.company_results(_published(views, digits), _listed(views), retry_whole=False)
+    results = report.company_results(_published(views, digits), _listed(views), retry_whole=False, companies=companies)
     return report.financial_report(companies, results).drop("orderYear")
 
 

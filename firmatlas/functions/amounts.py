@@ -74,6 +74,22 @@ def trailing_amount(line: Column) -> Column:
 
 
 def plain_number(c: Column) -> Column:
-    """A double as plain decimal text without trailing zeros, for CSV reports."""
-    text = c.cast("decimal(38,10)").cast("string")
-    return F.regexp_replace(text, r"\.?0+$", "")
+    """A double as plain decimal text, for CSV reports: its shortest digits, without an exponent."""
+    parts = F.split(c.cast("string"), "E")
+
+    def spelled(p: Column) -> Column:
+        """Sign, digits and exponent put together; the point is moved, not computed."""
+        mantissa, power = F.get(p, F.lit(0)), F.coalesce(F.get(p, F.lit(1)).cast("int"), F.lit(0))
+        sign = F.when(F.startswith(mantissa, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+        whole = F.replace(F.substring_index(mantissa, ".", 1), F.lit("-"), F.lit(""))
+        fraction = F.substring_index(mantissa, ".", -1)
+        digits, point = F.concat(whole, fraction), F.length(whole) + power
+        left = F.when(point > 0, F.rpad(F.left(digits, point), point, "0")).otherwise(F.lit("0"))
+        right = F.when(point > 0, F.substring(digits, point + 1, F.length(digits))).otherwise(
+            F.concat(F.repeat(F.lit("0"), -point), digits)
+        )
+        right = F.regexp_replace(right, "0+$", "")
+        text = F.when(right == "", left).otherwise(F.concat_ws(".", left, right))
+        return F.when(text == "0", text).otherwise(F.concat(sign, text))
+
+    return F.when(c.isNotNull(), F.get(F.transform(F.array(parts), spelled), F.lit(0)))

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 KEEP = "keep"
 REPLACE = "replace"
 
-# Largest number of key rows that is sent to every executor (about 10 MB of short strings).
-BROADCAST_ROWS = 200_000
-
 
 def dedupe_first(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
     """One row per key: the lowest by ``order_by``, ties by the remaining columns.
@@ -36,8 +33,3 @@ def merge_rows(target: DataFrame, incoming: DataFrame, keys: list[str], mode: st
         return target.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming)
     raise ValueError(f"unknown merge mode {mode!r}")
 
-
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    """Bounded size check: looks at no more than ``rows + 1`` rows."""
-    return df.limit(rows + 1).count() <= rows
-

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmatlas.functions.dates import iso_day
-from firmatlas.functions.identifiers import strip_blanks
 from firmatlas.schemas import NAME_LANGUAGES, REGISTERED_OFFICE
 
 NUMBER = "enterpriseNumber"
@@ -131,6 +130,3 @@ def decode_companies(enterprise: DataFrame, code: DataFrame) -> DataFrame:
         )
     )
 
-
-def normalised(c: Column) -> Column:
-    return F.lower(strip_blanks(c))

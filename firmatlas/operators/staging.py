@@ -64,7 +64,7 @@ def source_filter(table: str) -> Column:
 
 
 def _values(table: str, load_time: Column) -> list[Column]:
-    start = F.coalesce(parse_day(F.col("StartDate")), load_time)
+    start = F.when(text("StartDate") == "", load_time).otherwise(parse_day(F.col("StartDate")))
     rules: dict[str, Callable[[], list[Column]]] = {
         "Code": lambda: [text("Category"), text("Code"), text("Description")],
         "Enterprise": lambda: [
@@ -107,7 +107,8 @@ def _values(table: str, load_time: Column) -> list[Column]:
 def stage_table(raw: DataFrame, table: str, load_time: datetime.datetime) -> DataFrame:
     """Filtered and typed rows of one extract, the first row per key in file order.
 
-    Missing start dates become ``load_time``, a parameter, so that a repeated load is equal.
+    Blank start dates become ``load_time``, a parameter, so that a repeated load is equal;
+    malformed ones become null.
     """
     spec = TABLES[table]
     now = F.lit(load_time.isoformat(sep=" ")).cast("timestamp_ntz")

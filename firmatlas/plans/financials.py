@@ -13,7 +13,6 @@ from firmatlas.operators.filings import (
     recent_filings,
     requested_filings,
 )
-from firmatlas.operators.keyed import BROADCAST_ROWS, has_at_most
 from firmatlas.operators.rubrics import ALL_MEASURES, filing_measures
 from firmatlas.operators.text_rubrics import text_rubrics
 
@@ -45,6 +44,8 @@ def company_history(
     through its filings, newest year first: the reference's, then the payload's.
     """
     selected = recent_filings(refs, n_years, years)
+    # Only the chosen filings are aggregated, not all that ever landed.
+    rubrics = rubrics.join(selected.select("filing_id").distinct(), "filing_id", "left_semi")
     named = "payloadName" in rubrics.columns
     found = filing_measures(rubrics, ["filing_id"])
     if named:
@@ -101,26 +102,20 @@ def published_financials(
 
     ``export_lines`` are all rows of the landed exports (filing_id, pos, code, value, period);
     ``texts`` the filing texts. Structured filings use the export, others the text.
-    With ``companies`` only their rows are returned. When they are few, their deposits, lines
-    and texts are picked out during the scans; the bound on companies also bounds the filings,
-    because one filing is chosen per company and year.
+    With ``companies`` only their rows are returned. Filings are chosen first: texts are parsed
+    and export lines aggregated only for the chosen filings of the right format.
     """
-    few, keys = False, None
     if companies is not None:
-        keys = companies.select(COMPANY).distinct()
-        few = has_at_most(keys, BROADCAST_ROWS // max(1, len(years)))
-    if few:
-        deposits = deposits.join(F.broadcast(keys), COMPANY, "left_semi")
+        deposits = deposits.join(companies.select(COMPANY).distinct(), COMPANY, "left_semi")
     selected = requested_filings(deposits, years)
-    if keys is not None and not few:
-        selected = selected.join(keys, COMPANY, "left_semi")
     selected = selected.withColumn("isText", is_text_filing()).withColumn(
         "enterpriseName", _newest("enterpriseName")
     )
-    if few:
-        wanted = F.broadcast(selected.select("filing_id").distinct())
-        export_lines = export_lines.join(wanted, "filing_id", "left_semi")
-        texts = texts.join(wanted, "filing_id", "left_semi")
+    wanted = {
+        text: selected.filter(F.col("isText") == text).select("filing_id").distinct() for text in (True, False)
+    }
+    export_lines = export_lines.join(wanted[False], "filing_id", "left_semi")
+    texts = texts.join(wanted[True], "filing_id", "left_semi")
     columns = ["filing_id", "code", "value", "period"]
     order = F.col("pos").cast("decimal(38,0)").alias("pos")
     lines = export_lines.select(*columns, order, F.lit(False).alias("isText")).unionByName(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Mapping
+from collections.abc import Container, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ def load_table(
     load_time: datetime.datetime,
     current: str | None = None,
     upsert: bool = False,
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> None:
     """Merge one extract into the table of the ``current`` snapshot, written to ``target``."""
     stored = (
@@ -61,11 +61,17 @@ def load_all(
     load_time: datetime.datetime,
     current: str | None = None,
     upsert: bool = False,
+    split: Container[str] = (),
 ) -> None:
-    """All nine extracts into a new snapshot. Tables that a full load empties start empty."""
+    """All nine extracts into a new snapshot. Tables that a full load empties start empty.
+
+    ``split`` names the tables whose extracts have no line breaks within fields, so that their
+    files may be split over tasks.
+    """
     for table, spec in TABLES.items():
         kept = current if current and not spec.cleared_on_reset else None
-        load_table(spark, table, f"{csv_folder}/{spec.file}", target, load_time, kept, upsert)
+        path = f"{csv_folder}/{spec.file}"
+        load_table(spark, table, path, target, load_time, kept, upsert, table not in split)
 
 
 def load_missing(
@@ -75,24 +81,30 @@ def load_missing(
     target: str,
     load_time: datetime.datetime,
     upsert: bool = False,
+    split: Container[str] = (),
 ) -> list[str]:
-    """Merge the extracts of incomplete tables; complete tables stay where they are.
+    """Merge the extracts of incomplete tables and copy the complete ones, into a whole snapshot.
 
-    Returns the names of the tables written to ``target``.
+    Returns the names of the incomplete tables.
     """
     incomplete = [
         row["table"]
-        for row in audit_snapshot(spark, csv_folder, current).filter(F.col("incomplete")).collect()
+        for row in audit_snapshot(spark, csv_folder, current, split).filter(F.col("incomplete")).collect()
     ]
-    for table in incomplete:
-        path = f"{csv_folder}/{TABLES[table].file}"
-        load_table(spark, table, path, target, load_time, current, upsert)
+    for table, spec in TABLES.items():
+        if table in incomplete:
+            path = f"{csv_folder}/{spec.file}"
+            load_table(spark, table, path, target, load_time, current, upsert, table not in split)
+        else:
+            write_table(read_snapshot(spark, current, [table])[table], target, table)
     return incomplete
 
 
-def audit_snapshot(spark: SparkSession, csv_folder: str, snapshot: str) -> DataFrame:
+def audit_snapshot(
+    spark: SparkSession, csv_folder: str, snapshot: str, split: Container[str] = ()
+) -> DataFrame:
     sources = {
-        name: read_extract(spark, f"{csv_folder}/{spec.file}", name)
+        name: read_extract(spark, f"{csv_folder}/{spec.file}", name, name not in split)
         for name, spec in TABLES.items()
     }
     return audit_load(sources, read_snapshot(spark, snapshot))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmatlas.functions.identifiers import dotted_number, remove_blanks, strip_blanks, vat_digits
-from firmatlas.operators.keyed import BROADCAST_ROWS, has_at_most
 from firmatlas.operators.registry import NUMBER, code_labels, decode_companies, profile_names
 from firmatlas.schemas import DEFAULT_COUNTRY
 
@@ -17,13 +16,13 @@ ADDRESS_TYPE = "struct<street:string,houseNumber:string,postalZone:string,city:s
 CONTACT_TYPE = "struct<type:string,value:string>"
 
 
-def profiles(tables: Tables, wanted: DataFrame | None = None, few: bool | None = None) -> DataFrame:
+def profiles(tables: Tables, wanted: DataFrame | None = None) -> DataFrame:
     """Company with decoded codes, name, addresses and contacts.
 
     Children are grouped per company before the joins. Their keys bound a group: one address
     per address type, one contact per contact code and type, one name.
-    ``wanted`` (company numbers) reduces every table first when it is small enough, which is
-    counted unless ``few`` says so already.
+    ``wanted`` (company numbers) reduces every table first; Spark broadcasts the numbers or
+    shuffles them, by their size.
     """
     enterprise = tables["Enterprise"]
     name, address, contact = (
@@ -32,11 +31,9 @@ def profiles(tables: Tables, wanted: DataFrame | None = None, few: bool | None =
     )
     if wanted is not None:
         numbers = wanted.select(NUMBER).distinct()
-        if few if few is not None else has_at_most(numbers, BROADCAST_ROWS):
-            keys = F.broadcast(numbers)
-            enterprise, name, address, contact = (
-                df.join(keys, NUMBER, "left_semi") for df in (enterprise, name, address, contact)
-            )
+        enterprise, name, address, contact = (
+            df.join(numbers, NUMBER, "left_semi") for df in (enterprise, name, address, contact)
+        )
     names = profile_names(name.withColumnRenamed(NUMBER, "enterpriseId"))
     return (
         decode_companies(enterprise, tables["Code"])
@@ -111,14 +108,19 @@ def asked_texts(names: DataFrame, name: str = "name") -> DataFrame:
     )
 
 
-def resolve_names(asked: DataFrame, denomination: DataFrame, few: bool) -> DataFrame:
+# Characters of a search text by which places in names are found before pieces are cut.
+HEAD = 4
+
+
+def resolve_names(asked: DataFrame, denomination: DataFrame) -> DataFrame:
     """Distinct search texts with the lowest company number that carries the name.
 
     A text equal to a name (ignoring case) wins; otherwise names that contain it count. The
-    containing case is an equality join too: names are cut into their pieces of the lengths
-    that are asked for, and a text matches a piece or it does not. No pair of a text and a
-    name is ever built that does not match, and both steps keep only the lowest company per
-    name or piece before they shuffle, so a name shared by very many companies does no harm.
+    containing case is an equality join too. Only places in a name where the first characters
+    of some asked text stand are kept, and at these only pieces as long as such texts are cut.
+    No pair of a text and a name is ever built that does not match, and both steps keep only the
+    lowest company per name or piece before they shuffle, so a name shared by very many companies
+    does no harm. A name gives at most ``HEAD`` keys for each of its characters.
     """
     # One row per distinct name.
     known = (
@@ -126,28 +128,28 @@ def resolve_names(asked: DataFrame, denomination: DataFrame, few: bool) -> DataF
         .groupBy(F.lower("denomination").alias("text"))
         .agg(F.min("enterpriseId").alias(NUMBER))
     )
-    exact = asked.join(known, "text", "left")
-    missing = exact.filter(F.col(NUMBER).isNull()).select("text")
-    lengths = missing.agg(F.collect_set(F.length("text"))).scalar()
-    pieces = (
-        known.withColumn("size", F.explode(lengths))
-        .filter(F.length("text") >= F.col("size"))
-        .withColumn("at", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("size") + 1)))
-        .select(F.substring(F.col("text"), F.col("at"), F.col("size")).alias("text"), NUMBER)
+    size = F.length("text")
+    # Each text asks for its head, and its own text at the places of that head.
+    heads = asked.select(F.substring("text", 1, HEAD).alias("head"), size.alias("size")).distinct()
+    heads = heads.groupBy("head").agg(F.collect_set("size").alias("sizes"))
+    places = known.select("text", NUMBER, F.explode(F.sequence(F.lit(1), size)).alias("at")).filter(size > 0)
+    # Shorter texts than a head are their own head.
+    keys = F.array_distinct(F.array(*[F.substring(F.col("text"), F.col("at"), F.lit(n)) for n in range(1, HEAD + 1)]))
+    places = places.select("text", NUMBER, "at", F.explode(keys).alias("head")).join(heads, "head")
+    pieces = places.select("text", NUMBER, "at", F.explode("sizes").alias("size")).filter(
+        F.col("at") + F.col("size") - 1 <= size
+    )
+    pieces = pieces.select(F.substring(F.col("text"), F.col("at"), F.col("size")).alias("text"), NUMBER, (F.col("size") == size).alias("exact"))
+    # The lowest company of a whole name goes before that of any piece.
+    found = pieces.join(asked, "text", "left_semi").groupBy("text").agg(
+        F.min_by(NUMBER, F.struct(~F.col("exact"), NUMBER)).alias(NUMBER)
     )
-    if few:
-        # Pieces nobody asks for are dropped before they are grouped.
-        pieces = pieces.join(F.broadcast(asked), "text", "left_semi")
-    partial = pieces.groupBy("text").agg(F.min(NUMBER).alias(NUMBER))
-    found = missing.join(partial, "text", "left")
-    return exact.filter(F.col(NUMBER).isNotNull()).unionByName(found)
+    return asked.join(found, "text", "left")
 
 
 def lookup_names(queries: DataFrame, tables: Tables, name: str = "name") -> DataFrame:
     """Every query row with the profile of the company it names, or nulls."""
-    texts = asked_texts(queries, name)
-    few = has_at_most(texts, BROADCAST_ROWS)
-    resolved = resolve_names(texts, tables["Denomination"], few)
+    resolved = resolve_names(asked_texts(queries, name), tables["Denomination"])
     asked = queries.withColumn("text", F.lower(strip_blanks(F.col(name))))
     found = asked.join(resolved, "text", "left").drop("text")
-    return found.join(profiles(tables, resolved, few), NUMBER, "left")
+    return found.join(profiles(tables, resolved), NUMBER, "left")

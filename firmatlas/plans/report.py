@@ -82,9 +82,12 @@ def account_status() -> Column:
     )
 
 
-def company_results(financials: DataFrame, listed: DataFrame, retry_whole: bool = True) -> DataFrame:
+def company_results(
+    financials: DataFrame, listed: DataFrame, retry_whole: bool = True, companies: DataFrame | None = None
+) -> DataFrame:
     """Status rows per company: its years, or one row if it has none among those requested.
 
+    With ``companies`` (those of the report) only their listings are looked at.
     ``listed`` holds the companies whose deposit listing has landed. With ``retry_whole`` a
     company with any failed year gives no rows at all, so that the report asks for it again.
     """
@@ -115,6 +118,9 @@ def company_results(financials: DataFrame, listed: DataFrame, retry_whole: bool
         )
     else:
         rows = rows.withColumn("retry", F.lit(False))
+    if companies is not None:
+        digits = companies.select(bare_digits(F.col(NUMBER)).alias("enterpriseNumber"))
+        listed = listed.join(digits, "enterpriseNumber", "left_semi")
     empty = listed.select("enterpriseNumber").distinct().join(
         financials.select("enterpriseNumber").distinct(), "enterpriseNumber", "left_anti"
     )

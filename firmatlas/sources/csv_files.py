@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,9 +17,18 @@ def text_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def csv_options(multi_line: bool = False) -> dict[str, str]:
-    """Doubled quotes inside quoted fields. Fields with line breaks need ``multi_line``, which
-    reads a file in one task, so it is off by default."""
+# Column that keeps the text of a row whose number of fields differs from the header's.
+RAGGED = "raggedRow"
+
+
+def csv_options(multi_line: bool = True) -> dict[str, str]:
+    """Doubled quotes and line breaks inside quoted fields.
+
+    Where a quoted field may hold a line break, a file can only be read from its start, in one
+    task; several files are read in parallel. ``multi_line=False`` splits large files over tasks.
+    It is for extracts known to have none: a line break then gives rows with too few fields,
+    which ``read_extract`` refuses.
+    """
     return {"header": "true", "quote": '"', "escape": '"', "multiLine": str(multi_line).lower()}
 
 
@@ -38,12 +47,39 @@ def with_row(df: DataFrame) -> DataFrame:
     return df.withColumn(FILE_ORDER[2], F.monotonically_increasing_id())
 
 
+def _checked(spark: SparkSession, path: str | list[str], multi_line: bool) -> DataFrame:
+    """All columns as text, plus ``RAGGED``. A file whose header differs from the first file's ends the read."""
+    options = csv_options(multi_line)
+    header = spark.read.options(**options).csv(path).columns
+    schema = text_schema([*header, RAGGED])
+    reader = spark.read.schema(schema).options(**options, enforceSchema="false", columnPruning="false")
+    return reader.option("columnNameOfCorruptRecord", RAGGED).csv(path)
+
+
+def _parsed(rows: DataFrame) -> Column:
+    """True, from a column of the file: a query may not read the column of ragged rows alone."""
+    return F.coalesce(F.col(f"`{rows.columns[0]}`"), F.lit("")) != "\0"
+
+
+def ragged_rows(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """Number of rows per file that have more or fewer fields than the header."""
+    rows = _checked(spark, path, multi_line)
+    rows = rows.filter(F.col(RAGGED).isNotNull() & _parsed(rows))
+    return rows.groupBy(F.col("_metadata.file_path").alias(FILE_ORDER[0])).agg(F.count("*").alias("rows"))
+
+
 def read_extract(
-    spark: SparkSession, path: str | list[str], table: str, multi_line: bool = False
+    spark: SparkSession, path: str | list[str], table: str, multi_line: bool = True
 ) -> DataFrame:
     """All columns of a registry extract as text, in file order; a column that the file lacks
-    is null. Columns are found by their header name, so their order does not matter."""
-    raw = with_row(with_file(spark.read.options(**csv_options(multi_line)).csv(path)))
+    is null. Columns are found by their header name, so their order does not matter; several
+    files must have one header. A row with more or fewer fields than the header ends the read
+    with its file and text; ``ragged_rows`` counts such rows."""
+    raw = with_file(_checked(spark, path, multi_line))
+    message = F.concat(F.lit("row with another number of fields than the header in "), F.col(FILE_ORDER[0]), F.lit(": "), F.col(RAGGED))
+    # The check is a column of every row, so that no plan can leave it out by itself.
+    first = F.when(F.col(RAGGED).isNotNull(), F.raise_error(message).cast("string")).otherwise(F.col(FILE_ORDER[0]))
+    raw = with_row(raw.withColumn(FILE_ORDER[0], first).filter(F.col(FILE_ORDER[0]).isNotNull() & _parsed(raw)).drop(RAGGED))
     wanted = TABLES[table].source_columns
     return raw.select(
         *[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in wanted],
@@ -52,7 +88,7 @@ def read_extract(
 
 
 def stream_extract(
-    spark: SparkSession, folder: str, table: str, multi_line: bool = False
+    spark: SparkSession, folder: str, table: str, multi_line: bool = True
 ) -> DataFrame:
     """The same rows as a stream of arriving files (rows are numbered per batch, see
     ``with_row``). The header of each file is checked."""
@@ -64,12 +100,16 @@ def stream_extract(
 # Labelled rows of a rubric export.
 EXPORT_NAME = "Entity name"
 EXPORT_REFERENCE = "Reference number"
+ACCOUNT_KEY = "^[0-9]"
 
 
 def read_rubric_exports(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rubric exports without header: one file per filing, key and value per row.
 
-    The filing id is the file name without its ending.
+    The filing id is the file name without its ending; ``pos`` is the order of a row in its file.
+    All rows are returned with ``code`` and ``period`` as rubrics have them; the code of a row
+    that is not an account line (company name, reference) is null. So these rows can be given to
+    ``published_financials``, which tells a landed export without account lines from none.
     """
     rows = (
         spark.read.schema(text_schema(["key", "value"]))
@@ -79,8 +119,11 @@ def read_rubric_exports(spark: SparkSession, path: str | list[str]) -> DataFrame
     file_name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return with_row(with_file(rows)).select(
         F.regexp_replace(file_name, r"\.[^.]*$", "").alias("filing_id"),
+        F.col(FILE_ORDER[2]).alias("pos"),
         "key",
+        F.when(F.col("key").rlike(ACCOUNT_KEY), F.col("key")).alias("code"),
         "value",
+        F.lit("N").alias("period"),
         *FILE_ORDER,
     )
 

@@ -6,7 +6,7 @@ read, and a load that is repeated after a failure writes the same snapshot again
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,11 +53,6 @@ def write_table(df: DataFrame, folder: str, name: str) -> None:
     writer.parquet(f"{folder}/{name}")
 
 
-def write_snapshot(tables: Mapping[str, DataFrame], folder: str) -> None:
-    for name, df in tables.items():
-        write_table(df, folder, name)
-
-
 def write_catalog(catalog: DataFrame, folder: str) -> None:
     """Activity codes, one folder per version, so that a search reads one version."""
     catalog.write.mode("overwrite").partitionBy("version").parquet(folder)
@@ -73,15 +68,3 @@ def write_bucketed(df: DataFrame, table_name: str, buckets: int, column: str) ->
         .format("parquet")
         .saveAsTable(table_name)
     )
-
-
-def spread_coarse(df: DataFrame, column: str) -> DataFrame:
-    """Spread a scan with fewer splits than cores, so that all cores get rows.
-
-    Small files come as one row group, that is one task. A large table has far more splits
-    than there are cores and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, F.col(column))

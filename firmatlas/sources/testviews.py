@@ -10,7 +10,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firmatlas.sources.snapshots import spread_coarse
 
 RUBRIC_POS = (
     "cast(concat(l_linenumber, lpad(l_partkey, 12, '0'), lpad(l_suppkey, 10, '0'), "
@@ -32,10 +31,6 @@ def unit(prefix: str, key: str) -> str:
     return f"concat('{prefix}', {nine(key)})"
 
 
-# The tables whose rows carry the work, and the column they may be spread by.
-SPREAD_BY = {"lineitem": "l_orderkey", "documents": "doc_id"}
-
-
 class RegistryTables(Mapping):
     """The nine registry tables by name, each built when it is first asked for."""
 
@@ -77,8 +72,7 @@ class TestViews:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._read:
-            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-            self._read[name] = spread_coarse(df, SPREAD_BY[name]) if name in SPREAD_BY else df
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._read[name]
 
     def tables(self) -> RegistryTables:
@@ -266,7 +260,7 @@ class TestViews:
 
     @cached_property
     def filing_text(self) -> DataFrame:
-        orders = spread_coarse(self.table("orders"), "o_orderkey")
+        orders = self.table("orders")
         return orders.where("o_orderstatus = 'O'").selectExpr(
             "o_orderkey as filing_id",
             r"concat('20/58 ', 1 + o_orderkey % 9, '.250.000 1.000.000\nnote\n9904 ( ', 10 + o_orderkey % 80,"

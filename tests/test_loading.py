@@ -3,11 +3,11 @@ import datetime
 import pytest
 
 from firmatlas.operators.audit import orphan_check
-from firmatlas.operators.keyed import dedupe_first, has_at_most, merge_rows
+from firmatlas.operators.keyed import dedupe_first, merge_rows
 from firmatlas.operators.staging import stage_table
 from firmatlas.plans.loading import audit_snapshot, load_all, load_missing, load_table
 from firmatlas.schemas import TABLES, Relation
-from firmatlas.sources.csv_files import read_extract
+from firmatlas.sources.csv_files import ragged_rows, read_extract
 from firmatlas.sources.snapshots import read_snapshot, write_bucketed
 from firmatlas.streaming.deliveries import last_batch, snapshot_of, start_deliveries
 
@@ -98,7 +98,7 @@ def test_file_order_over_many_splits(spark, tmp_path):
     (tmp_path / "meta.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        raw = read_extract(spark, str(tmp_path / "meta.csv"), "Meta")
+        raw = read_extract(spark, str(tmp_path / "meta.csv"), "Meta", multi_line=False)
         assert raw.rdd.getNumPartitions() > 4
         first = {r["variable"]: r["value"] for r in stage_table(raw, "Meta", NOW).collect()}
     finally:
@@ -121,9 +121,36 @@ def test_dedupe_with_a_hot_key(spark):
     assert first[7] == "29997" and len(first) == 20000
 
 
-def test_size_check(rows):
-    df = rows("k int", (1,), (2,), (3,))
-    assert has_at_most(df, 3) and not has_at_most(df, 2)
+def test_line_breaks_in_fields_and_ragged_rows(spark, folder, tmp_path):
+    name = '"Acme ""X"",\r\nBV"'
+    (tmp_path / "denomination.csv").write_text(
+        f"EntityNumber,Language,TypeOfDenomination,Denomination\r\n0200.065.765,2,001,{name}\r\n", encoding="utf-8", newline=""
+    )
+    target = str(tmp_path / "loaded")
+    load_all(spark, folder, target, NOW)
+    names = read_snapshot(spark, target)["Denomination"].collect()
+    assert [r["entityNumber"] for r in names] == ["0200.065.765"] and names[0]["denomination"].startswith('Acme "X",')
+    audit = {r["table"]: r for r in audit_snapshot(spark, folder, target).collect()}
+    assert len(audit) == len(TABLES) and not any(r["incomplete"] for r in audit.values())
+    path = f"{folder}/denomination.csv"
+    assert [r["rows"] for r in ragged_rows(spark, path, multi_line=False).collect()] == [1]
+    assert ragged_rows(spark, path).collect() == []
+    for job in (lambda: load_all(spark, folder, str(tmp_path / "x"), NOW, split=["Denomination"]), lambda: audit_snapshot(spark, folder, target, ["Denomination"]).collect()):
+        with pytest.raises(Exception, match="denomination.csv"):
+            job()
+
+
+def test_files_with_another_header_are_refused(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("Variable,Value\na,1\n")
+    (tmp_path / "2.csv").write_text("Value,Variable\n2,b\n")
+    with pytest.raises(Exception, match="header"):
+        read_extract(spark, str(tmp_path), "Meta").collect()
+
+
+def test_malformed_start_dates_are_null(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("Id,StartDate,EnterpriseNumber\n1,soon,x\n2,,x\n3,01-02-2003,x\n")
+    staged = stage_table(read_extract(spark, str(tmp_path / "b.csv"), "Branch"), "Branch", NOW)
+    assert {r["id"]: r["startDate"] for r in staged.collect()} == {"1": None, "2": NOW, "3": datetime.datetime(2003, 2, 1)}
 
 
 def test_load_all_then_audit_then_missing(spark, folder, tmp_path):
