@@ -11,7 +11,7 @@ from firmatlas.functions.dates import iso_day
 from firmatlas.operators.audit import audit_load, load_plan, orphan_check
 from firmatlas.operators.keyed import KEEP, REPLACE, dedupe_first, merge_rows
 from firmatlas.operators.staging import malformed_dates, stage_table
-from firmatlas.plans.loading import merged_table, reset_tables
+from firmatlas.plans.loading import audit_snapshot, load_all, merged_table, reset_tables
 from firmatlas.schemas import TABLES
 from firmatlas.session import work_folder
 from firmatlas.sources.csv_files import read_extract
@@ -162,14 +162,11 @@ def _merge(mode: str):
     return query
 
 
-AUDITED = ["Enterprise", "Establishment", "Branch", "KBOContact", "Denomination", "Activity", "Meta"]
-
-
 def _audit(spark: SparkSession, folder: str) -> DataFrame:
     views = TestViews(spark, folder)
     raw = RawExtracts(views)
     stored = views.tables()
-    return audit_load({n: raw[n] for n in AUDITED}, {n: stored[n] for n in AUDITED})
+    return audit_load({n: raw[n] for n in TABLES}, {n: stored[n] for n in TABLES})
 
 
 def load_audit(spark: SparkSession, folder: str) -> DataFrame:
@@ -180,6 +177,32 @@ def load_actions(spark: SparkSession, folder: str) -> DataFrame:
     return load_plan(_audit(spark, folder))
 
 
+# Columns of the written extracts that get a comma, doubled quotes and a line break.
+AWKWARD = {"Code": "Description", "Denomination": "Denomination", "KBOAddress": "StreetFR", "KBOContact": "Value", "Meta": "Value"}
+
+
+def load_all_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """All nine extracts written as CSV with awkward texts, loaded into a snapshot and audited.
+
+    ``awkward`` counts the loaded texts that came through whole.
+    """
+    raw, root = _raw(spark, folder), work_folder(spark, "extracts")
+    for name, spec in TABLES.items():
+        rows = raw[name].select(*spec.source_columns)
+        if name in AWKWARD:
+            rows = rows.withColumn(AWKWARD[name], F.concat(F.coalesce(AWKWARD[name], F.lit("")), F.lit(', "x"\ny')))
+        rows.write.options(header="true", quote='"', escape='"').csv(f"{root}/in/{spec.file}")
+    load_all(spark, f"{root}/in", f"{root}/out", LOAD_TIME)
+    audit = audit_snapshot(spark, f"{root}/in", f"{root}/out")
+    stored = read_snapshot(spark, f"{root}/out")
+    whole = None
+    for name, column in AWKWARD.items():
+        own = column[0].lower() + column[1:]
+        part = stored[name].agg(F.lit(name).alias("table"), F.count_if(F.col(own).endswith(', "x"\ny')).alias("awkward"))
+        whole = part if whole is None else whole.unionByName(part)
+    return audit.join(whole, "table", "left").select("table", "expected", "loaded", "status", "awkward")
+
+
 def orphans(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_check(TestViews(spark, folder).tables())
 
@@ -233,6 +256,7 @@ QUERIES = {
     "load_insert": _merge(KEEP),
     "load_upsert": _merge(REPLACE),
     "load_audit": load_audit,
+    "load_all_audit": load_all_audit,
     "load_actions": load_actions,
     "orphan_check": orphans,
     "table_reset": table_reset,
@@ -291,8 +315,10 @@ _AUDIT = f"""audit AS (
   UNION ALL SELECT 'KBOContact', (SELECT count(*) FROM (SELECT DISTINCT "entityNumber", "entityContactCode", "conctactTypeCode" FROM contacts)), (SELECT count(*) FROM contact)
   UNION ALL SELECT 'Denomination', (SELECT count(*) FROM denomination), (SELECT count(*) FROM denomination)
   UNION ALL SELECT 'Activity', (SELECT count(*) FROM rows), (SELECT count(*) FROM activity)
+  UNION ALL SELECT 'Code', (SELECT count(*) FROM code), (SELECT count(*) FROM code)
+  UNION ALL SELECT 'KBOAddress', (SELECT count(*) FROM address) + (SELECT count(*) FROM orders WHERE o_orderkey % 3 < 2), (SELECT count(*) FROM address)
   UNION ALL SELECT 'Meta', (SELECT count(DISTINCT n_regionkey) FROM nation), (SELECT count(*) FROM meta))"""
-_AUDIT_VIEWS = "enterprise establishment branch contact denomination activity meta"
+_AUDIT_VIEWS = "code address enterprise establishment branch contact denomination activity meta"
 
 
 def _orphan_sql() -> str:
@@ -351,6 +377,12 @@ FROM contacts GROUP BY 1, 2, 3""",
   loaded < expected AS incomplete FROM audit""",
         f"{_CONTACT_ROWS}, {_ACTIVITY_ROWS}, {_AUDIT}",
     ),
+    "load_all_audit": with_views(
+        _AUDIT_VIEWS,
+        f"""SELECT "table", expected, expected AS loaded, 'MATCH' AS status,
+  CASE WHEN "table" IN ({", ".join(f"'{t}'" for t in AWKWARD)}) THEN expected END AS awkward FROM audit""",
+        f"{_CONTACT_ROWS}, {_ACTIVITY_ROWS}, {_AUDIT}",
+    ),
     "load_actions": with_views(
         _AUDIT_VIEWS,
         """SELECT "table", expected, loaded, CASE WHEN loaded < expected THEN 'LOAD' ELSE 'skip' END AS action FROM audit""",
