@@ -11,7 +11,7 @@ from firmatlas.functions.identifiers import dotted_number
 from firmatlas.operators.keyed import dedupe_first
 from firmatlas.operators.registry import NUMBER, decode_companies, preferred_names, registered_offices
 from firmatlas.operators.rubrics import INSURER_MEASURES
-from firmatlas.plans import analysis, market, report, stored_reports
+from firmatlas.plans import analysis, market, report, report_store, stored_reports
 from firmatlas.plans.financials import published_financials
 from firmatlas.plans.stored_reports import ROW_KEY, Selection
 from firmatlas.sinks.csv_reports import POSTAL_HEADERS, write_postal_counts, write_report
@@ -124,6 +124,20 @@ def report_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(rows)
 
 
+def stored_report_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Three runs with different fields on storage; one is saved again, one is reset."""
+    views, store = TestViews(spark, folder), work_folder(spark, "report-store")
+    moments = iter(datetime.datetime(2024, 5, 6) + datetime.timedelta(minutes=i) for i in range(1000))
+    wide, narrow = (Selection(PREFIX, VERSION, "", YEARS, options) for options in (OPTIONS, ["revenue"]))
+    dropped = Selection(PREFIX, VERSION, "", YEARS[:1], ["equity"])
+    companies, published, listed = _companies(views), _published(views), _listed(views)
+    for run_id, selection in (("wide", wide), ("narrow", wide), ("dropped", dropped), ("narrow", narrow)):
+        report_store.run_report(spark, store, run_id, companies, published, listed, selection, lambda: next(moments))
+    report_store.reset_selection(spark, store, dropped)
+    rows = stored_reports.completed_rows(report_store.read_runs(spark, store), report_store.read_rows(spark, store))
+    return rows.select("runId", NUMBER, "fiscalYear", "status", "data.revenue", "data.equity", "data.kboStatus")
+
+
 def run_header(spark: SparkSession, folder: str) -> DataFrame:
     views = TestViews(spark, folder)
     selection = Selection(PREFIX, VERSION, "1000", [1998, 1999, 1998], OPTIONS, "MAIN")
@@ -287,6 +301,7 @@ QUERIES = {
     "report_csv": report_csv,
     "postal_csv": postal_csv,
     "report_rows": report_rows,
+    "stored_report_runs": stored_report_runs,
     "run_header": run_header,
     "row_upsert": row_upsert,
     "completed_rows": completed_rows,
@@ -435,6 +450,16 @@ SELECT 'run' AS "runId", c."enterpriseNumber", c.name, c."postalCode", coalesce(
 FROM companies c LEFT JOIN published p ON p."enterpriseNumber" = c.digits""",
         _report_sql(),
     ),
+    "stored_report_runs": with_views(
+        REPORT_VIEWS,
+        f"""
+SELECT r.id AS "runId", c."enterpriseNumber", coalesce(p."fiscalYear", {max(YEARS)}) AS "fiscalYear",
+  CASE WHEN p."fiscalYear" IS NOT NULL THEN CASE WHEN p.error IS NULL THEN 'ok' ELSE 'partial_financial_data' END
+    WHEN c.digits IN (SELECT "enterpriseNumber" FROM filing_ref) THEN 'no_account_for_year' ELSE 'fetch_failed' END AS status,
+  revenue, CASE WHEN r.id = 'wide' THEN equity END AS equity, c.status AS "kboStatus"
+FROM (SELECT unnest(['wide', 'narrow']) AS id) r, companies c LEFT JOIN published p ON p."enterpriseNumber" = c.digits""",
+        _report_sql(),
+    ),
     "run_header": with_views(
         "enterprise",
         f"""

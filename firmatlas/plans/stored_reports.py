@@ -9,8 +9,9 @@ import datetime
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, StringType
 
 from firmatlas.functions.identifiers import bare_digits
 from firmatlas.operators.keyed import REPLACE, merge_rows
@@ -110,8 +111,37 @@ def report_rows(
     )
 
 
+#: All fields that a stored row may have: every measure, then the registry attributes.
+ALL_DATA: dict[str, DataType] = {
+    **{measure: DoubleType() for _, measure, _ in FIELDS},
+    **{measure: DoubleType() for measure in INSURER_MEASURES},
+    **{name: StringType() for name in REGISTRY_ATTRIBUTES},
+}
+
+
+def data_fields(*tables: DataFrame) -> dict[str, DataType]:
+    """Fields of the result structs of all tables, each once, in the order in which they come."""
+    found: dict[str, DataType] = {}
+    for rows in tables:
+        for item in rows.schema["data"].dataType.fields:
+            found.setdefault(item.name, item.dataType)
+    return found
+
+
+def with_data_fields(rows: DataFrame, fields: dict[str, DataType]) -> DataFrame:
+    """Rows whose result struct has exactly these fields; a field that a run did not select is null."""
+    own = data_fields(rows)
+    values = [
+        (F.col("data")[name] if name in own else F.lit(None)).cast(kind).alias(name)
+        for name, kind in fields.items()
+    ]
+    return rows.withColumn("data", F.struct(*values))
+
+
 def save_rows(stored: DataFrame, rows: DataFrame) -> DataFrame:
-    return merge_rows(stored, rows, ROW_KEY, REPLACE)
+    """Stored rows with those of a run; runs may have selected different fields."""
+    fields = data_fields(stored, rows)
+    return merge_rows(with_data_fields(stored, fields), with_data_fields(rows, fields), ROW_KEY, REPLACE)
 
 
 def run_header(
@@ -168,12 +198,8 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     """The newest run of every selection (ties: the highest id)."""
     keys = ["naceCode", "naceVersion", "classKey", "postalCode", "fiscalYears", "fields"]
     keyed = runs.withColumn("classKey", F.coalesce("classification", F.lit("")))
-    newest = Window.partitionBy(*keys).orderBy(F.desc("updatedAt"), F.desc("id"))
-    return (
-        keyed.withColumn("rank", F.row_number().over(newest))
-        .filter(F.col("rank") == 1)
-        .drop("rank", "classKey")
-    )
+    newest = F.max_by(F.struct(*runs.columns), F.struct("updatedAt", "id")).alias("run")
+    return keyed.groupBy(*keys).agg(newest).select("run.*")
 
 
 def latest_run(runs: DataFrame, selection: Selection) -> DataFrame:

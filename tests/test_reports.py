@@ -1,9 +1,12 @@
 import datetime
 import glob
+import os
 
 import pytest
 
-from firmatlas.plans import analysis, report, stored_reports
+from pyspark.sql import functions as F
+
+from firmatlas.plans import analysis, report, report_store, stored_reports
 from firmatlas.plans.stored_reports import Selection
 from firmatlas.sinks.csv_reports import write_postal_counts, write_report
 from firmatlas.sources.csv_files import read_report
@@ -185,3 +188,43 @@ def test_facets_and_columns(results):
     export = analysis.stored_export(results)
     assert export.columns[:2] == ["Enterprise number", "Company"]
     assert export.columns[-3:] == ["revenue", "insuranceInvestments", "technicalProvisions"]
+
+
+def test_runs_on_storage(spark, companies, years, listed, tmp_path):
+    folder, ticks = str(tmp_path / "store"), iter(range(100))
+
+    def clock():
+        return NOW + datetime.timedelta(minutes=next(ticks))
+
+    one = Selection("62", "2025", "1000", [2023, 2024], ["equity", "revenue"])
+    two = Selection("62", "2025", "1000", [2024], ["employees"])
+    assert report_store.read_runs(spark, folder).count() == 0 and report_store.read_rows(spark, folder).count() == 0
+    for run_id, selection in (("a", one), ("b", two), ("c", two)):
+        assert report_store.run_report(spark, folder, run_id, companies, years, listed, selection, clock) == "completed"
+    runs, stored = report_store.read_runs(spark, folder), report_store.read_rows(spark, folder)
+    assert {(r["id"], r["status"], r["completedCompanies"]) for r in runs.collect()} == {(x, "completed", 5) for x in "abc"}
+    found = {(r["runId"], r["enterpriseNumber"][-1], r["fiscalYear"]): r["data"] for r in stored.collect()}
+    assert found["a", "1", 2024]["revenue"] == 40 and found["a", "1", 2024]["employeeCount"] is None
+    assert found["b", "1", 2024]["revenue"] is None and found["b", "1", 2024]["employeeCount"] == 2
+    before = {p: os.path.getmtime(p) for p in glob.glob(f"{folder}/rows/runId=a/*")}
+    changed = stored_reports.report_rows("b", companies, years, listed, two).filter("fiscalYear = 2024").withColumn("name", F.lit("new"))
+    report_store.upsert_rows(spark, changed.limit(1), folder, str(tmp_path / "work"))
+    names = [r["name"] for r in report_store.read_rows(spark, folder).filter("runId = 'b'").collect()]
+    assert names.count("new") == 1 and len(names) == 5
+    assert before == {p: os.path.getmtime(p) for p in glob.glob(f"{folder}/rows/runId=a/*")}
+    bad = years.withColumn("fiscalYear", F.when(F.col("fiscalYear") > 0, F.raise_error(F.lit("lost"))).cast("int"))
+    assert report_store.run_report(spark, folder, "d", companies, bad, listed, one, clock) == "failed"
+    failed = report_store.read_runs(spark, folder).filter("id = 'd'").first()
+    assert failed["status"] == "failed" and "lost" in failed["message"]
+    assert sorted(report_store.reset_selection(spark, folder, two)) == ["b", "c"]
+    assert {r["id"] for r in report_store.read_runs(spark, folder).collect()} == {"a", "d"}
+    assert {r["runId"] for r in report_store.read_rows(spark, folder).select("runId").distinct().collect()} == {"a"}
+
+
+def test_rows_of_runs_with_other_fields_unite(companies, years, listed):
+    one = Selection("62", "2025", "1000", [2024], ["revenue"])
+    two = Selection("62", "2025", "1000", [2024], ["equity"])
+    parts = [stored_reports.report_rows(i, companies, years, listed, s) for i, s in (("r1", one), ("r2", two))]
+    both = stored_reports.save_rows(*parts)
+    assert both.count() == sum(p.count() for p in parts)
+    assert {"revenue", "equity"} <= set(stored_reports.data_fields(both))
