@@ -55,16 +55,20 @@ def companies_by_nace(
     classification: str | None = None,
     limit: int = DEFAULT_PAGE,
     offset: int = 0,
+    after: str | None = None,
 ) -> DataFrame:
     """One page of companies ordered by number, each row with the total number of hits.
 
-    The page is cut from the bare numbers first. It holds at most ``LARGEST_PAGE`` rows, so it
+    ``limit`` is held between 1 and ``LARGEST_PAGE``. ``offset`` is held in memory by every task,
+    so deep pages are read with ``after``, the last number of the page before, whose cost does not
+    grow. A page past the end has no rows; its total comes from ``nace_total``. The page is cut from the bare numbers first. It holds at most ``LARGEST_PAGE`` rows, so it
     may be broadcast against the wide tables, which are then reduced during their scan.
     """
     limit = min(max(limit, 1), LARGEST_PAGE)
     hits = hits_of(tables, code, version, classification)
     total = hits.agg(F.count("*").alias("total"))
-    page = hits.orderBy(F.asc_nulls_last(NUMBER)).offset(max(offset, 0)).limit(limit)
+    rest = hits if after is None else hits.filter(F.col(NUMBER) > after)
+    page = rest.orderBy(F.asc_nulls_last(NUMBER)).offset(max(offset, 0)).limit(limit)
     enterprise = tables["Enterprise"].join(F.broadcast(page), NUMBER, "left_semi")
     names = preferred_names(_of_page(tables["Denomination"], page))
     cities = _cities(_of_page(tables["KBOAddress"], page))
@@ -89,6 +93,13 @@ def companies_by_nace(
     )
 
 
+def nace_total(
+    tables: Tables, code: str, version: str | None = None, classification: str | None = None
+) -> DataFrame:
+    """One row with the total number of companies that the pages of a code prefix share."""
+    return hits_of(tables, code, version, classification).agg(F.count("*").alias("total"))
+
+
 def _of_page(df: DataFrame, page: DataFrame) -> DataFrame:
     keys = page.select(F.col(NUMBER).alias("enterpriseId"))
     return df.join(F.broadcast(keys), "enterpriseId", "left_semi")

@@ -234,3 +234,26 @@ def test_file_sources(spark, tmp_path):
     (tmp_path / "0123456789.json").write_text(json.dumps(REFERENCES, indent=1), encoding="utf-8")
     refs = reference_rows(read_payloads(spark, str(tmp_path / "*.json"), "enterpriseNumber"))
     assert refs.count() == 6 and refs.first()["enterpriseNumber"] == "0123456789"
+
+
+def test_exports_from_files_to_financials(spark, rows, tmp_path):
+    (tmp_path / "full.csv").write_text('"Entity name","Acme"\n"Reference number","r1"\n"70","1000,5"\n"9904","120"\n', encoding="utf-8")
+    (tmp_path / "bare.csv").write_text('"Entity name","Acme"\n"Reference number","r2"\n', encoding="utf-8")
+    content = [
+        {"id": "full", "reference": "r1", "periodEndDateYear": 2024, "importFileType": "XBRL"},
+        {"id": "bare", "reference": "r2", "periodEndDateYear": 2023, "importFileType": "XBRL"},
+        {"id": "lost", "reference": "r3", "periodEndDateYear": 2022, "importFileType": "XBRL"},
+    ]
+    deposits = deposit_rows(rows("enterpriseNumber string, payload string", ("0403258197", json.dumps({"content": content}))))
+    exports = read_rubric_exports(spark, str(tmp_path / "*.csv"))
+    found = published_financials(deposits, exports, rows("filing_id string, text string"), [2024, 2023, 2022]).collect()
+    assert {r["fiscalYear"]: (r["revenue"], r["netResult"], r["error"]) for r in found} == {
+        2024: (1000.5, 120.0, None), 2023: (None, None, None), 2022: (None, None, "fetch_failed"),
+    }
+
+
+def test_texts_are_parsed_after_filings_are_chosen(spark, rows):
+    deposits = deposit_rows(rows("enterpriseNumber string, payload string", ("1", "{}")))
+    texts = spark.range(10).selectExpr("cast(id as string) as filing_id", "'70 1.000' as text")
+    plan = published_financials(deposits, rows(RUBRIC), texts, [2024])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and plan.rindex("LeftSemi") > plan.index("Generate")

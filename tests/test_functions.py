@@ -150,7 +150,7 @@ def test_halves_round_up_also_below_zero(spark):
 
 
 def test_plain_number(spark):
-    values = [1000000.0, 225353586.48, 0.0, -1.5, 1e12]
+    values = [1000000.0, 225353586.48, 0.0, -1.5, 1e12, 1e29, 1.5e-12, -0.0, -12345678.25, None]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert [r[0] for r in df.select(plain_number(F.col("v"))).collect()] == [
         "1000000",
@@ -158,4 +158,9 @@ def test_plain_number(spark):
         "0",
         "-1.5",
         "1000000000000",
+        "1" + "0" * 29,
+        "0.0000000000015",
+        "0",
+        "-12345678.25",
+        None,
     ]

@@ -98,6 +98,19 @@ def test_postal_counts(tables):
     assert values(counts, "postalCode", "enterpriseCount") == [("1000", 1), ("Unknown", 3)]
 
 
+def test_pages_by_last_number_and_total(tables):
+    numbers = [r["enterpriseNumber"] for r in market.companies_by_nace(tables, "62", limit=10).collect()]
+    paged, after = [], None
+    while part := [r["enterpriseNumber"] for r in market.companies_by_nace(tables, "62", limit=1, after=after).collect()]:
+        paged += part
+        after = part[-1]
+    assert paged == numbers
+    assert market.companies_by_nace(tables, "62", offset=1000).count() == 0
+    total = market.companies_by_nace(tables, "62", limit=1).first()["total"]
+    assert market.nace_total(tables, "62").first()["total"] == total
+    assert market.nace_total(tables, " ").first()["total"] == 0
+
+
 def test_page(tables):
     page = market.companies_by_nace(tables, "62", limit=10)
     assert values(page, "enterpriseNumber", "name", "city", "status", "juridicalForm", "total") == [
