@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from firmatlas.llm.store import written
+from firmatlas.llm.store import scratch, written
 
 
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
@@ -29,6 +29,11 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge; component is its smallest node."""
+    with scratch(edges.sparkSession):
+        return written(_contracted(edges, a, b, rounds), "components", keep=True)
+
+
+def _contracted(edges: DataFrame, a: str, b: str, rounds: int) -> DataFrame:
     edges = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b").distinct()
     edges = written(edges, "links")
     mark = None

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from firmatlas.llm.store import written
+from firmatlas.llm.store import scratch, written
 
 BLANK = r"[ \t\n\x0B\f\r]+"
 
@@ -76,7 +76,9 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 def deduplicated(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """Rows of docs as a struct ``row``, with n_lines, deleted (line positions) and the text that is left."""
-    found = repeats(docs, min_words).select(F.col("doc_id").alias("id"), F.col("text_key").alias("tk"), "deleted")
+    with scratch(docs.sparkSession):
+        found = written(repeats(docs, min_words), "line-repeats", keep=True)
+    found = found.select(F.col("doc_id").alias("id"), F.col("text_key").alias("tk"), "deleted")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_tk"))
     rows = rows.join(found, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_tk") == F.col("tk")), "left")
     split = F.split("row.text", "\n", -1)

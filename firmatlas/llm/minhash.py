@@ -9,7 +9,7 @@ chance, estimates the Jaccard similarity; what the estimate leaves is verified o
 
 Groups of copies. Documents with equal sets become one class, represented by the smallest doc_id, by
 a grouped minimum. Within a band, classes are not paired with each other: they are compared with a
-leader (the class that shares most bands), by several rounds with another leader each; then only classes that are still in different
+leader, the class that shares most bands (``LEADER_ROUNDS`` times, with another leader each); then only classes that are still in different
 components are compared. So a group of
 n copies takes about n comparisons, and a link is left out only where both ends are in one component
 already, which a link can't change. That last comparison finds its pairs by the rarest shingles that
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from firmatlas.llm import kernel as K
 from firmatlas.llm.components import components
 from firmatlas.llm.membership import bitmap, inside
-from firmatlas.llm.store import written
+from firmatlas.llm.store import scratch, written
 
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
 BUCKET_BITS = BUCKETS.bit_length() - 1
@@ -39,7 +39,7 @@ BUCKET_BITS = BUCKETS.bit_length() - 1
 SMALL_SET = 64
 #: Standard errors of the estimate that are allowed before a pair is rejected without verification.
 SLACK = 5.0
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 1
 
 
 def shingles(data, offsets, rows: int, size: int, lower: bool = True):
@@ -185,13 +185,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Links are pairs with 100 * intersection >= percent * union of their shingle sets.
     ``class_id`` is the smallest doc_id with the same set.
     """
+    with scratch(docs.sparkSession):
+        members, groups = _grouped(docs, size, percent)
+    out = members.join(groups, members.class_id == groups.node, "left")
+    component = F.coalesce("component", "class_id", "doc_id")
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_members", F.lit(1)).alias("n_members"),
+    )
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Kept tables: (doc_id, n, class_id, n_members) of every row, and (node, component) of linked classes."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sketched = written(docs.mapInArrow(_sketches(size), "doc_id long, n long, d1 long, d2 long, registers binary, bands array<long>"), "sketches")
     keys = ["n", "d1", "d2"]
     owners = sketched.filter("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_members"))
     # Written, so that the join below has an exchange on both sides and a hot class can be split.
     owners = written(owners, "owners")
-    members = written(sketched.select("doc_id", *keys).join(owners, keys, "left").select("doc_id", "n", "class_id", "n_members"), "members")
+    members = written(sketched.select("doc_id", *keys).join(owners, keys, "left").select("doc_id", "n", "class_id", "n_members"), "members", keep=True)
     heads = owners.select(*keys, F.col("class_id").alias("doc_id"))
     classes = written(sketched.join(heads, [*keys, "doc_id"], "left_semi").dropDuplicates([*keys, "doc_id"]), "classes")
     entries = classes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
@@ -217,14 +230,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         labels = written(nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "labels")
     rest = _open_pairs(entries.select("band", "node").join(labels, "node"), verifier)
     links = written(links.union(verifier.links(rest)), "edges")
-    groups = components(links)
-    out = members.join(groups, members.class_id == groups.node, "left")
-    component = F.coalesce("component", "class_id", "doc_id")
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-        F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_members", F.lit(1)).alias("n_members"),
-    )
+    return members, written(components(links), "groups", keep=True)
 
 
 def _open_pairs(own: DataFrame, verifier: _Verifier) -> DataFrame:

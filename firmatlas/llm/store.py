@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from firmatlas.session import work_folder
@@ -16,15 +19,38 @@ def _bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Tables of the open scratches, innermost last.
+_scratches: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes on leaving the tables written within, but for those written with ``keep``.
+
+    What is returned from it must rest on kept tables and on the inputs alone.
+    """
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for name in _scratches.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
     Unlike a cached block the table outlives the executors that made it. Its folder is
-    named afresh for each call and stays until the checkpoint folder is cleaned.
+    named afresh for each call and stays until the checkpoint folder is cleaned, or until
+    the scratch ends in which it is written.
     """
     spark = df.sparkSession
     _bounded_batches(spark)
     path = work_folder(spark, label)
+    level = len(_scratches) - 1 - keep
+    if level >= 0:
+        _scratches[level].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from firmatlas.llm import kernel as K
 from firmatlas.llm.membership import bitmap, inside
-from firmatlas.llm.store import written
+from firmatlas.llm.store import scratch, written
 
 LENGTH, KGRAM, CELL, BLOCK = 400, 128, 32, 4096
 
@@ -359,7 +359,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Texts that lose nothing are not shuffled: a bitmap of fixed size tells most of them.
     """
-    spans = written(removed_spans(docs, length), "spans").select(F.col("doc_id").alias("id"), F.col("text_key").alias("tk"), "spans")
+    with scratch(docs.sparkSession):
+        spans = written(removed_spans(docs, length), "spans", keep=True)
+    spans = spans.select(F.col("doc_id").alias("id"), F.col("text_key").alias("tk"), "spans")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(spans, "id"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     some = rows.mapInArrow(_split(shared, True), "doc_id long, text string").withColumn("text_key", F.xxhash64("text"))

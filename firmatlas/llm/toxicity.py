@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from firmatlas.llm import kernel as K
-from firmatlas.llm.store import written
+from firmatlas.llm.store import scratch, written
 
 BITS = 20
 #: Lengths in bytes of the word beginnings that are terms, besides the whole word (0).
@@ -129,6 +129,11 @@ def fit_chain(features, rows: int, width: int, labels: np.ndarray, fold: np.ndar
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS, min_z: float = MIN_Z) -> dict:
     """The model: number of each kept term, which of them are abusive, and a weight vector per category."""
+    with scratch(docs.sparkSession):
+        return _trained(docs, labels, label, max_labelled, max_terms, min_z)
+
+
+def _trained(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int, max_terms: int, min_z: float) -> dict:
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_labelled)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id").dropna()
