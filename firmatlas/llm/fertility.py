@@ -5,16 +5,18 @@ Base rules reject texts of fewer than 20 words and texts of which more than 30 %
 vocabularies: characters per token, the share of byte-fallback tokens, and the entropy of the tokens
 relative to its maximum. Each language (of texts without one, each script) has bands for them: the
 median over all its texts that pass the base rules, and a multiple of the distance of the quartile
-from it on either side, but a least width (see ``BANDS``). A text outside a band is rejected.
+from it on either side, but a least width (see ``BANDS``). Bands of few texts say little, so a group of
+n texts counts for n / (n + ``min_texts``), and the bands of its script for the rest; these are drawn in
+the same way towards the bands of all texts. A text outside a band is rejected.
 
 A text is measured word by word: a word is encoded once, with the space before it, and kept in a cache
 of ``CACHE_WORDS`` words for each tokenizer process; counts of words then give counts of tokens. The
 vocabulary files lie in a folder that every executor has; its path is a parameter.
 
 Defined cases: null and empty texts have no words and fail the base rules; texts with fewer than
-``min_tokens`` tokens are judged by the base rules alone, and so are languages with fewer than
-``min_texts`` texts; a null language is a language by script; rows that repeat a doc_id are judged each
-by its own text; an empty table gives an empty result; other columns are not read.
+``min_tokens`` tokens are judged by the base rules alone; a null language is a language by script; rows
+that repeat a doc_id are judged each by its own text; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -202,22 +204,40 @@ BANDS = {"chars_per_token": (0.25, 0.75, 5.0, 0.14), "fallback_share": (0.25, 0.
 NOISE = 8.0
 
 
-def bands(rows: DataFrame, min_tokens: int = 50, min_texts: int = 100) -> DataFrame:
-    """group, and the lower and upper bound of each measure, from all texts that pass the base rules."""
-    use = rows.filter((F.col("n_tokens") >= min_tokens) & ~F.col("base_failed")).withColumn("group", F.coalesce("lang", "script"))
-    found = use.groupBy("group").agg(F.count(F.lit(1)).alias("texts"), *(F.percentile_approx(m, [low, 0.5, high], 10_000).alias(m) for m, (low, high, _, _) in BANDS.items()))
-    out = [F.col("group")]
+LIMITS = tuple(f"{m}_{side}" for m in BANDS for side in ("low", "high"))
+
+
+def _bands(use: DataFrame, key: str, label: str) -> DataFrame:
+    """Per value of key the number of texts, and the lower and upper bound of each measure."""
+    found = use.groupBy(key).agg(F.count(F.lit(1)).alias("texts"), *(F.percentile_approx(m, [low, 0.5, high], 10_000).alias(m) for m, (low, high, _, _) in BANDS.items()))
+    out = [F.col(key), F.col("texts").alias(f"{label}_texts")]
     for m, (_, _, times, least) in BANDS.items():
-        out.append((F.col(m)[1] - F.greatest((F.col(m)[1] - F.col(m)[0]) * times, F.lit(least))).alias(f"{m}_low"))
-        out.append((F.col(m)[1] + F.greatest((F.col(m)[2] - F.col(m)[1]) * times, F.lit(least))).alias(f"{m}_high"))
-    return found.filter(F.col("texts") >= min_texts).select(*out)
+        out.append((F.col(m)[1] - F.greatest((F.col(m)[1] - F.col(m)[0]) * times, F.lit(least))).alias(f"{label}_{m}_low"))
+        out.append((F.col(m)[1] + F.greatest((F.col(m)[2] - F.col(m)[1]) * times, F.lit(least))).alias(f"{label}_{m}_high"))
+    return found.select(*out)
+
+
+def bands(rows: DataFrame, min_tokens: int = 50, min_texts: int = 100) -> DataFrame:
+    """Bounds of each measure by group and script, from all texts that pass the base rules.
+
+    A group of ``min_texts`` texts weighs as much as its script, and a script of so many as all texts.
+    """
+    use = rows.filter((F.col("n_tokens") >= min_tokens) & ~F.col("base_failed")).withColumn("group", F.coalesce("lang", "script")).withColumn("every", F.lit(0))
+    found = use.select("group", "script", "every").distinct().join(_bands(use, "group", "own"), "group").join(_bands(use, "script", "wide"), "script").join(_bands(use, "every", "all"), "every")
+
+    def drawn(texts: str, own, wider):
+        weight = F.col(texts) / (F.col(texts) + min_texts)
+        return weight * own + (1 - weight) * wider
+
+    return found.select("group", "script", *(drawn("own_texts", F.col(f"own_{c}"), drawn("wide_texts", F.col(f"wide_{c}"), F.col(f"all_{c}"))).alias(c) for c in LIMITS))
 
 
 def judged(docs: DataFrame, folder: str = FOLDER, min_tokens: int = 50, min_texts: int = 100) -> DataFrame:
-    """``measured`` with the bands of each row's group, and ``kept``."""
+    """``measured`` with the bands of each row's group and script, and ``kept``."""
     rows = written(measured(docs, folder), "fertility")
     limits = written(bands(rows, min_tokens, min_texts), "bands")
-    rows = rows.withColumn("group", F.coalesce("lang", "script")).join(limits, "group", "left")
+    # Only rows that the base rules decide can be without bands.
+    rows = rows.withColumn("group", F.coalesce("lang", "script")).join(limits, ["group", "script"], "left")
     # A short text gives a less exact measure, so bands are wider for it.
     spare = NOISE / F.sqrt(F.greatest("n_tokens", F.lit(1)))
     inside = F.lit(True)

@@ -1,4 +1,5 @@
 import os
+import random
 import re
 from collections import Counter
 
@@ -65,6 +66,26 @@ def test_bands_reject_what_the_vocabulary_does_not_fit(spark):
     assert sum(got[i].kept for i in range(300)) >= 297
 
 
+def test_small_groups_are_judged(spark):
+    good = [(i, prose(i, 200), "en", "s", 0) for i in range(150)]
+    rare = [(500 + i, prose(500 + i, 200), "yy", "s", 0) for i in range(8)]
+    rng = random.Random(1)
+    odd = [(1000 + i, "".join(chr(0x1D100 + rng.randrange(90)) + " " * (j % 5 == 4) for j in range(400)), ["xx", "yy", None][i % 3], "s", 0) for i in range(9)]
+    got = {r.doc_id: r for r in fertility.judged(frame(spark, good + rare + odd)).collect()}
+    assert not any(got[1000 + i].base_failed or got[1000 + i].kept for i in range(9))
+    assert all(got[500 + i].kept for i in range(8))
+
+
+def test_bands_do_not_switch_at_a_number_of_texts(spark):
+    def low(n):
+        rows = [(i, lang, "latin", 0, 0, 0, 0, 0, 200, value, 0.0, 0.9, False) for lang, k, value in (("en", 400, 4.0), ("es", n, 2.0)) for i in range(k)]
+        schema = "doc_id long, lang string, script string, " + ", ".join([*(f"{c} long" for c in fertility.COLUMNS), *(f"{c} double" for c in fertility.MEASURES), "base_failed boolean"])
+        return {r.group: r.chars_per_token_low for r in fertility.bands(spark.createDataFrame(rows, schema)).collect()}["es"]
+
+    few, just_below, just_above, many = map(low, (3, 99, 101, 390))
+    assert few > just_below > just_above > many and just_below - just_above < 0.05
+
+
 def test_edge_cases(spark):
     got = fertility.judged(frame(spark, clashing=True)).collect()
     assert len(got) == len(documents()) and all(r.kept is not None for r in got)
