@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from firmatlas.llm import decontaminate, fertility, lines, minhash, mixing, ngram, quality, substrings, toxicity, warc
+from firmatlas.llm import alignment, decontaminate, fertility, lines, merkle, minhash, mixing, ngram, quality, reputation, substrings, toxicity, warc
 from firmatlas.llm.sql import ORACLE  # noqa: F401
 from firmatlas.llm.store import table, written
 from firmatlas.session import work_folder
@@ -80,9 +80,30 @@ def op10_quality(spark, sf_dir):
     return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_alignment(spark, sf_dir):
+    return alignment.alignments(table(spark, sf_dir, "documents"))
+
+
+def op12_reputation(spark, sf_dir):
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    # The tables label pages by the id they share with documents.
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    return reputation.judged(table(spark, sf_dir, "pages"), rules, outcomes)
+
+
+def op13_merkle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", reputation.UPPER, reputation.LOWER)
+    tampered = merkle.leaf([lowered if c == "text" else F.col(c) for c in merkle.FIELDS])
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, tampered)
+    found = merkle.manifest(docs, changed)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op1_minhash": op1_minhash, "op2_substrings": op2_substrings, "op3_toxicity": op3_toxicity, "op4_fertility": op4_fertility, "op5_decontaminate": op5_decontaminate, "op6_ngram": op6_ngram, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_lines": op9_lines, "op10_quality": op10_quality}
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
+QUERIES = {"pipeline": pipeline, "op1_minhash": op1_minhash, "op2_substrings": op2_substrings, "op3_toxicity": op3_toxicity, "op4_fertility": op4_fertility, "op5_decontaminate": op5_decontaminate, "op6_ngram": op6_ngram, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_lines": op9_lines, "op10_quality": op10_quality, "op11_alignment": op11_alignment, "op12_reputation": op12_reputation, "op13_merkle": op13_merkle}

@@ -107,4 +107,90 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM b
 """
 
-ORACLE = {"op7_warc": OP7, "op8_mixing": OP8, "op1_minhash": OP1, "op5_decontaminate": OP5, "op9_lines": OP9}
+OP12 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(rh, rp, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+places AS (SELECT DISTINCT host, path FROM p),
+fits AS (
+  SELECT host, path, max((length(rh || rp), v, rh || rp)) AS best FROM places, rules
+  WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path),
+o AS (SELECT doc_id AS page_id, count(*) AS n, sum(quality) AS k FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+c AS (SELECT host, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, CAST(coalesce(sum(k), 0) AS BIGINT) AS k FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+bare AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM c),
+parts AS (
+  SELECT *, string_split(bare, '.') AS ls, regexp_matches(bare, '^[0-9.]+$') AS digits,
+    CASE WHEN regexp_matches(bare, '(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z][a-z]$') THEN 2 ELSE 1 END AS m FROM bare),
+h AS (
+  SELECT host, n, k, CASE WHEN digits THEN '' ELSE array_to_string(ls[-m:], '.') END AS suffix,
+    CASE WHEN digits THEN bare ELSE array_to_string(ls[-(m + 1):], '.') END AS domain FROM parts),
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 0.5) / (sum(n) + 1) FROM h) AS prior FROM h GROUP BY suffix),
+""" + ",\n".join(
+    f"""{x}w AS (SELECT coalesce(1 / least(greatest(sum(CASE WHEN n > 0 THEN n * (CAST(k AS DOUBLE) / n - prior) * (CAST(k AS DOUBLE) / n - prior) - prior * (1 - prior) END)
+  / nullif(sum(CASE WHEN n > 0 THEN (n - 1) * prior * (1 - prior) END), 0), 0.002e0), 0.5e0), 2e0) - 1 AS w FROM {x}0),
+{x} AS (SELECT *, (k + w * prior) / (n + w) AS mean FROM {x}0, {x}w){more}"""
+    for x, more in (
+        ("s", ",\nd0 AS (SELECT domain, a.n, a.k, s.mean AS prior FROM (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain, suffix) a JOIN s USING (suffix))"),
+        ("d", ",\nh0 AS (SELECT h.host, h.n, h.k, d.mean AS prior FROM h JOIN d USING (domain))"),
+        ("h", ""),
+    )
+).replace("\nh AS (SELECT *, (k", "\nr AS (SELECT *, (k") + """
+SELECT p.page_id, p.host, p.path, best[3] AS rule,
+  coalesce(best[2], CASE WHEN round(mean + 1.645 * sqrt(mean * (1 - mean) / (n + w + 1)), 9) < 0.7 THEN 'block' ELSE 'allow' END) AS verdict,
+  n AS labelled, round(mean, 9) AS mean, round(mean + 1.645 * sqrt(mean * (1 - mean) / (n + w + 1)), 9) AS upper
+FROM p JOIN r USING (host) LEFT JOIN fits USING (host, path)
+"""
+
+
+def _merkle(levels: int = 8, group_levels: int = 3, fanout: int = 8) -> str:
+    """Trees of up to fanout ** levels rows a group, level by level, and of the groups above them."""
+
+    def value(column: str) -> str:
+        text = f"CAST({column} AS VARCHAR)"
+        return f"CASE WHEN {column} IS NULL THEN '-' ELSE CAST(strlen({text}) AS VARCHAR) || ':' || {text} END"
+
+    fields = " || ".join(value(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bits = "flatten(list_transform(range(1, len(id) + 1), lambda i: list_transform(range(0, 8), lambda j: (ord(id[i]) >> j) & 1)))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {bits}), lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"
+    parts = [
+        f"""d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, coalesce('1' || lang, '0') AS g, sha256({fields} || {value('text')}) AS leaf,
+  sha256({fields} || {value(lowered)}) AS lowered FROM documents)""",
+        f"t AS (SELECT *, CASE WHEN id IS NOT NULL AND {crc} % 3 = 0 THEN lowered ELSE leaf END AS now FROM d)",
+        """t0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY g) AS n FROM t)""",
+        "n0 AS (SELECT g, r, n, leaf AS h FROM t0)",
+    ]
+
+    def tree(n: str, depth: int):
+        for i in range(depth):
+            parts.append(f"{n}x{i} AS (SELECT g, r // {fanout} AS r, any_value(n) AS n, list(h ORDER BY r) AS hs FROM {n}{i} WHERE n > 1 GROUP BY g, r // {fanout})")
+            parts.append(f"{n}{i + 1} AS (SELECT g, r, (n + {fanout - 1}) // {fanout} AS n, sha256(array_to_string(hs, '')) AS h FROM {n}x{i})")
+        parts.append(f"{n}r AS (" + " UNION ALL ".join(f"SELECT g, h FROM {n}{i} WHERE n = 1" for i in range(depth + 1)) + ")")
+
+    def climb(n: str, t: str, depth: int):
+        """Folds ``now`` and gathers siblings of t's rows (g, r, now, proof) up the tree n; t ends as t + depth."""
+        for i in range(depth):
+            place = f"(t.r // {fanout ** i}) % {fanout}"
+            before, after = f"array_to_string(x.hs[1:{place}], '')", f"array_to_string(x.hs[{place} + 2:], '')"
+            parts.append(
+                f"""{t}{i + 1} AS (SELECT t.* REPLACE (CASE WHEN x.hs IS NULL THEN t.now ELSE sha256({before} || t.now || {after}) END AS now,
+  CASE WHEN x.hs IS NULL THEN t.proof ELSE t.proof || {before} || {after} END AS proof)
+  FROM {t}{i} t LEFT JOIN {n}x{i} x ON x.g = t.g AND x.r = t.r // {fanout ** (i + 1)})"""
+            )
+
+    tree("n", levels)
+    parts.append("m0 AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS r, count(*) OVER () AS n, h, g AS own FROM nr)")
+    tree("m", group_levels)
+    parts.append("u0 AS (SELECT t0.*, '' AS proof FROM t0)")
+    climb("n", "u", levels)
+    parts.append(f"v0 AS (SELECT u.* REPLACE ('' AS g, m0.r AS r), m0.h AS subroot FROM u{levels} u JOIN m0 ON m0.own = u.g)")
+    climb("m", "v", group_levels)
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, mr.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = mr.h AS verified FROM v{group_levels}, mr
+"""
+
+
+OP13 = _merkle()
+
+ORACLE = {"op12_reputation": OP12, "op13_merkle": OP13, "op7_warc": OP7, "op8_mixing": OP8, "op1_minhash": OP1, "op5_decontaminate": OP5, "op9_lines": OP9}
