@@ -11,13 +11,14 @@ from firmatlas.functions.dates import iso_day
 from firmatlas.operators.audit import audit_load, load_plan, orphan_check
 from firmatlas.operators.keyed import KEEP, REPLACE, dedupe_first, merge_rows
 from firmatlas.operators.staging import malformed_dates, stage_table
-from firmatlas.plans.loading import audit_snapshot, load_all, merged_table, reset_tables
+from firmatlas.plans.loading import audit_snapshot, load_all, load_missing, merged_table, reset_tables
 from firmatlas.schemas import TABLES
 from firmatlas.session import work_folder
 from firmatlas.sources.csv_files import read_extract
 from firmatlas.sources.snapshots import read_snapshot
 from firmatlas.sources.testviews import TestViews, with_views
-from firmatlas.streaming.deliveries import snapshot_of, start_deliveries
+from firmatlas.sources.buckets import read_table
+from firmatlas.streaming.deliveries import start_deliveries
 
 LOAD_TIME = datetime.datetime(2024, 5, 6, 7, 8, 9)
 DAY_TEXT = (
@@ -203,6 +204,27 @@ def load_all_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.join(whole, "table", "left").select("table", "expected", "loaded", "status", "awkward")
 
 
+def load_missing_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """A snapshot of extracts of which two lack rows, completed from the whole extracts; ``reloaded`` names these two."""
+    raw, root = _raw(spark, folder), work_folder(spark, "missing")
+
+    def deliver(name: str, rows: DataFrame) -> None:
+        spec = TABLES[name]
+        rows.select(*spec.source_columns).write.mode("overwrite").options(header="true", quote='"', escape='"').csv(f"{root}/in/{spec.file}")
+
+    for name in TABLES:
+        rows = raw[name]
+        if name == "Branch":
+            rows = rows.filter("StartDate <> ''")
+        deliver(name, rows.filter("Status = 'AC'") if name == "Enterprise" else rows)
+    load_all(spark, f"{root}/in", f"{root}/first", LOAD_TIME)
+    for name in ("Branch", "Enterprise"):
+        deliver(name, raw[name])
+    reloaded = load_missing(spark, f"{root}/in", f"{root}/first", f"{root}/second", LOAD_TIME)
+    audit = audit_snapshot(spark, f"{root}/in", f"{root}/second")
+    return audit.withColumn("reloaded", F.col("table").isin(reloaded)).select("table", "expected", "loaded", "status", "reloaded")
+
+
 def orphans(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_check(TestViews(spark, folder).tables())
 
@@ -227,18 +249,19 @@ def csv_load(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def incremental_load(spark: SparkSession, folder: str) -> DataFrame:
-    """Two deliveries of establishments, merged by two runs of the streaming job."""
+    """Two deliveries of establishments, merged by two runs of the streaming job; the second has line breaks in fields."""
     root = work_folder(spark, "deliveries")
     first = _raw(spark, folder).establishment()
     second = first.where("StartDate = ''").selectExpr(
-        "EstablishmentNumber", "'01-02-2003' as StartDate", "concat(EnterpriseNumber, '.9') as EnterpriseNumber"
+        "EstablishmentNumber", "'01-02-2003' as StartDate", "concat(EnterpriseNumber, ',\n\"9\"') as EnterpriseNumber"
     )
     for delivery in (first, second):
-        delivery.select(*TABLES["Establishment"].source_columns).write.mode("append").options(header="true").csv(f"{root}/in")
+        rows = delivery.select(*TABLES["Establishment"].source_columns).write.mode("append")
+        rows.options(header="true", quote='"', escape='"').csv(f"{root}/in")
         start_deliveries(
             spark, f"{root}/in", "Establishment", f"{root}/out", f"{root}/checkpoint", LOAD_TIME
         ).awaitTermination()
-    return _days(read_snapshot(spark, snapshot_of(f"{root}/out", 1), ["Establishment"])["Establishment"], "startDate")
+    return _days(read_table(spark, f"{root}/out", "Establishment"), "startDate")
 
 
 QUERIES = {
@@ -257,6 +280,7 @@ QUERIES = {
     "load_upsert": _merge(REPLACE),
     "load_audit": load_audit,
     "load_all_audit": load_all_audit,
+    "load_missing": load_missing_audit,
     "load_actions": load_actions,
     "orphan_check": orphans,
     "table_reset": table_reset,
@@ -383,6 +407,11 @@ FROM contacts GROUP BY 1, 2, 3""",
   CASE WHEN "table" IN ({", ".join(f"'{t}'" for t in AWKWARD)}) THEN expected END AS awkward FROM audit""",
         f"{_CONTACT_ROWS}, {_ACTIVITY_ROWS}, {_AUDIT}",
     ),
+    "load_missing": with_views(
+        _AUDIT_VIEWS,
+        """SELECT "table", expected, expected AS loaded, 'MATCH' AS status, "table" IN ('Branch', 'Enterprise') AS reloaded FROM audit""",
+        f"{_CONTACT_ROWS}, {_ACTIVITY_ROWS}, {_AUDIT}",
+    ),
     "load_actions": with_views(
         _AUDIT_VIEWS,
         """SELECT "table", expected, loaded, CASE WHEN loaded < expected THEN 'LOAD' ELSE 'skip' END AS action FROM audit""",
@@ -403,7 +432,7 @@ UNION ALL SELECT unnest(['Enterprise', 'Establishment', 'KBOAddress', 'KBOContac
     "csv_load": with_views("address", ADDRESS_SQL),
     "incremental_load": f"""
 SELECT "establishmentNumber", CASE WHEN o_orderkey % 17 = 0 THEN '2003-02-01' ELSE "startDate" END AS "startDate",
-  CASE WHEN o_orderkey % 17 = 0 THEN "enterpriseNumber" || '.9' ELSE "enterpriseNumber" END AS "enterpriseNumber"
+  CASE WHEN o_orderkey % 17 = 0 THEN "enterpriseNumber" || ',' || chr(10) || '"9"' ELSE "enterpriseNumber" END AS "enterpriseNumber"
 FROM (SELECT o_orderkey, '2.' || o_orderkey AS "establishmentNumber", {_day("o_orderkey", "o_orderdate", "'2024-05-06'")} AS "startDate",
   '0.' || o_custkey AS "enterpriseNumber" FROM orders WHERE o_orderkey % 3 = 0)""",
 }

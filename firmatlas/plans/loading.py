@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Container, Mapping
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,16 @@ from firmatlas.sources.csv_files import read_extract
 from firmatlas.sources.snapshots import empty_table, read_snapshot, write_table
 
 
+#: Tables whose jobs are given to Spark at the same time.
+AT_ONCE = 4
+
+
+def _for_each_table(job: Callable[[str], object]) -> dict[str, object]:
+    """Run a job for every table, a few at a time; the first failure is raised."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return dict(zip(TABLES, pool.map(job, TABLES)))
+
+
 def merge_mode(table: str, upsert: bool) -> str:
     return REPLACE if upsert or TABLES[table].always_replace else KEEP
 
@@ -44,13 +55,12 @@ def load_table(
     load_time: datetime.datetime,
     current: str | None = None,
     upsert: bool = False,
-    multi_line: bool = True,
 ) -> None:
     """Merge one extract into the table of the ``current`` snapshot, written to ``target``."""
     stored = (
         read_snapshot(spark, current, [table])[table] if current else empty_table(spark, table)
     )
-    raw = read_extract(spark, csv_path, table, multi_line)
+    raw = read_extract(spark, csv_path, table)
     write_table(merged_table(stored, raw, table, load_time, upsert), target, table)
 
 
@@ -61,17 +71,15 @@ def load_all(
     load_time: datetime.datetime,
     current: str | None = None,
     upsert: bool = False,
-    split: Container[str] = (),
 ) -> None:
-    """All nine extracts into a new snapshot. Tables that a full load empties start empty.
+    """All nine extracts into a new snapshot. Tables that a full load empties start empty."""
 
-    ``split`` names the tables whose extracts have no line breaks within fields, so that their
-    files may be split over tasks.
-    """
-    for table, spec in TABLES.items():
+    def load(table: str) -> None:
+        spec = TABLES[table]
         kept = current if current and not spec.cleared_on_reset else None
-        path = f"{csv_folder}/{spec.file}"
-        load_table(spark, table, path, target, load_time, kept, upsert, table not in split)
+        load_table(spark, table, f"{csv_folder}/{spec.file}", target, load_time, kept, upsert)
+
+    _for_each_table(load)
 
 
 def load_missing(
@@ -81,7 +89,6 @@ def load_missing(
     target: str,
     load_time: datetime.datetime,
     upsert: bool = False,
-    split: Container[str] = (),
 ) -> list[str]:
     """Merge the extracts of incomplete tables and copy the complete ones, into a whole snapshot.
 
@@ -89,22 +96,19 @@ def load_missing(
     """
     incomplete = [
         row["table"]
-        for row in audit_snapshot(spark, csv_folder, current, split).filter(F.col("incomplete")).collect()
+        for row in audit_snapshot(spark, csv_folder, current).filter(F.col("incomplete")).collect()
     ]
-    for table, spec in TABLES.items():
+
+    def load(table: str) -> None:
         if table in incomplete:
-            path = f"{csv_folder}/{spec.file}"
-            load_table(spark, table, path, target, load_time, current, upsert, table not in split)
+            load_table(spark, table, f"{csv_folder}/{TABLES[table].file}", target, load_time, current, upsert)
         else:
             write_table(read_snapshot(spark, current, [table])[table], target, table)
+
+    _for_each_table(load)
     return incomplete
 
 
-def audit_snapshot(
-    spark: SparkSession, csv_folder: str, snapshot: str, split: Container[str] = ()
-) -> DataFrame:
-    sources = {
-        name: read_extract(spark, f"{csv_folder}/{spec.file}", name, name not in split)
-        for name, spec in TABLES.items()
-    }
+def audit_snapshot(spark: SparkSession, csv_folder: str, snapshot: str) -> DataFrame:
+    sources = _for_each_table(lambda name: read_extract(spark, f"{csv_folder}/{TABLES[name].file}", name))
     return audit_load(sources, read_snapshot(spark, snapshot))

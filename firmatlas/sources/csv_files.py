@@ -8,10 +8,7 @@ from pyspark.sql import types as T
 
 from firmatlas.functions.amounts import imported_number
 from firmatlas.schemas import TABLES
-
-# Columns that give the order of the rows in the files of one delivery.
-FILE_ORDER = ["sourceFile", "sourceBlock", "sourceRow"]
-
+from firmatlas.sources.csv_blocks import FILE_ORDER, csv_rows, header_line, header_names
 
 def text_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -21,15 +18,9 @@ def text_schema(columns: list[str]) -> T.StructType:
 RAGGED = "raggedRow"
 
 
-def csv_options(multi_line: bool = True) -> dict[str, str]:
-    """Doubled quotes and line breaks inside quoted fields.
-
-    Where a quoted field may hold a line break, a file can only be read from its start, in one
-    task; several files are read in parallel. ``multi_line=False`` splits large files over tasks.
-    It is for extracts known to have none: a line break then gives rows with too few fields,
-    which ``read_extract`` refuses.
-    """
-    return {"header": "true", "quote": '"', "escape": '"', "multiLine": str(multi_line).lower()}
+def csv_options() -> dict[str, str]:
+    """Doubled quotes, and line breaks inside quoted fields."""
+    return {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
 
 
 def with_file(df: DataFrame) -> DataFrame:
@@ -47,54 +38,55 @@ def with_row(df: DataFrame) -> DataFrame:
     return df.withColumn(FILE_ORDER[2], F.monotonically_increasing_id())
 
 
-def _checked(spark: SparkSession, path: str | list[str], multi_line: bool) -> DataFrame:
-    """All columns as text, plus ``RAGGED``. A file whose header differs from the first file's ends the read."""
-    options = csv_options(multi_line)
-    header = spark.read.options(**options).csv(path).columns
-    schema = text_schema([*header, RAGGED])
-    reader = spark.read.schema(schema).options(**options, enforceSchema="false", columnPruning="false")
-    return reader.option("columnNameOfCorruptRecord", RAGGED).csv(path)
-
+def _fields(spark: SparkSession, path: str | list[str]) -> DataFrame | None:
+    """``FILE_ORDER``, all columns as text, and ``RAGGED``; null where all files are empty."""
+    header = header_line(spark, path)
+    if header is None:
+        return None
+    names = [*header_names(header), RAGGED]
+    ddl = ", ".join("`" + name.replace("`", "``") + "` string" for name in names)
+    options = {**csv_options(), "header": "false", "columnNameOfCorruptRecord": RAGGED}
+    rows = csv_rows(spark, path, header)
+    # As a generator the parser runs once for each row, whatever is selected or filtered later.
+    return rows.select(*FILE_ORDER, F.inline(F.array(F.from_csv("value", ddl, options))))
 
-def _parsed(rows: DataFrame) -> Column:
-    """True, from a column of the file: a query may not read the column of ragged rows alone."""
-    return F.coalesce(F.col(f"`{rows.columns[0]}`"), F.lit("")) != "\0"
 
-
-def ragged_rows(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+def ragged_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Number of rows per file that have more or fewer fields than the header."""
-    rows = _checked(spark, path, multi_line)
-    rows = rows.filter(F.col(RAGGED).isNotNull() & _parsed(rows))
-    return rows.groupBy(F.col("_metadata.file_path").alias(FILE_ORDER[0])).agg(F.count("*").alias("rows"))
+    rows = _fields(spark, path)
+    if rows is None:
+        return spark.createDataFrame([], f"{FILE_ORDER[0]} string, rows long")
+    return rows.filter(F.col(RAGGED).isNotNull()).groupBy(FILE_ORDER[0]).agg(F.count("*").alias("rows"))
 
 
-def read_extract(
-    spark: SparkSession, path: str | list[str], table: str, multi_line: bool = True
-) -> DataFrame:
-    """All columns of a registry extract as text, in file order; a column that the file lacks
-    is null. Columns are found by their header name, so their order does not matter; several
+def read_extract(spark: SparkSession, path: str | list[str], table: str) -> DataFrame:
+    """All columns of a registry extract as text, with their order in the files; a column that the
+    file lacks is null. Large files are read by many tasks, also where fields hold line breaks
+    (``csv_blocks``). Columns are found by their header name, so their order does not matter; several
     files must have one header. A row with more or fewer fields than the header ends the read
     with its file and text; ``ragged_rows`` counts such rows."""
-    raw = with_file(_checked(spark, path, multi_line))
+    wanted = TABLES[table].source_columns
+    raw = _fields(spark, path)
+    if raw is None:
+        return spark.createDataFrame([], ", ".join([*(f"{c} string" for c in wanted), f"{FILE_ORDER[0]} string, {FILE_ORDER[1]} long, {FILE_ORDER[2]} long"]))
     message = F.concat(F.lit("row with another number of fields than the header in "), F.col(FILE_ORDER[0]), F.lit(": "), F.col(RAGGED))
     # The check is a column of every row, so that no plan can leave it out by itself.
     first = F.when(F.col(RAGGED).isNotNull(), F.raise_error(message).cast("string")).otherwise(F.col(FILE_ORDER[0]))
-    raw = with_row(raw.withColumn(FILE_ORDER[0], first).filter(F.col(FILE_ORDER[0]).isNotNull() & _parsed(raw)).drop(RAGGED))
-    wanted = TABLES[table].source_columns
+    raw = raw.withColumn(FILE_ORDER[0], first).filter(F.col(FILE_ORDER[0]).isNotNull())
     return raw.select(
         *[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in wanted],
         *FILE_ORDER,
     )
 
 
-def stream_extract(
-    spark: SparkSession, folder: str, table: str, multi_line: bool = True
-) -> DataFrame:
-    """The same rows as a stream of arriving files (rows are numbered per batch, see
-    ``with_row``). The header of each file is checked."""
-    schema = text_schema(TABLES[table].source_columns)
-    stream = spark.readStream.schema(schema).options(**csv_options(multi_line))
-    return with_file(stream.option("enforceSchema", "false").csv(folder))
+def arriving_files(spark: SparkSession, folder: str, at_once: int) -> DataFrame:
+    """Paths of the files that arrive in a folder, as a stream of at most ``at_once`` files a batch.
+
+    Files are listed by their lines, so one without any line is left out; what they hold is for
+    ``read_extract`` to read.
+    """
+    lines = spark.readStream.option("maxFilesPerTrigger", at_once).text(folder)
+    return lines.select(F.col("_metadata.file_path").alias("path"))
 
 
 # Labelled rows of a rubric export.

@@ -1,4 +1,4 @@
-"""Extracts that arrive over time: each batch of new files is merged into the next snapshot."""
+"""Extracts that arrive over time: each batch of new files is merged into a bucketed table."""
 
 from __future__ import annotations
 
@@ -7,30 +7,26 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from firmatlas.plans.loading import merged_table
-from firmatlas.sources.csv_files import stream_extract, with_row
-from firmatlas.sources.snapshots import empty_table, read_snapshot, write_table
+from firmatlas.operators.staging import stage_table
+from firmatlas.plans.loading import merge_mode
+from firmatlas.sources import buckets as store
+from firmatlas.sources.csv_files import arriving_files, read_extract
+from firmatlas.sources.snapshots import read_snapshot
 
 
-def snapshot_of(root: str, batch: int) -> str:
-    return f"{root}/batch={batch}"
-
-
-def merge_batch(
+def merge_files(
     spark: SparkSession,
-    batch: DataFrame,
+    paths: list[str],
     batch_id: int,
     table: str,
     root: str,
     load_time: datetime.datetime,
     upsert: bool,
-    initial: str | None = None,
-) -> None:
-    """Snapshot ``n - 1`` and the new rows give snapshot ``n``; a repeated batch writes the same."""
-    source = snapshot_of(root, batch_id - 1) if batch_id > 0 else initial
-    stored = read_snapshot(spark, source, [table])[table] if source else empty_table(spark, table)
-    merged = merged_table(stored, with_row(batch), table, load_time, upsert)
-    write_table(merged, snapshot_of(root, batch_id), table)
+    buckets: int = store.BUCKETS,
+) -> list[int]:
+    """Merge the rows of extract files; returns the buckets that were rewritten."""
+    staged = stage_table(read_extract(spark, paths, table), table, load_time)
+    return store.merge_into(spark, staged, root, table, batch_id, merge_mode(table, upsert), buckets)
 
 
 def start_deliveries(
@@ -42,19 +38,30 @@ def start_deliveries(
     load_time: datetime.datetime,
     upsert: bool = True,
     initial: str | None = None,
-    multi_line: bool = False,
+    buckets: int = store.BUCKETS,
+    keep: int | None = None,
+    at_once: int = 1000,
 ) -> StreamingQuery:
     """Merge all files that have arrived since the last run, then stop.
 
-    State is only the file log in ``checkpoint``; ``root`` and ``checkpoint`` must be shared
-    folders on a cluster.
+    State is the file log in ``checkpoint`` and the table's own in ``root``; both must be shared
+    folders on a cluster. Files are read as ``read_extract`` reads them: fields may hold line breaks, and a
+    ragged row or another header ends the run, before anything of its batch is merged. ``initial`` names a
+    snapshot to start from, ``keep`` how many states stay readable (all, by default).
     """
+    if initial and not store.batches(spark, root, table):
+        store.start_table(spark, read_snapshot(spark, initial, [table])[table], root, table, buckets)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        merge_batch(spark, batch, batch_id, table, root, load_time, upsert, initial)
+        # At most ``at_once`` names.
+        paths = sorted(r["path"] for r in batch.distinct().collect())
+        if paths:
+            merge_files(spark, paths, batch_id, table, root, load_time, upsert, buckets)
+        if keep is not None:
+            store.expire(spark, root, table, keep)
 
     return (
-        stream_extract(spark, folder, table, multi_line)
+        arriving_files(spark, folder, at_once)
         .writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

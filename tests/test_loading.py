@@ -7,9 +7,10 @@ from firmatlas.operators.keyed import dedupe_first, merge_rows
 from firmatlas.operators.staging import stage_table
 from firmatlas.plans.loading import audit_snapshot, load_all, load_missing, load_table
 from firmatlas.schemas import TABLES, Relation
+from firmatlas.sources.buckets import batches, expire, merge_into, read_table, state
 from firmatlas.sources.csv_files import ragged_rows, read_extract
 from firmatlas.sources.snapshots import read_snapshot, write_bucketed
-from firmatlas.streaming.deliveries import last_batch, snapshot_of, start_deliveries
+from firmatlas.streaming.deliveries import last_batch, start_deliveries
 
 NOW = datetime.datetime(2024, 5, 6, 7, 8, 9)
 
@@ -85,10 +86,10 @@ def test_staging_rules(spark, folder):
     assert [tuple(r) for r in staged("Meta").collect()] == [("SnapshotDate", "2024-05-06")]
 
 
-def test_fields_with_line_breaks_need_the_option(spark, tmp_path):
+def test_fields_with_line_breaks(spark, tmp_path):
     path = tmp_path / "meta.csv"
     path.write_text('Variable,Value\na,"x\ny"\nb,z\n', encoding="utf-8")
-    rows = read_extract(spark, str(path), "Meta", multi_line=True)
+    rows = read_extract(spark, str(path), "Meta")
     assert {(r["Variable"], r["Value"]) for r in rows.collect()} == {("a", "x\ny"), ("b", "z")}
 
 
@@ -98,7 +99,7 @@ def test_file_order_over_many_splits(spark, tmp_path):
     (tmp_path / "meta.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        raw = read_extract(spark, str(tmp_path / "meta.csv"), "Meta", multi_line=False)
+        raw = read_extract(spark, str(tmp_path / "meta.csv"), "Meta")
         assert raw.rdd.getNumPartitions() > 4
         first = {r["variable"]: r["value"] for r in stage_table(raw, "Meta", NOW).collect()}
     finally:
@@ -133,9 +134,11 @@ def test_line_breaks_in_fields_and_ragged_rows(spark, folder, tmp_path):
     audit = {r["table"]: r for r in audit_snapshot(spark, folder, target).collect()}
     assert len(audit) == len(TABLES) and not any(r["incomplete"] for r in audit.values())
     path = f"{folder}/denomination.csv"
-    assert [r["rows"] for r in ragged_rows(spark, path, multi_line=False).collect()] == [1]
     assert ragged_rows(spark, path).collect() == []
-    for job in (lambda: load_all(spark, folder, str(tmp_path / "x"), NOW, split=["Denomination"]), lambda: audit_snapshot(spark, folder, target, ["Denomination"]).collect()):
+    with open(path, "a", encoding="utf-8") as file:
+        file.write("0200.065.765,2,001\r\n")
+    assert [r["rows"] for r in ragged_rows(spark, path).collect()] == [1]
+    for job in (lambda: load_all(spark, folder, str(tmp_path / "x"), NOW), lambda: audit_snapshot(spark, folder, target).collect()):
         with pytest.raises(Exception, match="denomination.csv"):
             job()
 
@@ -195,8 +198,70 @@ def test_deliveries_are_merged_once(spark, tmp_path):
     deliver("a.csv", "x,1", "x,2", "y,1")
     query = deliver("b.csv", "y,9", "z,9")
     assert last_batch(query) == 1
-    stored = read_snapshot(spark, snapshot_of(root, 1), ["Meta"])["Meta"]
-    assert {tuple(r) for r in stored.collect()} == {("x", "1"), ("y", "9"), ("z", "9")}
+    assert {tuple(r) for r in read_table(spark, root, "Meta").collect()} == {("x", "1"), ("y", "9"), ("z", "9")}
+    assert {tuple(r) for r in read_table(spark, root, "Meta", 0).collect()} == {("x", "1"), ("y", "1")}
+    # Line breaks in fields are read, and a row without a field ends the run before it changes anything.
+    deliver("c.csv", 'w,"1', '2"')
+    with pytest.raises(Exception, match="another number of fields"):
+        deliver("d.csv", "v,1", "u")
+    rows = {tuple(r) for r in read_table(spark, root, "Meta").collect()}
+    assert rows == {("x", "1"), ("y", "9"), ("z", "9"), ("w", "1\n2")}
+
+
+def files_of(folder):
+    return {str(p.relative_to(folder)) for p in folder.rglob("part-*.parquet") if "data" in p.parts}
+
+
+def test_a_delivery_rewrites_only_its_buckets(spark, tmp_path):
+    def rows(keys, value):
+        return spark.createDataFrame([(f"k{k}", value) for k in keys], "variable string, value string")
+
+    root = str(tmp_path)
+    assert len(merge_into(spark, rows(range(200), "0"), root, "Meta", 0, "replace", buckets=16)) == 16
+    before = files_of(tmp_path)
+    touched = merge_into(spark, rows([7], "1"), root, "Meta", 1, "replace", buckets=16)
+    fresh = files_of(tmp_path) - before
+    assert before <= files_of(tmp_path) and len(touched) == 1
+    assert len(fresh) == 1 and f"batch=1/bucket={touched[0]}/" in fresh.pop()
+    got = {r["variable"]: r["value"] for r in read_table(spark, root, "Meta").collect()}
+    assert got == {f"k{k}": "1" if k == 7 else "0" for k in range(200)}
+    # The other buckets are read where they are, and an older state stays as it was.
+    names = {f.split("/data/")[1] for f in read_table(spark, root, "Meta").inputFiles()}
+    assert sum("batch=0/" in n for n in names) == 15 and sum("batch=1/" in n for n in names) == 1
+    assert {r["value"] for r in read_table(spark, root, "Meta", 0).collect()} == {"0"}
+    # A repeated batch gives the same state; a stored row wins where it is kept.
+    assert merge_into(spark, rows([7], "1"), root, "Meta", 1, "replace", buckets=16) == touched
+    merge_into(spark, rows([7, 300], "2"), root, "Meta", 2, "keep", buckets=16)
+    got = {r["variable"]: r["value"] for r in read_table(spark, root, "Meta").collect()}
+    assert (got["k7"], got["k300"], len(got)) == ("1", "2", 201)
+    with pytest.raises(ValueError, match="buckets"):
+        merge_into(spark, rows([1], "3"), root, "Meta", 3, "keep", buckets=8)
+
+
+def test_expired_states_leave_what_newer_ones_need(spark, tmp_path):
+    root = str(tmp_path)
+    for n in range(5):
+        rows = spark.createDataFrame([(f"k{k}", str(n)) for k in range(n, 40)], "variable string, value string")
+        merge_into(spark, rows, root, "Meta", n, "replace", buckets=4)
+    whole = {tuple(r) for r in read_table(spark, root, "Meta").collect()}
+    # What a batch without a state has written is still wanted.
+    (tmp_path / "Meta" / "data" / "batch=9" / "bucket=1").mkdir(parents=True)
+    expire(spark, root, "Meta", keep=2)
+    assert batches(spark, root, "Meta") == [3, 4]
+    assert {tuple(r) for r in read_table(spark, root, "Meta").collect()} == whole and len(whole) == 40
+    assert read_table(spark, root, "Meta", 3).count() == 40
+    left = {p.name for p in (tmp_path / "Meta" / "data").iterdir()}
+    assert left == {f"batch={n}" for n in {*state(spark, root, "Meta", 3)[0].values(), *state(spark, root, "Meta", 4)[0].values(), 9}}
+
+
+def test_deliveries_go_on_from_a_snapshot(spark, folder, tmp_path):
+    base = str(tmp_path / "base")
+    load_table(spark, "Establishment", f"{folder}/establishment.csv", base, NOW)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("EstablishmentNumber,StartDate,EnterpriseNumber\n2.1,,x\n2.000.000.339,,y\n")
+    start_deliveries(spark, str(tmp_path / "in"), "Establishment", str(tmp_path / "t"), str(tmp_path / "log"), NOW, initial=base, upsert=False, keep=1).awaitTermination()
+    rows = {r["establishmentNumber"]: r["enterpriseNumber"] for r in read_table(spark, str(tmp_path / "t"), "Establishment").collect()}
+    assert rows == {"2.000.000.339": "0200.065.765", "2.1": "x"}
 
 
 def test_orphans(rows):
