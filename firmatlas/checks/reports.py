@@ -65,10 +65,10 @@ def financial_report_retry(spark: SparkSession, folder: str) -> DataFrame:
 def nace_financial_report(spark: SparkSession, folder: str) -> DataFrame:
     """The whole job for one activity prefix and postal code."""
     views = TestViews(spark, folder)
-    companies = market.companies_by_nace_postal(views.market_tables(), "1", RUN_POSTAL)
-    digits = companies.select(F.regexp_replace(NUMBER, "[.]", "").alias("enterpriseNumber"))
-    results = report.company_results(_published(views, digits), _listed(views), retry_whole=False, companies=companies)
-    return report.financial_report(companies, results).drop("orderYear")
+    work = work_folder(spark, "report-companies")
+    sources = (views.filing_ref, views.rubric, views.filing_text)
+    found = report.nace_report(views.market_tables(), *sources, "1", RUN_POSTAL, YEARS, work, retry_whole=False)
+    return found.drop("orderYear")
 
 
 def report_status(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from firmatlas.functions.amounts import margin_percent, plain_number
 from firmatlas.functions.identifiers import bare_digits
 from firmatlas.operators.registry import NUMBER
-from firmatlas.plans.financials import FETCH_FAILED, NO_JSON, UNSUPPORTED_FORMAT
+from firmatlas.plans.financials import FETCH_FAILED, NO_JSON, UNSUPPORTED_FORMAT, published_financials
+from firmatlas.plans.market import companies_by_nace_postal
 
 # Option, measure and report header of every financial field, in report order.
 FIELDS = [
@@ -121,14 +122,10 @@ def company_results(
     if companies is not None:
         digits = companies.select(bare_digits(F.col(NUMBER)).alias("enterpriseNumber"))
         listed = listed.join(digits, "enterpriseNumber", "left_semi")
-    empty = listed.select("enterpriseNumber").distinct().join(
-        financials.select("enterpriseNumber").distinct(), "enterpriseNumber", "left_anti"
-    )
-    none_for_year = empty.select(
-        "enterpriseNumber", F.lit(NO_ACCOUNT).alias("status"), F.lit(False).alias("retry")
-    )
-    stacked = rows.unionByName(none_for_year, allowMissingColumns=True)
-    return stacked.filter(~F.col("retry")).drop("retry")
+    # One join marks the landed companies without any year, so the financials are read once.
+    landed = listed.select("enterpriseNumber").distinct()
+    rows = rows.join(landed, "enterpriseNumber", "full").withColumn("status", F.coalesce("status", F.lit(NO_ACCOUNT)))
+    return rows.filter(~F.coalesce("retry", F.lit(False))).drop("retry")
 
 
 def financial_report(companies: DataFrame, results: DataFrame) -> DataFrame:
@@ -145,6 +142,33 @@ def financial_report(companies: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def nace_report(
+    tables: Mapping[str, DataFrame],
+    deposits: DataFrame,
+    export_lines: DataFrame,
+    texts: DataFrame,
+    code: str,
+    postal_code: str,
+    years: Sequence[int],
+    work: str,
+    version: str | None = None,
+    classification: str | None = None,
+    retry_whole: bool = True,
+) -> DataFrame:
+    """The whole report of one activity prefix and postal code.
+
+    Its companies are written to ``work`` first: what follows reduces every table by them several times, and
+    Spark knows the size of a stored list.
+    """
+    spark = deposits.sparkSession
+    companies_by_nace_postal(tables, code, postal_code, version, classification).write.mode("overwrite").parquet(work)
+    companies = spark.read.parquet(work)
+    digits = companies.select(bare_digits(F.col(NUMBER)).alias("enterpriseNumber"))
+    financials = published_financials(deposits, export_lines, texts, years, digits)
+    results = company_results(financials, deposits.select("enterpriseNumber"), retry_whole, companies)
+    return financial_report(companies, results)
+
+
 def report_columns(
     report: DataFrame,
     code: str,

@@ -206,12 +206,12 @@ def test_runs_on_storage(spark, companies, years, listed, tmp_path):
     found = {(r["runId"], r["enterpriseNumber"][-1], r["fiscalYear"]): r["data"] for r in stored.collect()}
     assert found["a", "1", 2024]["revenue"] == 40 and found["a", "1", 2024]["employeeCount"] is None
     assert found["b", "1", 2024]["revenue"] is None and found["b", "1", 2024]["employeeCount"] == 2
-    before = {p: os.path.getmtime(p) for p in glob.glob(f"{folder}/rows/runId=a/*")}
+    before = {p: os.path.getmtime(p) for p in glob.glob(f"{folder}/rows/attempt=*/*")}
     changed = stored_reports.report_rows("b", companies, years, listed, two).filter("fiscalYear = 2024").withColumn("name", F.lit("new"))
-    report_store.upsert_rows(spark, changed.limit(1), folder, str(tmp_path / "work"))
+    report_store.upsert_rows(spark, changed.limit(1), folder)
     names = [r["name"] for r in report_store.read_rows(spark, folder).filter("runId = 'b'").collect()]
     assert names.count("new") == 1 and len(names) == 5
-    assert before == {p: os.path.getmtime(p) for p in glob.glob(f"{folder}/rows/runId=a/*")}
+    assert before.items() <= {p: os.path.getmtime(p) for p in glob.glob(f"{folder}/rows/attempt=*/*")}.items()
     bad = years.withColumn("fiscalYear", F.when(F.col("fiscalYear") > 0, F.raise_error(F.lit("lost"))).cast("int"))
     assert report_store.run_report(spark, folder, "d", companies, bad, listed, one, clock) == "failed"
     failed = report_store.read_runs(spark, folder).filter("id = 'd'").first()
@@ -219,6 +219,76 @@ def test_runs_on_storage(spark, companies, years, listed, tmp_path):
     assert sorted(report_store.reset_selection(spark, folder, two)) == ["b", "c"]
     assert {r["id"] for r in report_store.read_runs(spark, folder).collect()} == {"a", "d"}
     assert {r["runId"] for r in report_store.read_rows(spark, folder).select("runId").distinct().collect()} == {"a"}
+    # Rows of b twice and of c; a's stay.
+    assert len(report_store.clean(spark, folder)) == 3 and len(glob.glob(f"{folder}/rows/attempt=*")) == 1
+    assert report_store.read_rows(spark, folder).count() == 7 and report_store.clean(spark, folder) == []
+
+
+STORE = Selection("62", "2025", "1000", [2023, 2024], ["equity", "revenue"])
+
+
+def clock():
+    return datetime.datetime.now()
+
+
+def test_run_ids_of_any_characters(spark, companies, years, listed, tmp_path):
+    folder, ids = str(tmp_path), ["2024-01-01 10:00:00", "a/b=c%", "", "é?#"]
+    for run_id in ids:
+        assert report_store.run_report(spark, folder, run_id, companies, years, listed, STORE, clock) == "completed"
+    assert {r["runId"] for r in report_store.read_rows(spark, folder).collect()} == set(ids)
+    assert sorted(report_store.reset_selection(spark, folder, STORE)) == sorted(ids)
+    assert report_store.read_runs(spark, folder).count() == report_store.read_rows(spark, folder).count() == 0
+    # A dropped run may be run again.
+    assert report_store.run_report(spark, folder, ids[0], companies, years, listed, STORE, clock) == "completed"
+    assert {r["runId"] for r in report_store.read_rows(spark, folder).collect()} == {ids[0]}
+
+
+def test_a_run_saved_again_without_rows_has_none(spark, companies, years, listed, tmp_path):
+    folder = str(tmp_path)
+    report_store.run_report(spark, folder, "r", companies, years, listed, STORE, clock)
+    assert report_store.read_rows(spark, folder).count() == 7
+    report_store.run_report(spark, folder, "r", companies.limit(0), years, listed, STORE, clock)
+    header = report_store.read_runs(spark, folder).first()
+    assert (header["status"], header["totalCompanies"], header["completedCompanies"]) == ("completed", 0, 0)
+    assert report_store.read_rows(spark, folder).count() == 0
+
+
+def test_failures_between_rows_and_header(spark, companies, years, listed, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+    report_store.run_report(spark, folder, "r", companies, years, listed, STORE, clock)
+    old = sorted(map(str, report_store.read_rows(spark, folder).collect()))
+    whole = report_store.run_header
+
+    def header(companies, run_id, selection, created, updated, status, *rest):
+        if status == "completed":
+            raise RuntimeError("lost before the header")
+        return whole(companies, run_id, selection, created, updated, status, *rest)
+
+    monkeypatch.setattr(report_store, "run_header", header)
+    renamed = companies.withColumn("name", F.lit("new"))
+    assert report_store.run_report(spark, folder, "r", renamed, years, listed, STORE, clock) == "failed"
+    found = report_store.read_runs(spark, folder).first()
+    assert (found["status"], found["message"]) == ("failed", "lost before the header")
+    assert sorted(map(str, report_store.read_rows(spark, folder).collect())) == old
+
+
+def test_two_runners_do_not_mix(spark, companies, years, listed, tmp_path):
+    folder, one, two = str(tmp_path), companies.limit(2), companies.withColumn("name", F.lit("two"))
+    seen = []
+
+    def between():
+        """The clock of the first runner, on whose third reading a second one runs from start to end."""
+        if len(seen) == 2:
+            seen.append(None)
+            assert report_store.run_report(spark, folder, "r", two, years, listed, STORE, clock) == "completed"
+            assert {r["name"] for r in report_store.read_rows(spark, folder).collect()} == {"two"}
+        seen.append(None)
+        return clock()
+
+    assert report_store.run_report(spark, folder, "r", one, years, listed, STORE, between) == "completed"
+    rows = report_store.read_rows(spark, folder).collect()
+    assert {r["name"] for r in rows} == {r["name"] for r in one.collect()} and len({r["enterpriseNumber"] for r in rows}) == 2
+    assert report_store.read_runs(spark, folder).count() == 1 and len(report_store.clean(spark, folder)) == 1
 
 
 def test_rows_of_runs_with_other_fields_unite(companies, years, listed):
