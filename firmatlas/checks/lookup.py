@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmatlas.functions.identifiers import dotted_number, entity_kind, vat_digits
 from firmatlas.operators import registry
-from firmatlas.plans import lookup
+from firmatlas.plans import lookup, name_index
+from firmatlas.session import work_folder
+from firmatlas.sources.snapshots import company_tables, write_company_tables
 from firmatlas.sources.testviews import TestViews, with_views
 
 from .market import DECODED_SQL, LIST_NAMES_SQL
@@ -40,6 +44,14 @@ def company_profile(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(lookup.profiles(TestViews(spark, folder).tables()))
 
 
+def company_profile_bucketed(spark: SparkSession, folder: str) -> DataFrame:
+    """All profiles from tables stored in buckets of companies."""
+    views = TestViews(spark, folder)
+    prefix = f"profiles_{uuid.uuid4().hex}"
+    write_company_tables(views.tables(), prefix, buckets=8)
+    return _flat(lookup.profiles(company_tables(spark, prefix, views.tables())))
+
+
 def preferred_names(spark: SparkSession, folder: str) -> DataFrame:
     return registry.preferred_names(TestViews(spark, folder).denomination)
 
@@ -100,11 +112,31 @@ def _name_queries(views: TestViews) -> DataFrame:
     )
 
 
+#: Folders of the indexes that this process has stored, by application and data folder.
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _name_index(views: TestViews) -> str:
+    """A stored index of the names in a data folder, built on first use."""
+    key = (views.spark.sparkContext.applicationId, views.folder)
+    if key not in _indexes:
+        path = work_folder(views.spark, "name-index")
+        name_index.write_index(views.denomination, path)
+        _indexes[key] = path
+    return _indexes[key]
+
+
 def lookup_name(spark: SparkSession, folder: str) -> DataFrame:
     views = TestViews(spark, folder)
-    found = lookup.lookup_names(
-        _name_queries(views).withColumnRenamed("name", "asked"), views.tables(), "asked"
-    )
+    asked = _name_queries(views).withColumnRenamed("name", "asked")
+    found = lookup.lookup_names(asked, views.tables(), "asked", _name_index(views))
+    return found.select("queryId", "asked", "enterpriseNumber", "name", "status")
+
+
+def lookup_name_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The same lookup without a stored index."""
+    views = TestViews(spark, folder)
+    found = lookup.lookup_names(_name_queries(views).withColumnRenamed("name", "asked"), views.tables(), "asked")
     return found.select("queryId", "asked", "enterpriseNumber", "name", "status")
 
 
@@ -117,12 +149,14 @@ def entity_routing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "company_profile": company_profile,
+    "company_profile_bucketed": company_profile_bucketed,
     "preferred_names": preferred_names,
     "profile_names": profile_names,
     "decoded_companies": decoded_companies,
     "lookup_number": lookup_number,
     "lookup_vat": lookup_vat,
     "lookup_name": lookup_name,
+    "lookup_name_scan": lookup_name_scan,
     "number_formats": number_formats,
     "entity_routing": entity_routing,
 }
@@ -204,3 +238,5 @@ SELECT CASE WHEN regexp_matches("entityNumber", '^[0-9]{4}[.][0-9]{3}[.][0-9]{3}
 FROM activity_raw GROUP BY 1, 2""",
     ),
 }
+ORACLE["lookup_name_scan"] = ORACLE["lookup_name"]
+ORACLE["company_profile_bucketed"] = ORACLE["company_profile"]

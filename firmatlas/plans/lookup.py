@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from firmatlas.functions.identifiers import dotted_number, remove_blanks, strip_blanks, vat_digits
 from firmatlas.operators.registry import NUMBER, code_labels, decode_companies, profile_names
+from firmatlas.plans import name_index
 from firmatlas.schemas import DEFAULT_COUNTRY
 
 Tables = Mapping[str, DataFrame]
@@ -147,9 +148,14 @@ def resolve_names(asked: DataFrame, denomination: DataFrame) -> DataFrame:
     return asked.join(found, "text", "left")
 
 
-def lookup_names(queries: DataFrame, tables: Tables, name: str = "name") -> DataFrame:
-    """Every query row with the profile of the company it names, or nulls."""
-    resolved = resolve_names(asked_texts(queries, name), tables["Denomination"])
+def lookup_names(queries: DataFrame, tables: Tables, name: str = "name", index: str | None = None) -> DataFrame:
+    """Every query row with the profile of the company it names, or nulls.
+
+    ``index`` is the folder of a stored index of the same names (``name_index``); without one all names
+    are searched.
+    """
+    texts = asked_texts(queries, name)
+    resolved = name_index.resolve(texts, index) if index else resolve_names(texts, tables["Denomination"])
     asked = queries.withColumn("text", F.lower(strip_blanks(F.col(name))))
     found = asked.join(resolved, "text", "left").drop("text")
     return found.join(profiles(tables, resolved), NUMBER, "left")

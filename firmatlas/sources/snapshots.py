@@ -6,7 +6,7 @@ read, and a load that is repeated after a failure writes the same snapshot again
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +59,7 @@ def write_catalog(catalog: DataFrame, folder: str) -> None:
 
 
 def write_bucketed(df: DataFrame, table_name: str, buckets: int, column: str) -> None:
-    """As a catalog table bucketed by company, so that joins on it need no shuffle."""
+    """As a catalog table bucketed and sorted by a column, so that joins and groups by it need no shuffle."""
     (
         df.repartition(buckets, F.col(column))
         .write.mode("overwrite")
@@ -68,3 +68,23 @@ def write_bucketed(df: DataFrame, table_name: str, buckets: int, column: str) ->
         .format("parquet")
         .saveAsTable(table_name)
     )
+
+
+#: Tables whose rows belong to one company, and the column that holds its number.
+COMPANY_TABLES = {"Enterprise": "enterpriseNumber", "Denomination": "enterpriseId", "KBOAddress": "enterpriseId", "KBOContact": "enterpriseId"}
+
+
+def write_company_tables(tables: Mapping[str, DataFrame], prefix: str, buckets: int) -> None:
+    """Store the tables of company profiles as catalog tables in equal buckets of companies.
+
+    Rows without a company (names, addresses and contacts of establishments and branches) are left out:
+    no profile shows them, and they would all fall in one bucket.
+    """
+    for name, column in COMPANY_TABLES.items():
+        write_bucketed(tables[name].filter(F.col(column).isNotNull()), f"{prefix}_{name.lower()}", buckets, column)
+
+
+def company_tables(spark: SparkSession, prefix: str, others: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables stored by ``write_company_tables``, and all others as they are."""
+    stored = {name: spark.table(f"{prefix}_{name.lower()}") for name in COMPANY_TABLES}
+    return {name: stored[name] if name in stored else others[name] for name in others}

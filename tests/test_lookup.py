@@ -3,7 +3,9 @@ import random
 import pytest
 
 from firmatlas.plans import lookup
+from firmatlas.plans import name_index
 from firmatlas.plans.lookup import asked_texts, resolve_names
+from firmatlas.sources.snapshots import COMPANY_TABLES, company_tables, write_company_tables
 
 NAMES = "denomination string, enterpriseId string"
 
@@ -53,6 +55,32 @@ def test_profile(tables):
     assert beta["name"] == "Beta" and beta["addresses"] == [] and beta["contacts"] == []
 
 
+def test_profiles_of_bucketed_tables_do_not_shuffle(spark, tables, rows):
+    """Only code lists are broadcast; the four company tables are joined and grouped where they lie."""
+    many = [(f"0{i:09d}", "AC") for i in range(3000)]
+    wide = {
+        **tables,
+        "Enterprise": rows("enterpriseNumber string, KBOstatusCode string", *many).selectExpr("*", "'000' as juridicalSituationCode", "null as juridicalFormCode", "'F' as juridicalFormCACCode", "timestamp_ntz'2020-01-02 00:00:00' as startDate"),
+        "Denomination": rows("enterpriseId string, denomination string", *[(n, f"Name {n}") for n, _ in many], (None, "Unit")).selectExpr("*", "'NL' as languageCode", "'001' as typeOfDenominationCode"),
+    }
+    write_company_tables(wide, "shuffled", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stored = company_tables(spark, "shuffled", wide)
+        found = lookup.profiles({**stored, "Code": spark.createDataFrame(tables["Code"].collect(), tables["Code"].schema).hint("broadcast")})
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "enterprise" in line.lower()]
+        assert not shuffles and "Bucketed: true" in plan
+        got = {r["enterpriseNumber"]: r for r in found.collect()}
+        assert len(got) == 3000 and got["0000000007"]["name"] == "Name 0000000007" and got["0000000007"]["juridicalForm"] == "NV"
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        for name in COMPANY_TABLES:
+            spark.sql(f"drop table shuffled_{name.lower()}")
+
+
 def test_numbers_and_vats(rows, tables):
     asked = rows("number string", ("0123 456 789",), ("0123.456.789",), ("9",))
     found = lookup.lookup_numbers(asked, tables).orderBy("number").collect()
@@ -69,19 +97,43 @@ def test_names(rows, tables):
     }
 
 
-def test_substring_search_against_brute_force(rows):
+def test_substring_search_against_brute_force(rows, tmp_path):
     """Random names over a tiny alphabet, a third of them the same, both ways of the search."""
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("abC ") for _ in range(n)).strip() or "a"
     names = [(word(rng.randint(1, 9)), f"{i:04d}") for i in range(200)]
     names += [("hot name", f"{i:04d}") for i in range(200, 300)]
     queries = [word(rng.randint(1, 5)) for _ in range(120)] + ["hot", "t n", "zzz", "HOT NAME"]
-    found = resolve_names(
-        asked_texts(rows("name string", *[(q,) for q in queries])), rows(NAMES, *names)
-    )
+    asked = asked_texts(rows("name string", *[(q,) for q in queries]))
+    found = resolve_names(asked, rows(NAMES, *names))
     result = {r["text"]: r["enterpriseNumber"] for r in found.collect()}
+    index = str(tmp_path / "index")
+    name_index.write_index(rows(NAMES, *names, (None, "9999"), ("Unit", None), ("", "0000")), index)
+    assert {r["text"]: r["enterpriseNumber"] for r in name_index.resolve(asked, index).collect()} == result
     for query in queries:
         text = query.strip().lower()
         exact = [n for name, n in names if name.lower() == text]
         part = [n for name, n in names if text in name.lower()]
         assert result[text] == min(exact or part, default=None), query
+
+
+def test_the_index_reads_only_postings_of_asked_pieces(spark, rows, tmp_path):
+    index = str(tmp_path)
+    names = [(f"Company {i:05d} Gent", f"{i:06d}") for i in range(2000)] + [("ÉCLAIR Zürich İ", "9")]
+    name_index.write_index(rows(NAMES, *names), index)
+    ask = lambda *texts: name_index.resolve(asked_texts(rows("name string", *[(t,) for t in texts])), index)
+    one = ask("y 01234 g")
+    assert [tuple(r) for r in one.collect()] == [("y 01234 g", "001234")]
+    # The folders that the plan opens: that of the rarest piece.
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan and len(set(f.split("part=")[1].split("/")[0] for f in one.inputFiles() if "part=" in f)) >= 1
+    found = {r["text"]: r["enterpriseNumber"] for r in ask("gent", "zür", "éclair z", "ÿÿÿÿ", "company", "7 g", "00", "0", "x").collect()}
+    assert found == {"gent": "000000", "zür": "9", "éclair z": "9", "ÿÿÿÿ": None, "company": "000000", "7 g": "000007", "00": "000000", "0": "000000", "x": None}
+    wanted = name_index.rarest_pieces(asked_texts(rows("name string", ("company 01999 gent",))), name_index._grams(spark, index)).first()
+    assert wanted["gram"] in ("199", "019", "999", "01 "[:3]) and name_index.resolve(asked_texts(rows("name string", ("",))), index).count() == 0
+
+
+def test_an_empty_index(spark, rows, tmp_path):
+    name_index.write_index(rows(NAMES), str(tmp_path))
+    asked = asked_texts(rows("name string", ("abcd",), ("ab",)))
+    assert {tuple(r) for r in name_index.resolve(asked, str(tmp_path)).collect()} == {("abcd", None), ("ab", None)}
