@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmatlas.functions.amounts import imported_number, leading_number
 from firmatlas.operators.filings import latest_per_year, recent_filings, requested_filings
+from firmatlas.operators.filings import requested_years as years_of
 from firmatlas.operators.rubrics import (
     ALL_MEASURES,
     INSURER_CODES,
+    INSURER_EQUITY,
+    INSURER_NET_RESULT,
     MEASURE_CODES,
+    REVENUE_AGGREGATE,
+    REVENUE_DIRECT,
+    REVENUE_PARTS,
     current_period,
     filing_measures,
 )
 from firmatlas.operators.text_rubrics import coded_rubrics, insurer_rubrics, text_rubrics, with_lines
+from firmatlas.plans import measure_store
 from firmatlas.plans.financials import (
     HISTORY_MEASURES,
     annual_summary,
     company_history,
     published_financials,
 )
+from firmatlas.session import work_folder
 from firmatlas.sources.csv_files import EXPORT_NAME, EXPORT_REFERENCE
 from firmatlas.sources.payloads import (
     accounting_rubrics,
@@ -199,6 +209,99 @@ def published(spark: SparkSession, folder: str) -> DataFrame:
     return published_financials(views.filing_ref, views.rubric, views.filing_text, YEARS)
 
 
+def _stored_measures(views: TestViews) -> DataFrame:
+    """Measures of all lines, landed in three batches by filing and stored by two updates."""
+    spark, folder = views.spark, work_folder(views.spark, "measure-store")
+    for turn, batches in enumerate((("2024-01", "2024-02"), ("2024-03",))):
+        for batch in batches:
+            part = int(batch[-1])
+            own = views.rubric.filter(F.col("filing_id") % 3 + 1 == part)
+            # The second batch first has lines that a later one replaces.
+            wrong = views.rubric.filter(F.lit(part == 2) & (F.col("filing_id") % 3 == 2)).withColumn("value", F.lit("1"))
+            measure_store.land(own.unionByName(wrong), folder, batch)
+        if measure_store.update(spark, folder) != list(batches):
+            raise ValueError("an update must read the new batches and no others")
+    return measure_store.measures(spark, folder)
+
+
+def company_history_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The history out of measures that were stored as lines landed."""
+    views = _views(spark, folder)
+    return company_history(views.filing_ref, None, 4, stored=_stored_measures(views))
+
+
+def published_stored(spark: SparkSession, folder: str) -> DataFrame:
+    views = _views(spark, folder)
+    return published_financials(views.filing_ref, None, views.filing_text, YEARS, stored=_stored_measures(views))
+
+
+# Lists of years as jobs are asked for them: explicit, or a base with a length of history.
+YEAR_LISTS = {
+    "explicit": {"explicit": [1996, 1998, 1998, 1899, 2101]},
+    "base alone": {"base": 1997},
+    "three years": {"base": 1998, "history": 3},
+    "too short": {"base": 1995, "history": 0},
+    "too long": {"base": 1999, "history": 40},
+}
+
+
+def year_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Filings chosen for several lists of years."""
+    refs = _views(spark, folder).filing_ref
+    chosen = [
+        recent_filings(refs, years=years_of(**asked)).select(F.lit(label).alias("list"), *REF_COLUMNS) for label, asked in YEAR_LISTS.items()
+    ]
+    return reduce(DataFrame.unionByName, chosen)
+
+
+# Every account code that a measure may come from, and its place among the parts of all order lines.
+EVERY_CODE = list(dict.fromkeys([*REVENUE_AGGREGATE, *REVENUE_DIRECT, *REVENUE_PARTS, *sum(MEASURE_CODES.values(), [])]))
+
+
+def every_code(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures of filings whose lines go over all account codes."""
+    codes = ", ".join(f"'{c}'" for c in EVERY_CODE)
+    lines = _views(spark, folder).table("lineitem").selectExpr(
+        "l_orderkey as filing_id", f"element_at(array({codes}), cast((l_partkey + l_linenumber * 5) % {len(EVERY_CODE)} + 1 as int)) as code",
+        "cast(cast(l_extendedprice as decimal(18, 2)) as string) as value", "if(l_linenumber % 3 = 0, '', 'N') as period",
+        "l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + cast(l_quantity as bigint) as pos",
+    )
+    return filing_measures(lines, ["filing_id"])
+
+
+#: Labels of insurer statements, Dutch then French, in the order of their codes.
+LABEL_TEXTS = {
+    "INS_EQUITY": ("A. Eigen vermogen", "A. Capitaux propres"),
+    "INS_INVESTMENTS": ("C. Beleggingen (staat 1)", "C. Placements"),
+    "INS_UNIT_LINKED_INVESTMENTS": ("D. Beleggingen betreffende de verrichtingen van groep 'leven'", "D. Placements relatifs aux operations de la branche 23"),
+    "INS_REINSURANCE_SHARE_TECHNICAL_PROVISIONS": ("Dbis. Deel van de herverzekeraars in de technische voorzieningen", "D.bis. Part des réassureurs dans les provisions techniques"),
+    "INS_RECEIVABLES": ("E. Vorderingen", "E. Créances"),
+    "INS_TECHNICAL_PROVISIONS": ("C. Technische voorzieningen", "C. Provisions techniques"),
+    "INS_LIFE_TECHNICAL_PROVISIONS": ("II. Voorziening voor verzekering leven", "II. Provision d'assurance vie"),
+    "INS_CLAIMS_PROVISIONS": ("III. Voorziening voor te betalen schaden", "III. Provision pour sinistres"),
+    "INS_REINSURANCE_DEPOSITS": ("F. Deposito's ontvangen van herverzekeraars", "F. Dépôts reçus des réassureurs"),
+    "INS_NET_RESULT": ("3. Resultaat van het boekjaar", "3. Résultat de l'exercice"),
+}
+
+
+def insurer_texts(views: TestViews) -> DataFrame:
+    """Statements with all ten labels, Dutch or French; an amount stands on its label's line or up to two lines below."""
+    parts = []
+    for i, texts in enumerate(LABEL_TEXTS.values()):
+        dutch, french = (t.replace("'", "\\'") for t in texts)
+        amount = f"concat(1 + (o_orderkey + {i}) % 900, '.', lpad(cast(o_custkey % 1000 as string), 3, '0'), '.{100 + i}')"
+        signed = f"if((o_orderkey + {i}) % 4 = 0, concat('( ', {amount}, ' )'), {amount})"
+        gap = f"element_at(array(' ', '\\n', '\\n{10 + i}\\n', ' (toel. {i})\\n\\n'), cast((o_orderkey + {i}) % 4 + 1 as int))"
+        parts.append(f"if(o_custkey % 2 = 0, '{dutch}', '{french}'), {gap}, {signed}, '\\n'")
+    return views.table("orders").where("o_orderstatus <> 'O'").selectExpr("o_orderkey as filing_id", f"concat({', '.join(parts)}) as text")
+
+
+def insurer_measures(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures that all ten labels give, through the text parser."""
+    found = filing_measures(text_rubrics(insurer_texts(_views(spark, folder))), ["filing_id"])
+    return found.select("filing_id", "lineCount", "netResult", "equity", *INSURER_CODES)
+
+
 QUERIES = {
     "reference_payloads": reference_payloads,
     "accounting_payloads": accounting_payloads,
@@ -218,6 +321,11 @@ QUERIES = {
     "document_rubrics": document_rubrics,
     "company_history": company_history_query,
     "published_financials": published,
+    "company_history_stored": company_history_stored,
+    "published_financials_stored": published_stored,
+    "year_lists": year_lists,
+    "every_code": every_code,
+    "insurer_measures": insurer_measures,
 }
 
 NUMBER = "'^\\s*([+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?)'"
@@ -304,6 +412,17 @@ PUBLISHED_SQL = f"""{TEXT_SQL}, {REQUESTED_SQL}, all_lines AS (
     CASE WHEN "lineCount" IS NULL THEN CASE WHEN "importFileType" = 'PDF' THEN 'unsupported_format' ELSE 'fetch_failed' END END AS error
   FROM requested r LEFT JOIN summed s USING (filing_id))"""
 
+def _insurer_measures_sql() -> str:
+    """The amounts as they were written, without any parsing."""
+    names = {code: name for name, code in INSURER_CODES.items()} | {INSURER_NET_RESULT: "netResult", INSURER_EQUITY: "equity"}
+    values = ", ".join(
+        f"""CASE WHEN (o_orderkey + {i}) % 4 = 0 THEN -1.0 ELSE 1.0 END * ((1 + (o_orderkey + {i}) % 900) * 1000000 + (o_custkey % 1000) * 1000 + {100 + i}) AS "{names[code]}\""""
+        for i, code in enumerate(LABEL_TEXTS)
+    )
+    return f"""SELECT filing_id, 10 AS "lineCount", {", ".join(f'cast("{n}" AS double) AS "{n}"' for n in names.values())}
+FROM (SELECT o_orderkey AS filing_id, {values} FROM orders WHERE o_orderstatus <> 'O')"""
+
+
 ORACLE = {
     "reference_payloads": """
 SELECT cast(o_custkey AS string) AS "enterpriseNumber", 1 AS pos, cast(o_orderkey AS string) AS "referenceNumber",
@@ -374,4 +493,23 @@ LEFT JOIN (SELECT "enterpriseNumber", arg_max("enterpriseName", "fiscalYear") FI
 {measures_sql()}""",
     ),
     "published_financials": with_views("filing_ref rubric filing_text", "SELECT * FROM published", PUBLISHED_SQL),
+    "year_lists": with_views(
+        "filing_ref",
+        " UNION ALL ".join(
+            f"SELECT '{label}' AS list, {_REFS} FROM latest WHERE \"fiscalYear\" IN ({years})"
+            for label, years in {
+                "explicit": "1996, 1998", "base alone": "1997", "three years": "1996, 1997, 1998", "too short": "1995",
+                "too long": ", ".join(str(y) for y in range(1990, 2000)),
+            }.items()
+        ),
+        _LATEST,
+    ),
+    "every_code": f"""WITH lines AS (
+  SELECT l_orderkey AS filing_id, [{", ".join(f"'{c}'" for c in EVERY_CODE)}][(l_partkey + l_linenumber * 5) % {len(EVERY_CODE)} + 1] AS code,
+    cast(cast(l_extendedprice AS decimal(18, 2)) AS string) AS value, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'N' END AS period,
+    l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + cast(l_quantity AS bigint) AS pos FROM lineitem),
+{measures_sql("lines", "period IN ('', 'N')")} SELECT filing_id, "lineCount", {_ALL} FROM summed""",
+    "insurer_measures": _insurer_measures_sql(),
 }
+ORACLE["company_history_stored"] = ORACLE["company_history"]
+ORACLE["published_financials_stored"] = ORACLE["published_financials"]

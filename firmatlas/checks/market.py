@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firmatlas.operators import ranges
 from firmatlas.plans import market
+from firmatlas.session import work_folder
 from firmatlas.sources.testviews import TestViews, with_views
 
 PREFIX, VERSION = "6", "2008"
@@ -93,6 +97,45 @@ def nace_catalog_search(spark: SparkSession, folder: str) -> DataFrame:
     return market.search_nace(catalog, VERSION, "gearen")
 
 
+def deep_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The page after the first half of all hits of a prefix, by its number."""
+    tables, path = _views(spark, folder).market_tables(), work_folder(spark, "hit-pages")
+    market.store_pages(tables, path, PREFIX)
+    half = ranges.total(spark, path) // 2
+    page = market.stored_page(tables, path, PREFIX, limit=60, offset=half)
+    return page.withColumn("naceCodes", F.concat_ws(",", "naceCodes")).drop("classifications")
+
+
+# Names that differ in case and accents only, or in the letter after them.
+MIXED_NAMES = ["Élan", "elan", "ELÀN", "Eland", "zoë", "Zoe", "ångström", "Angstrom", "Cœur", "de Wit", "De  Wit", "Ñandu"]
+
+
+def name_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """Companies with their rank in Dutch name order, in ranges."""
+    enterprise, path = _views(spark, folder).enterprise, work_folder(spark, "name-ranks")
+    names = ", ".join(f"'{n}'" for n in MIXED_NAMES)
+    companies = enterprise.selectExpr(
+        "enterpriseNumber", f"concat(element_at(array({names}), cast(substr(enterpriseNumber, 11, 3) as int) % {len(MIXED_NAMES)} + 1),"
+        " ' ', cast(substr(enterpriseNumber, 11, 3) as int) % 7) as name"
+    )
+    found = market.filter_companies(companies, "an")
+    ranges.store_ranges(found, market.name_order(), path)
+    return ranges.with_ranks(spark, path)
+
+
+def blank_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that each market job gives for a code or postal code of blanks only, and for a real one."""
+    tables = _views(spark, folder).market_tables()
+    jobs = {}
+    for label, code, postal in (("blank", "  ", POSTAL), ("empty", "", POSTAL), ("no postal code", PREFIX, " \t"), ("real", f" {PREFIX} ", f" {POSTAL} ")):
+        jobs[f"hits, {label}"] = market.hits_of(tables, code)
+        jobs[f"counts, {label}"] = market.postal_counts(tables, code)
+        jobs[f"total, {label}"] = market.nace_total(tables, code).filter("total > 0")
+        jobs[f"postal companies, {label}"] = market.companies_by_nace_postal(tables, code, postal)
+    counts = [df.agg(F.lit(job).alias("job"), F.count("*").alias("n")) for job, df in jobs.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 QUERIES = {
     "nace_hits": nace_hits,
     "postal_counts": postal_counts,
@@ -103,6 +146,9 @@ QUERIES = {
     "nace_postal_companies": nace_postal_companies,
     "name_sorted": name_sorted,
     "nace_catalog_search": nace_catalog_search,
+    "deep_page": deep_page,
+    "name_ranked": name_ranked,
+    "blank_codes": blank_codes,
 }
 
 MARKET_VIEWS = "establishment activity address"
@@ -168,4 +214,34 @@ SELECT '2008' AS version, "Code" AS code, "Description" AS description FROM nace
 WHERE "Category" = 'Nace2008' AND (contains(lower("Description"), 'gearen') OR contains(lower("Description"), 'gear'))
 ORDER BY 2, 3 LIMIT 100""",
     ),
+    "deep_page": with_views(
+        MARKET_VIEWS + " enterprise code denomination",
+        f"""
+SELECT p."enterpriseNumber", coalesce(n.name, '') AS name, nullif(c.city, '') AS city, status, "juridicalSituation", "startDate",
+  "juridicalForm", '{PREFIX}' AS "naceCodes", (SELECT count(*) FROM hits) AS total
+FROM (SELECT * FROM hits QUALIFY row_number() OVER (ORDER BY "enterpriseNumber") - 1 BETWEEN (SELECT count(*) // 2 FROM hits) AND (SELECT count(*) // 2 + 59 FROM hits)) p
+JOIN decoded USING ("enterpriseNumber") LEFT JOIN names n USING ("enterpriseNumber")
+LEFT JOIN (SELECT "enterpriseId", coalesce("municipalityNL", "municipalityFR") AS city FROM address
+  QUALIFY row_number() OVER (PARTITION BY "enterpriseId" ORDER BY "typeOfAddressCode" DESC) = 1) c
+  ON c."enterpriseId" = p."enterpriseNumber\"""",
+        f"{hits_sql(version=None)}, {LIST_NAMES_SQL}, {DECODED_SQL}",
+    ),
+    "name_ranked": with_views(
+        "enterprise",
+        f"""
+SELECT "enterpriseNumber", name, row_number() OVER (ORDER BY lower(strip_accents(replace(name, 'œ', 'oe'))), "enterpriseNumber") - 1 AS rank
+FROM (SELECT "enterpriseNumber", [{", ".join(f"'{n}'" for n in MIXED_NAMES)}][cast(substr("enterpriseNumber", 11, 3) AS integer) % {len(MIXED_NAMES)} + 1]
+  || ' ' || cast(substr("enterpriseNumber", 11, 3) AS integer) % 7 AS name FROM enterprise)
+WHERE contains(lower(name), 'an')""",
+    ),
+    "blank_codes": with_views(
+        MARKET_VIEWS,
+        f"""
+SELECT job || ', ' || label AS job, CASE WHEN label = 'real' OR (label = 'no postal code' AND job <> 'postal companies') THEN n ELSE 0 END AS n
+FROM (VALUES ('blank'), ('empty'), ('no postal code'), ('real')) l(label), (
+  SELECT 'hits' AS job, count(*) AS n FROM hits UNION ALL SELECT 'counts', count(*) FROM counts UNION ALL SELECT 'total', 1
+  UNION ALL SELECT 'postal companies', count(*) FROM hits JOIN address a ON a."enterpriseId" = hits."enterpriseNumber"
+    AND a."typeOfAddressCode" = 'REGO' AND a.zipcode = '{POSTAL}')""",
+        f"{hits_sql(version=None)}, {COUNTS_SQL}",
+    ),
 }

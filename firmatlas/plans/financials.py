@@ -32,22 +32,27 @@ def annual_summary(filings: DataFrame, rubrics: DataFrame) -> DataFrame:
 
 def company_history(
     refs: DataFrame,
-    rubrics: DataFrame,
+    rubrics: DataFrame | None,
     n_years: int = DEFAULT_YEARS,
     years: Sequence[int] | None = None,
     failures: DataFrame | None = None,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """One row per company and fiscal year, from references and accounting rubrics.
 
     ``refs`` carries ``filing_id``, the key of ``rubrics``; ``failures`` (filing_id, error) tells
-    which payloads could not be landed. A company's name is the first one met on the way
+    which payloads could not be landed. ``stored`` (``measure_store.measures``) has measures that are known
+    already, in place of lines. A company's name is the first one met on the way
     through its filings, newest year first: the reference's, then the payload's.
     """
     selected = recent_filings(refs, n_years, years)
-    # Only the chosen filings are aggregated, not all that ever landed.
-    rubrics = rubrics.join(selected.select("filing_id").distinct(), "filing_id", "left_semi")
-    named = "payloadName" in rubrics.columns
-    found = filing_measures(rubrics, ["filing_id"])
+    named = rubrics is not None and "payloadName" in rubrics.columns
+    if stored is not None:
+        found = stored
+    else:
+        # Only the chosen filings are aggregated, not all that ever landed.
+        rubrics = rubrics.join(selected.select("filing_id").distinct(), "filing_id", "left_semi")
+        found = filing_measures(rubrics, ["filing_id"])
     if named:
         names = rubrics.groupBy("filing_id").agg(F.max("payloadName").alias("payloadName"))
         found = found.join(names, "filing_id")
@@ -93,17 +98,19 @@ def is_text_filing() -> Column:
 
 def published_financials(
     deposits: DataFrame,
-    export_lines: DataFrame,
+    export_lines: DataFrame | None,
     texts: DataFrame,
     years: Sequence[int],
     companies: DataFrame | None = None,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """One row per company and requested year that has a deposit, with all measures.
 
     ``export_lines`` are all rows of the landed exports (filing_id, pos, code, value, period);
     ``texts`` the filing texts. Structured filings use the export, others the text.
     With ``companies`` only their rows are returned. Filings are chosen first: texts are parsed
-    and export lines aggregated only for the chosen filings of the right format.
+    and export lines aggregated only for the chosen filings of the right format. With ``stored``
+    (``measure_store.measures`` of the exports) export lines are not read at all.
     """
     if companies is not None:
         deposits = deposits.join(companies.select(COMPANY).distinct(), COMPANY, "left_semi")
@@ -114,15 +121,18 @@ def published_financials(
     wanted = {
         text: selected.filter(F.col("isText") == text).select("filing_id").distinct() for text in (True, False)
     }
-    export_lines = export_lines.join(wanted[False], "filing_id", "left_semi")
     texts = texts.join(wanted[True], "filing_id", "left_semi")
     columns = ["filing_id", "code", "value", "period"]
     order = F.col("pos").cast("decimal(38,0)").alias("pos")
-    lines = export_lines.select(*columns, order, F.lit(False).alias("isText")).unionByName(
-        text_rubrics(texts).select(*columns, order, F.lit(True).alias("isText"))
-    )
     keys = ["filing_id", "isText"]
-    rows = selected.join(filing_measures(lines, keys), keys, "left")
+    lines = text_rubrics(texts).select(*columns, order, F.lit(True).alias("isText"))
+    if stored is not None:
+        known = stored.join(wanted[False], "filing_id", "left_semi").withColumn("isText", F.lit(False))
+        found = known.unionByName(filing_measures(lines, keys))
+    else:
+        export_lines = export_lines.join(wanted[False], "filing_id", "left_semi")
+        found = filing_measures(export_lines.select(*columns, order, F.lit(False).alias("isText")).unionByName(lines), keys)
+    rows = selected.join(found, keys, "left")
     error = F.when(
         F.col("lineCount").isNull(),
         F.when(F.col("isText"), UNSUPPORTED_FORMAT).otherwise(FETCH_FAILED),

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firmatlas.operators import ranges
 from firmatlas.operators.registry import (
     NUMBER,
     clean,
@@ -60,8 +61,9 @@ def companies_by_nace(
     """One page of companies ordered by number, each row with the total number of hits.
 
     ``limit`` is held between 1 and ``LARGEST_PAGE``. ``offset`` is held in memory by every task,
-    so deep pages are read with ``after``, the last number of the page before, whose cost does not
-    grow. A page past the end has no rows; its total comes from ``nace_total``. The page is cut from the bare numbers first. It holds at most ``LARGEST_PAGE`` rows, so it
+    so deep pages are read with ``after``, the last number of the page before, or by number with
+    ``stored_page``; the cost of these does not grow. A page past the end has no rows; its total comes from
+    ``nace_total``. The page is cut from the bare numbers first. It holds at most ``LARGEST_PAGE`` rows, so it
     may be broadcast against the wide tables, which are then reduced during their scan.
     """
     limit = min(max(limit, 1), LARGEST_PAGE)
@@ -69,6 +71,10 @@ def companies_by_nace(
     total = hits.agg(F.count("*").alias("total"))
     rest = hits if after is None else hits.filter(F.col(NUMBER) > after)
     page = rest.orderBy(F.asc_nulls_last(NUMBER)).offset(max(offset, 0)).limit(limit)
+    return _page_rows(tables, page, total.scalar(), code, classification)
+
+
+def _page_rows(tables: Tables, page: DataFrame, total: Column, code: str, classification: str | None) -> DataFrame:
     enterprise = tables["Enterprise"].join(F.broadcast(page), NUMBER, "left_semi")
     names = preferred_names(_of_page(tables["Denomination"], page))
     cities = _cities(_of_page(tables["KBOAddress"], page))
@@ -87,12 +93,32 @@ def companies_by_nace(
             ],
             F.array(F.lit(code_text)).alias("naceCodes"),
             classes.alias("classifications"),
-            total.scalar().alias("total"),
+            total.alias("total"),
         )
         .orderBy(NUMBER)
     )
 
 
+def store_pages(
+    tables: Tables, folder: str, code: str, version: str | None = None, classification: str | None = None
+) -> None:
+    """Store the hits of a code prefix for ``stored_page``: bare numbers, in ranges."""
+    ranges.store_ranges(hits_of(tables, code, version, classification), [F.col(NUMBER).asc_nulls_last()], folder)
+
+
+def stored_page(
+    tables: Tables, folder: str, code: str, classification: str | None = None, limit: int = DEFAULT_PAGE, offset: int = 0
+) -> DataFrame:
+    """The same page as ``companies_by_nace`` gives, at any depth, out of stored hits.
+
+    Only the ranges that the page lies in are read, and no task holds what comes before it.
+    """
+    spark = tables["Enterprise"].sparkSession
+    limit = min(max(limit, 1), LARGEST_PAGE)
+    page = ranges.page(spark, folder, max(offset, 0), limit).select(NUMBER)
+    return _page_rows(tables, page, F.lit(ranges.total(spark, folder)).cast("long"), code, classification)
+
+
 def nace_total(
     tables: Tables, code: str, version: str | None = None, classification: str | None = None
 ) -> DataFrame:
@@ -148,8 +174,13 @@ def filter_companies(companies: DataFrame, term: str = "", descending: bool | No
     found = companies.filter(F.contains(text, F.lit(term.strip().lower())))
     if descending is None:
         return found
+    return found.orderBy(*name_order(descending))
+
+
+def name_order(descending: bool = False) -> list[Column]:
+    """Dutch name order, without regard to case and accents; companies of one name by number."""
     name = F.collate(F.coalesce("name", F.lit("")), "nl_CI_AI")
-    return found.orderBy(name.desc() if descending else name.asc(), NUMBER)
+    return [name.desc() if descending else name.asc(), F.col(NUMBER).asc()]
 
 
 def _share(count: Column, total: Column) -> Column:

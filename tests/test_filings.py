@@ -5,6 +5,7 @@ import pytest
 from firmatlas.operators.filings import latest_per_year, recent_filings, requested_filings, requested_years
 from firmatlas.operators.rubrics import filing_measures
 from firmatlas.operators.text_rubrics import INSURER_LABELS, text_rubrics
+from firmatlas.plans import measure_store
 from firmatlas.plans.financials import company_history, published_financials
 from firmatlas.sources.csv_files import EXPORT_NAME, EXPORT_REFERENCE, read_rubric_exports
 from firmatlas.sources.payloads import (
@@ -257,3 +258,26 @@ def test_texts_are_parsed_after_filings_are_chosen(spark, rows):
     texts = spark.range(10).selectExpr("cast(id as string) as filing_id", "'70 1.000' as text")
     plan = published_financials(deposits, rows(RUBRIC), texts, [2024])._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" in plan and plan.rindex("LeftSemi") > plan.index("Generate")
+
+
+def test_measures_are_stored_by_batch(spark, rows, tmp_path):
+    schema, folder = "filing_id long, code string, value string, period string, pos int", str(tmp_path)
+    assert measure_store.measures(spark, folder).count() == 0 and measure_store.update(spark, folder) == []
+    measure_store.land(rows(schema, (1, "70", "5", "N", 1), (2, "70", "7", "N", 1)), folder, "2024-01")
+    assert measure_store.update(spark, folder) == ["2024-01"]
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("measures/**/*.parquet")}
+    measure_store.land(rows(schema, (2, "70", "8", "N", 1), (3, "9904", "1", "N", 1)), folder, "2024-02")
+    batches = measure_store.new_batches(spark, folder)
+    assert batches == ["2024-02"]
+    # An update opens the folders of new batches and leaves stored ones alone.
+    assert all("batch=2024-02" in f for f in measure_store.new_lines(spark, folder, batches).inputFiles())
+    assert measure_store.update(spark, folder) == ["2024-02"] and measure_store.update(spark, folder) == []
+    assert before.items() <= {p: p.stat().st_mtime_ns for p in tmp_path.rglob("measures/**/*.parquet")}.items()
+    found = {r["filing_id"]: (r["revenue"], r["netResult"], r["lineCount"]) for r in measure_store.measures(spark, folder).collect()}
+    assert found == {1: (5.0, None, 1), 2: (8.0, None, 1), 3: (None, 1.0, 1)}
+    # A batch that failed before its mark is done again.
+    (tmp_path / "done" / "batch=2024-02").rmdir()
+    assert measure_store.measures(spark, folder).count() == 2 and measure_store.update(spark, folder) == ["2024-02"]
+    assert measure_store.measures(spark, folder).count() == 3
+    with pytest.raises(ValueError):
+        measure_store.land(rows(schema), folder, "a/b")
