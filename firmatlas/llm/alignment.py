@@ -23,6 +23,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -143,13 +144,19 @@ def decimals(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
+def _digits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``decimals`` by a table that the process keeps; vocabularies are not larger."""
+    cells, n = kept(("decimals",), lambda: decimals(np.arange(1 << 17)))
+    return cells[ids], n[ids]
+
+
 def written_groups(a_ids, b_ids, a_group, b_group) -> tuple[np.ndarray, np.ndarray]:
     """Groups as ``a1,a2|b1;`` in bytes, and where each group ends."""
     side = np.repeat([0, 1], [len(a_ids), len(b_ids)])
     group = np.concatenate([a_group, b_group])
     order = np.lexsort((side, group))
     ids, side, group = np.concatenate([a_ids, b_ids])[order], side[order], group[order]
-    cells, n = decimals(ids)
+    cells, n = _digits(ids)
     mark = np.full(len(ids), ord(","), np.uint8)
     last = np.ones(len(ids), bool)
     last[:-1] = group[1:] != group[:-1]
@@ -176,7 +183,7 @@ def _align(texts: list[str], folder: str):
     tool = tokenizers(folder)
     a_lists, b_lists = tool.encode(texts)
     a_count, b_count = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a_lists, b_lists))
-    a_ids, b_ids = (np.fromiter((i for x in lists for i in x), np.int64, n.sum()) for lists, n in ((a_lists, a_count), (b_lists, b_count)))
+    a_ids, b_ids = (np.fromiter(chain.from_iterable(lists), np.int64, n.sum()) for lists, n in ((a_lists, a_count), (b_lists, b_count)))
     a_group, b_group, a, b = aligned(tool.a_size[a_ids], tool.b_size[b_ids])
     a_doc = np.repeat(np.arange(len(texts)), a_count)
     # Groups follow the texts' order, and each has an A token.

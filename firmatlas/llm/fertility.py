@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from firmatlas.llm import kernel as K
 from firmatlas.llm.store import written
+from firmatlas.llm.worker import kept
 
 FOLDER = "/opt/tokenizers"
 BYTE_BPE, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -104,13 +105,9 @@ class Encoder:
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def _encoder(folder: str) -> Encoder:
-    if folder not in _encoders:
-        _encoders[folder] = Encoder(folder)
-    return _encoders[folder]
+def encoder(folder: str) -> Encoder:
+    """The encoder of this process, with the words that earlier tasks have left in its cache."""
+    return kept(("fertility", folder), lambda: Encoder(folder))
 
 
 def _repeated(hashes: np.ndarray, row: np.ndarray, rows: int, size: int) -> np.ndarray:
@@ -144,7 +141,7 @@ def _lines(data, offsets, rows: int, size: np.ndarray) -> np.ndarray:
 
 def _measure(folder: str):
     def one(batch):
-        encoder = _encoder(folder)
+        tool = encoder(folder)
         for first, stop, data, offsets in K.texts(batch.column("text")):
             rows = stop - first
             home = np.repeat(np.arange(rows), np.diff(offsets))
@@ -161,19 +158,19 @@ def _measure(folder: str):
             # Distinct words of the chunk are encoded; (row, word) counts give token counts.
             _, sample, word = np.unique(hashes, return_index=True, return_inverse=True)
             raw = data.tobytes()
-            at = encoder.words([raw[a:b] for a, b in zip(start[sample].tolist(), end[sample].tolist())])
-            begin, n_tokens = encoder.ends[at], np.diff(encoder.ends)[at]
+            at = tool.words([raw[a:b] for a, b in zip(start[sample].tolist(), end[sample].tolist())])
+            begin, n_tokens = tool.ends[at], np.diff(tool.ends)[at]
             tokens = np.bincount(row, weights=n_tokens[word], minlength=rows) if len(row) else np.zeros(rows)
-            n_pieces = np.bincount(row, weights=encoder.n_pieces[at][word], minlength=rows) if len(row) else np.zeros(rows)
-            n_bytes = np.bincount(row, weights=encoder.n_bytes[at][word], minlength=rows) if len(row) else np.zeros(rows)
+            n_pieces = np.bincount(row, weights=tool.n_pieces[at][word], minlength=rows) if len(row) else np.zeros(rows)
+            n_bytes = np.bincount(row, weights=tool.n_bytes[at][word], minlength=rows) if len(row) else np.zeros(rows)
             pairs, times = np.unique(row * (len(sample) + 1) + word, return_counts=True)
             pair_row, pair_word = pairs // (len(sample) + 1), pairs % (len(sample) + 1)
             size = n_tokens[pair_word]
             place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[pair_word], size)
-            keys = np.repeat(pair_row, size) * encoder.vocabulary + encoder.flat[place]
+            keys = np.repeat(pair_row, size) * tool.vocabulary + tool.flat[place]
             keys, inverse = np.unique(keys, return_inverse=True)
             held = np.bincount(inverse, weights=np.repeat(times, size), minlength=len(keys))
-            logs = np.bincount(keys // encoder.vocabulary, weights=held * np.log2(np.maximum(held, 1)), minlength=rows)
+            logs = np.bincount(keys // tool.vocabulary, weights=held * np.log2(np.maximum(held, 1)), minlength=rows)
             entropy = np.where(tokens > 1, (np.log2(np.maximum(tokens, 1)) - logs / np.maximum(tokens, 1)) / np.log2(np.maximum(tokens, 2)), 1.0)
             yield [
                 batch.column("doc_id").slice(first, rows), batch.column("lang").slice(first, rows), [SCRIPT_NAMES[i] for i in script],
@@ -222,8 +219,10 @@ def bands(rows: DataFrame, min_tokens: int = 50, min_texts: int = 100) -> DataFr
 
     A group of ``min_texts`` texts weighs as much as its script, and a script of so many as all texts.
     """
-    use = rows.filter((F.col("n_tokens") >= min_tokens) & ~F.col("base_failed")).withColumn("group", F.coalesce("lang", "script")).withColumn("every", F.lit(0))
-    found = use.select("group", "script", "every").distinct().join(_bands(use, "group", "own"), "group").join(_bands(use, "script", "wide"), "script").join(_bands(use, "every", "all"), "every")
+    use = rows.filter((F.col("n_tokens") >= min_tokens) & ~F.col("base_failed")).withColumn("group", F.coalesce("lang", "script"))
+    found = use.select("group", "script").distinct().join(_bands(use, "group", "own"), "group").join(_bands(use, "script", "wide"), "script")
+    every = _bands(use.withColumn("every", F.lit(0)), "every", "all").first()
+    found = found.withColumns({f"all_{c}": F.lit(every[f"all_{c}"] if every else None).cast("double") for c in LIMITS})
 
     def drawn(texts: str, own, wider):
         weight = F.col(texts) / (F.col(texts) + min_texts)

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from firmatlas.llm.worker import kept
+
 CHUNK_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -26,18 +28,17 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-_tables: dict[int, np.ndarray] = {}
-
 
 def powers(base: int, n: int) -> np.ndarray:
     """The first n powers of base modulo 2**64; the table grows by doubling."""
-    table = _tables.get(base)
+    tables = kept(("powers",), dict)
+    table = tables.get(base)
     if table is None:
         table = np.ones(1, U64)
     while len(table) < n:
         step = U64(pow(base, len(table), 1 << 64))
         table = np.concatenate([table, table * step])
-    _tables[base] = table
+    tables[base] = table
     return table[:n]
 
 

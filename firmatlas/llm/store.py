@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +20,8 @@ def _bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-#: Tables of the open scratches, innermost last.
-_scratches: list[list[str]] = []
+#: Tables of the open scratches of this thread, innermost last.
+_scratches: ContextVar[tuple[list[str], ...]] = ContextVar("scratches", default=())
 
 
 @contextmanager
@@ -29,11 +30,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
     What is returned from it must rest on kept tables and on the inputs alone.
     """
-    _scratches.append([])
+    own: list[str] = []
+    before = _scratches.set((*_scratches.get(), own))
     try:
         yield
     finally:
-        for name in _scratches.pop():
+        _scratches.reset(before)
+        for name in own:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -48,9 +51,10 @@ def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     _bounded_batches(spark)
     path = work_folder(spark, label)
-    level = len(_scratches) - 1 - keep
+    open_ = _scratches.get()
+    level = len(open_) - 1 - keep
     if level >= 0:
-        _scratches[level].append(path)
+        open_[level].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

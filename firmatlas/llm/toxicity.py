@@ -137,7 +137,11 @@ def _trained(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int,
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_labelled)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id").dropna()
-    rows = written(rows.mapInArrow(K.batches(_training_rows, TRAINING), "doc_id long, label int, n_words long, terms array<int>, times array<int>"), "toxic-terms")
+    rows = rows.mapInArrow(K.batches(_training_rows, TRAINING), "doc_id long, label int, n_words long, terms array<int>, times array<int>")
+    rows = written(rows.withColumn("place", F.monotonically_increasing_id()), "toxic-terms")
+    # Repeated doc_ids can make more rows of as many labels.
+    some = rows.select("place", "doc_id", "label", "n_words").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "n_words", "place").limit(max_labelled)
+    rows = written(rows.join(F.broadcast(some.select("place")), "place", "left_semi").drop("place"), "toxic-rows")
     total, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     share = positive / total if total else 0.0
     empty = {"table": np.zeros(0, np.int64), "abusive": np.zeros(0, bool), "weights": [], "share": share}

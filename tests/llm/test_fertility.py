@@ -91,3 +91,13 @@ def test_edge_cases(spark):
     assert len(got) == len(documents()) and all(r.kept is not None for r in got)
     assert not any(r.kept for r in got if r.base_failed)
     assert fertility.judged(frame(spark, [])).collect() == []
+
+
+def test_copies_of_the_task_function_share_one_encoder():
+    """Spark unpickles a task's function anew, which must not load the vocabularies again."""
+    from pyspark import cloudpickle
+
+    a, b = (cloudpickle.loads(cloudpickle.dumps(fertility.encoder)) for _ in range(2))
+    tool = a(fertility.FOLDER)
+    tool.words([b"once"])
+    assert b(fertility.FOLDER) is tool and b"once" in b(fertility.FOLDER).known

@@ -1,6 +1,10 @@
+from collections import Counter
+
 from helpers import documents, frame, prose, words
+from pyspark.sql import functions as F
 
 from firmatlas.llm import lines
+from firmatlas.llm.membership import bit_table, with_maybe
 
 
 def plain(rows, least):
@@ -65,3 +69,27 @@ def test_other_columns_stay(spark):
 
 def test_empty_table(spark):
     assert lines.deduplicated(frame(spark, []), 50).collect() == []
+
+
+def test_only_repeated_fingerprints_go_on(spark):
+    """Windows of texts that share nothing stop at the fingerprints, though neighbours choose the same line."""
+    shared = "\n".join(prose(800 + i, 9) for i in range(12))
+    rows = [(i, "\n".join(prose(40 * i + j, 7) for j in range(30)), "en", "s", 0) for i in range(20)]
+    rows += [(100 + i, f"{prose(5000 + i, 60)}\n{shared}\n{prose(6000 + i, 60)}", "en", "s", 0) for i in range(3)]
+    docs = lines._documents(frame(spark, rows))
+    windows = lines._windows(docs, 50, content=True).count()
+    near = lines.repeated_windows(docs, 50).collect()
+    counts = Counter((r.k1, r.k2, r.words) for r in near)
+    repeated = sum(n for n in counts.values() if n > 1)
+    assert windows > 10 * repeated / 3 and repeated <= len(near) <= 2 * repeated
+    assert {r.id for r in near} == {100, 101, 102}
+
+
+def test_texts_that_keep_all_lines_are_not_joined(spark):
+    shared = "\n".join(prose(800 + i, 9) for i in range(12))
+    rows = [(i, prose(i, 80), "en", "s", 0) for i in range(30)] + [(50, shared, "en", "s", 0), (51, shared, "en", "s", 0)]
+    found = frame(spark, rows)
+    bits = bit_table(found.filter("doc_id >= 50").select(F.xxhash64("doc_id").alias("key")), "key")
+    got = with_maybe(found.withColumn("key", F.xxhash64("doc_id")), "key", bits)
+    assert {r.doc_id for r in got.filter("maybe").collect()} == {50, 51}
+    assert set(got.columns) == {*found.columns, "key", "maybe"}

@@ -1,9 +1,10 @@
 import hashlib
 import zlib
 
+from helpers import LOWER, documents, frame
+
 from firmatlas.llm import merkle
 from pyspark.sql import functions as F
-from tests.llm.helpers import LOWER, documents, frame
 
 
 def h(text):

@@ -66,3 +66,13 @@ def test_edge_cases(spark):
     for some in ([], [(1, 0)], [(1, 1), (2, 1)]):
         one = toxicity.train(frame(spark, rows), spark.createDataFrame(some, "doc_id long, toxic int"))
         assert not any(r.rejected for r in toxicity.scored(frame(spark, rows[:9]), one).collect())
+
+
+def test_the_bound_on_labelled_rows_holds_for_repeated_ids(spark, monkeypatch):
+    rows = [(i % 3, f"{prose(i, 30)} {'vilegrub' if i % 3 == 0 else ''}", "en", "s", 0) for i in range(120)]
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    whole = toxicity.fit_chain
+    monkeypatch.setattr(toxicity, "fit_chain", lambda features, n, *rest: seen.append(n) or whole(features, n, *rest))
+    toxicity.train(frame(spark, rows), labels, max_labelled=90, min_z=0.5)
+    assert seen == [90]
