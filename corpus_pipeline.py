@@ -39,11 +39,18 @@ def _column(name: str):
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more).
 
-    Rows that repeat a doc_id are one document; rows without doc_id stay.
+    Every row is a document of its own, whatever its doc_id. Of a group the lowest doc_id stays (rows without
+    one come last), of rows that share it the lowest hash of the text.
     """
-    kept = minhash.near_duplicates(docs, size=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
-    kept = written(kept, "kept-ids")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null")).select(*(f"`{c}`" for c in docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text_key"))
+    rows = written(docs.select(F.struct(*columns).alias("row"), key.alias("key"), F.monotonically_increasing_id().alias("place")), "near-rows")
+    found = minhash.near_duplicates(rows.select(F.col("place").alias("doc_id"), F.col("row.text").alias("text")), size=5, percent=80)
+    found = found.select(F.col("doc_id").alias("place"), "component_id")
+    placed = found.join(rows.select("place", "key"), "place")
+    kept = placed.groupBy("component_id").agg(F.min(F.struct("key", "place")).alias("first"))
+    kept = written(kept.select(F.col("first.place").alias("place")), "near-kept")
+    return rows.join(kept, "place", "left_semi").select("row.*")
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
