@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmatlas.operators import ranges
-from firmatlas.plans import market
+from firmatlas.plans import code_bitmaps, market
 from firmatlas.session import work_folder
 from firmatlas.sources.testviews import TestViews, with_views
 
@@ -136,6 +136,17 @@ def blank_codes(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+# Prefixes of all lengths, with and without version and classification.
+ASKED_CODES = [("6", None, None), (PREFIX, VERSION, None), (PREFIX, VERSION, "MAIN"), ("61", "2025", None), ("1234", None, "SECO"), ("79871", None, None), ("x", None, None)]
+
+
+def bitmap_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Postal counts of several prefixes out of one stored table of bitmaps."""
+    path = work_folder(spark, "code-bitmaps")
+    code_bitmaps.write_bitmaps(_views(spark, folder).market_tables(), path)
+    return code_bitmaps.many_postal_counts(spark, path, ASKED_CODES)
+
+
 QUERIES = {
     "nace_hits": nace_hits,
     "postal_counts": postal_counts,
@@ -149,6 +160,7 @@ QUERIES = {
     "deep_page": deep_page,
     "name_ranked": name_ranked,
     "blank_codes": blank_codes,
+    "bitmap_counts": bitmap_counts,
 }
 
 MARKET_VIEWS = "establishment activity address"
@@ -245,3 +257,19 @@ FROM (VALUES ('blank'), ('empty'), ('no postal code'), ('real')) l(label), (
         f"{hits_sql(version=None)}, {COUNTS_SQL}",
     ),
 }
+
+
+def _bitmap_sql() -> str:
+    def text(value: str | None) -> str:
+        return "cast(NULL AS string)" if value is None else f"'{value}'"
+
+    parts = []
+    for code, version, classification in ASKED_CODES:
+        hits = hits_sql(code, version, classification).removeprefix("hits AS ")
+        names = f"{text(code)} AS code, {text(version)} AS version, {text(classification)} AS classification"
+        parts.append(f"""SELECT {names}, coalesce(nullif(zipcode, ''), 'Unknown') AS "postalCode", count(*) AS "enterpriseCount"
+  FROM {hits} h LEFT JOIN address a ON a."enterpriseId" = h."enterpriseNumber" AND a."typeOfAddressCode" = 'REGO' GROUP BY ALL""")
+    return " UNION ALL ".join(parts)
+
+
+ORACLE["bitmap_counts"] = with_views(MARKET_VIEWS, _bitmap_sql())

@@ -21,7 +21,7 @@ from firmatlas.sources.snapshots import empty_table, read_snapshot, write_table
 AT_ONCE = 4
 
 
-def _for_each_table(job: Callable[[str], object]) -> dict[str, object]:
+def each_table(job: Callable[[str], object]) -> dict[str, object]:
     """Run a job for every table, a few at a time; the first failure is raised."""
     with ThreadPoolExecutor(AT_ONCE) as pool:
         return dict(zip(TABLES, pool.map(job, TABLES)))
@@ -79,7 +79,7 @@ def load_all(
         kept = current if current and not spec.cleared_on_reset else None
         load_table(spark, table, f"{csv_folder}/{spec.file}", target, load_time, kept, upsert)
 
-    _for_each_table(load)
+    each_table(load)
 
 
 def load_missing(
@@ -105,10 +105,10 @@ def load_missing(
         else:
             write_table(read_snapshot(spark, current, [table])[table], target, table)
 
-    _for_each_table(load)
+    each_table(load)
     return incomplete
 
 
 def audit_snapshot(spark: SparkSession, csv_folder: str, snapshot: str) -> DataFrame:
-    sources = _for_each_table(lambda name: read_extract(spark, f"{csv_folder}/{TABLES[name].file}", name))
+    sources = each_table(lambda name: read_extract(spark, f"{csv_folder}/{TABLES[name].file}", name))
     return audit_load(sources, read_snapshot(spark, snapshot))

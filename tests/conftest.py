@@ -19,6 +19,8 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
+            # Call sites of every column cost a round trip each.
+            "spark.python.sql.dataFrameDebugging.enabled": "false",
             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="firmatlas-warehouse-"),
         },
     )

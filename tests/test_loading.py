@@ -2,9 +2,10 @@ import datetime
 
 import pytest
 
-from firmatlas.operators.audit import orphan_check
+from firmatlas.operators.audit import orphan_check, orphan_check_filtered, split_references
 from firmatlas.operators.keyed import dedupe_first, merge_rows
 from firmatlas.operators.staging import stage_table
+from firmatlas.plans import digests
 from firmatlas.plans.loading import audit_snapshot, load_all, load_missing, load_table
 from firmatlas.schemas import TABLES, Relation
 from firmatlas.sources.buckets import batches, expire, merge_into, read_table, state
@@ -174,6 +175,27 @@ def test_load_all_then_audit_then_missing(spark, folder, tmp_path):
     assert read_snapshot(spark, third, ["Branch"])["Branch"].count() == 1
 
 
+def test_unchanged_extracts_are_audited_without_their_keys(spark, folder, tmp_path, monkeypatch):
+    snapshot = str(tmp_path / "s")
+    load_all(spark, folder, snapshot, NOW)
+    digests.keep_digests(spark, folder, snapshot)
+    counted, whole = [], digests.distinct_keys
+    monkeypatch.setattr(digests, "distinct_keys", lambda raw, table, buckets=None: counted.append((table, buckets)) or whole(raw, table, buckets))
+    want = {r["table"]: (r["expected"], r["loaded"], r["status"]) for r in audit_snapshot(spark, folder, snapshot).collect()}
+    found = {r["table"]: (r["expected"], r["loaded"], r["status"]) for r in digests.audit_digests(spark, folder, snapshot).collect()}
+    assert found == want and counted == []
+    # Only sums of buckets are shuffled for it.
+    sums = digests.source_sums(read_extract(spark, f"{folder}/activity.csv", "Activity"), "Activity")
+    assert "hashpartitioning(bucket" in sums._jdf.queryExecution().executedPlan().toString()
+    # Another row, a repeated row and another order: keys of the buckets that differ are counted.
+    lines = FILES["contact.csv"]
+    (tmp_path / "contact.csv").write_text("\n".join([lines[0], *lines[:0:-1], lines[1], "9,ENT,TEL,3"]) + "\n", encoding="utf-8")
+    found = {r["table"]: r for r in digests.audit_digests(spark, folder, snapshot).collect()}
+    want = {r["table"]: r for r in audit_snapshot(spark, folder, snapshot).collect()}
+    assert [t for t, _ in counted] == ["KBOContact"] and 1 <= found["KBOContact"]["counted"] <= 2
+    assert all(found[t][c] == want[t][c] for t in TABLES for c in ("expected", "loaded", "status", "incomplete"))
+
+
 def test_upsert_replaces_and_plain_load_keeps(spark, folder, tmp_path):
     base, kept, replaced = (str(tmp_path / n) for n in ("base", "kept", "replaced"))
     load_table(spark, "Establishment", f"{folder}/establishment.csv", base, NOW)
@@ -276,6 +298,23 @@ def test_orphans(rows):
     assert tuple(found[("Branch.enterpriseNumber",)])[2:] == (1, 1)
 
 
+def test_orphans_that_a_filter_denies_are_not_joined(spark, tmp_path):
+    n = 3000
+    tables = {
+        "Enterprise": spark.range(n).selectExpr("cast(id * 2 as string) as enterpriseNumber"),
+        "Branch": spark.range(n * 3).selectExpr("cast(id % 4000 as string) as enterpriseNumber").unionByName(spark.createDataFrame([(None,)], "enterpriseNumber string")),
+    }
+    relations = [Relation("Branch", "enterpriseNumber", "Enterprise")]
+    denied, rest = split_references(tables, str(tmp_path / "a"), relations)
+    # Every other of 4,000 values is an orphan; a filter admits few of them, and every known one.
+    assert 1990 <= denied.count() <= 2000 and rest.filter("ref is not null").count() == 4000 - denied.count()
+    assert denied.filter("cast(ref as int) % 2 = 0").count() == 0
+    want = orphan_check(tables, relations).collect()
+    assert orphan_check_filtered(tables, str(tmp_path / "b"), relations).collect() == want
+    # A filter that is far too small denies little, and changes nothing.
+    assert orphan_check_filtered(tables, str(tmp_path / "c"), relations, parts=1).collect() == want
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark, rows):
     df = rows("enterpriseNumber string, v int", *[(str(i), i) for i in range(100)])
     for name in ("bucketed_a", "bucketed_b"):
