@@ -42,6 +42,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Every row is a document of its own, whatever its doc_id. Of a group the lowest doc_id stays (rows without
     one come last), of rows that share it the lowest hash of the text.
     """
+    shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+    if shared.limit(1).count():
+        return _one_row_of_each(docs)
+    kept = minhash.near_duplicates(docs, size=5, percent=80).filter("kept").select("doc_id")
+    return docs.join(written(kept, "near-kept"), "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _one_row_of_each(docs: DataFrame) -> DataFrame:
+    """The same where doc_ids don't name rows: rows are numbered in a copy first."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text_key"))
     rows = written(docs.select(F.struct(*columns).alias("row"), key.alias("key"), F.monotonically_increasing_id().alias("place")), "near-rows")
