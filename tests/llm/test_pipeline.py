@@ -48,6 +48,16 @@ def test_near_duplicates_by_row(spark, tables):
     assert {r.text for r in got} == {r.text for r in one_of_each(docs.collect())}
 
 
+def test_near_duplicates_of_rows_with_ids_of_their_own(spark, tables):
+    folder, _ = tables
+    base = [prose(i, 80) for i in range(4)]
+    texts = [*base, base[1], base[2] + " end", "", None, "one", "one"]
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)], clashing=True)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, folder)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in one_of_each(docs.collect()))
+
+
 def test_stages(spark, tables):
     folder, rows = tables
     docs = spark.read.parquet(f"{folder}/documents.parquet")
