@@ -129,7 +129,7 @@ def _repeated(hashes: np.ndarray, row: np.ndarray, rows: int, size: int) -> np.n
 def _lines(data, offsets, rows: int, size: np.ndarray) -> np.ndarray:
     """Per row the number of lines with a word that equal an earlier line."""
     start, end, row = K.words(data, offsets, LINE)
-    hashes = K.span_hash(K.running(data), start, end)
+    hashes = K.word_hash(data, start, end)
     filled = np.zeros(len(data) + 1, np.int64)
     np.cumsum(~K.SPACE[data], out=filled[1:])
     use = filled[end] > filled[start]
@@ -150,7 +150,7 @@ def _measure(folder: str):
                 return np.bincount(home[mask], minlength=rows)
 
             start, end, row = K.words(data, offsets, ~K.SPACE)
-            hashes = K.span_hash(K.running(data), start, end)
+            hashes = K.word_hash(data, start, end)
             n_words = np.bincount(row, minlength=rows)
             chars = count(~K.SPACE[data] & ((data & 0xC0) != 0x80))
             script = np.column_stack([count(np.isin(data, list(v))) for v in SCRIPTS.values()])

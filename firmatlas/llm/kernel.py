@@ -3,12 +3,14 @@
 A polynomial hash of any span comes from one running sum over the bytes (or words) of a chunk:
 ``H[i] = sum(value[j] * P**j for j < i)`` modulo 2**64, so a span is ``(H[end] - H[start]) / P**start``.
 ``P`` is odd and so has an inverse. Results are mixed, because low bits of such sums are weak.
+Whole words and lines of any length are hashed by ``word_hash``.
 A chunk holds whole texts of about ``CHUNK_BYTES``; a longer text is a chunk of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,9 @@ import pyarrow as pa
 from firmatlas.llm.worker import kept
 
 CHUNK_BYTES = 1 << 20
+#: Bytes of a word beyond which it is digested. Sums modulo 2**64 have spans of two letters, from 1,024 on,
+#: that differ and have equal sums whatever the base is.
+LONG_WORD = 256
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 U64 = np.uint64
@@ -66,6 +71,14 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(raw + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word or line of a chunk: of short ones by running sums, of long ones a digest of their bytes."""
+    out = span_hash(running(data), start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        out[i] = int.from_bytes(blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
 def texts(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Chunks of a text column: first row, row after the last, bytes, row offsets into the bytes."""
     if isinstance(column, pa.ChunkedArray):

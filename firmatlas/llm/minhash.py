@@ -46,7 +46,7 @@ def shingles(data, offsets, rows: int, size: int, lower: bool = True):
     """Distinct shingle hashes of a chunk, sorted by row and hash, and their rows."""
     data = K.LOWER[data] if lower else data
     start, end, row = K.words(data, offsets, ~K.SPACE)
-    hashes, row, _ = K.windows(K.span_hash(K.running(data), start, end), row, size, rows)
+    hashes, row, _ = K.windows(K.word_hash(data, start, end), row, size, rows)
     order = np.lexsort((hashes, row))
     hashes, row = hashes[order], row[order]
     new = np.ones(len(hashes), bool)

@@ -117,7 +117,7 @@ def _chunks(batches):
             tokens = np.empty(len(start) + len(ends), np.uint64)
             inside = np.ones(len(tokens), bool)
             inside[ends] = False
-            tokens[inside], tokens[ends] = K.span_hash(K.running(data), start, end), END
+            tokens[inside], tokens[ends] = K.word_hash(data, start, end), END
             parts.append(tokens)
             lengths.append(length)
         distinct, index = np.unique(np.concatenate(parts), return_inverse=True)

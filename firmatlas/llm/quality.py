@@ -62,7 +62,7 @@ def statistics(data, offsets, rows: int) -> np.ndarray:
     n = np.bincount(row, minlength=rows)
     mean = np.bincount(row, weights=length, minlength=rows) / np.maximum(n, 1)
     spread = np.bincount(row, weights=length**2, minlength=rows) / np.maximum(n, 1) - mean**2
-    hashes = K.span_hash(K.running(K.LOWER[data]), start, end)
+    hashes = K.word_hash(K.LOWER[data], start, end)
     same = np.zeros(len(row), bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
     longest = np.zeros(rows)
@@ -79,7 +79,7 @@ def statistics(data, offsets, rows: int) -> np.ndarray:
     newline[10] = False
     first, last, line_row = K.words(data, offsets, newline)
     n_lines = np.bincount(line_row, minlength=rows)
-    line_hashes = K.span_hash(K.running(data), first, last)
+    line_hashes = K.word_hash(data, first, last)
     columns = [
         np.log1p(n), np.log1p(mean), np.log1p(np.sqrt(np.maximum(spread, 0))), np.log1p(n_lines), np.log1p(n / np.maximum(n_lines, 1)),
         _share(count(UPPER), size), _share(count(DIGIT), size), _share(count(SYMBOL), size), _share(count(PIPE), size), _share(count(MARK), size),

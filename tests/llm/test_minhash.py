@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from helpers import components, documents, edited, frame, prose, shingles
 
+from firmatlas.llm import kernel as K
 from firmatlas.llm import minhash
 from firmatlas.llm.components import components as star_components
 
@@ -69,3 +70,14 @@ def test_components_by_stars(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 200), (200, 300), (7, 7), (50, 51)]
     got = {r.node: r.component for r in star_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 300: 100, 50: 50, 51: 50}
+
+
+def test_long_words_that_collide_in_running_sums_are_told_apart(spark):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    b = a.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    ends = np.array([0, 4096]), np.array([4096, 8192])
+    sums, words = K.span_hash(K.running(data), *ends), K.word_hash(data, *ends)
+    assert sums[0] == sums[1] and words[0] != words[1]
+    got = minhash.near_duplicates(frame(spark, [(1, a, "en", "s", 0), (2, b, "en", "s", 0), (3, b, "en", "s", 0)]), size=4, percent=80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 2)]
