@@ -78,3 +78,24 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.scan(frame(spark, []), none).collect() == []
     assert all(r.n_hit == 0 for r in decontaminate.scan(frame(spark), none).collect())
+
+
+def test_a_window_of_very_many_items(spark):
+    common, own = prose(900, 10), prose(901, 12)
+    bench = [(i, common) for i in range(100_000)] + [(100_000, own)]
+    docs = [(i, f"{prose(i, 30)} {common} {prose(i + 50, 9)}" if i % 3 else prose(i, 40)) for i in range(30)] + [(40, own), (41, f"{own} {common}")]
+    got = decontaminate.scan(frame(spark, [(i, t, "en", "s", 0) for i, t in docs]), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    held = {r.doc_id: r["items"] for r in got}
+    every = sorted(map(str, range(100_000)))
+    assert len(got) == len(docs)
+    for i, _ in docs[:30]:
+        assert held[i] == (every if i % 3 else [])
+    assert held[40] == ["100000"] and held[41] == sorted([*every, "100000"])
+    grams, _ = decontaminate.windows(spark.createDataFrame(bench, "item_id long, text string"), 10)
+    assert grams.count() == 4
+
+
+def test_long_words(spark):
+    word = "x" * 3_000_000
+    check(spark, [(1, f"{word} {prose(1, 9)} tail"), (2, f"{word}y {prose(1, 9)}")], [(1, f"{word} {prose(1, 9)}")])
+    check(spark, [(1, f"{word} {prose(1, 9)} tail"), (2, f"{word}y {prose(1, 9)}")], [(1, f"{word} {prose(1, 9)}"), (2, prose(1, 9))], max_windows=1)
