@@ -3,12 +3,13 @@
 The categories are predicted in order: ``mention`` (an abusive term occurs), ``repeated`` (two different
 ones do) and ``toxic``, the label. Each model is a logistic regression on the terms of a text and on the
 probabilities of the categories before it. In training these come from models fitted without the row
-(out-of-fold), so that a later model sees them as unsure as they will be in use.
+(out-of-fold), so that a later model sees them as unsure as they will be in use. Such a model also chooses
+its terms, and derives the first two categories, without the rows of the fold that it is asked about.
 
 Terms are whole words and word beginnings, hashed into ``1 << BITS`` numbers. Those that go together with
 the label far beyond chance (``min_z``) are kept, ``max_terms`` at most. A term of the kept ones with a
 positive association is an abusive term; the first two categories are derived from them, as the tables
-label only the last.
+label only the last. Their models thus say which terms the labels name, not more than that.
 
 The models are fitted on at most ``max_labelled`` labelled rows, chosen by a hash of doc_id, where a row
 has a text and a label. All texts are scored whole. The sample, the kept terms and the models are the only
@@ -59,13 +60,16 @@ def _training_rows(batch):
         number, row, n_words = _terms(data, offsets, rows)
         pairs, times = np.unique((row << BITS) | number, return_counts=True)
         counts = np.bincount(pairs >> BITS, minlength=rows)
+        ids = batch.column("doc_id").slice(first, rows)
+        fold = K.mix(ids.to_numpy().view(np.uint64)) % np.uint64(FOLDS)
         yield [
-            batch.column("doc_id").slice(first, rows), batch.column("label").slice(first, rows), n_words.astype(np.int64),
+            ids, batch.column("label").slice(first, rows), fold.astype(np.int32), n_words.astype(np.int64),
             K.lists((pairs & ((1 << BITS) - 1)).astype(np.int32), counts), K.lists(times.astype(np.int32), counts),
         ]
 
 
-TRAINING = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("n_words", pa.int64()), ("terms", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
+TRAINING = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("fold", pa.int32()), ("n_words", pa.int64()), ("terms", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
+TRAINED = "doc_id long, label int, fold int, n_words long, terms array<int>, times array<int>"
 
 
 def _sparse(row: np.ndarray, column: np.ndarray, times: np.ndarray, n_words: np.ndarray, abusive: np.ndarray, width: int):
@@ -110,19 +114,23 @@ def _apply(features, rows: int, width: int, extra: np.ndarray, w: np.ndarray) ->
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_chain(features, rows: int, width: int, labels: np.ndarray, fold: np.ndarray) -> list[np.ndarray]:
-    """One weight vector per category (columns of labels); later ones also weigh earlier probabilities."""
+def fit_chain(features, rows: int, width: int, labels: np.ndarray, fold: np.ndarray, apart: list | None = None) -> list[np.ndarray]:
+    """One weight vector per category (columns of labels); later ones also weigh earlier probabilities.
+
+    ``apart`` holds by fold the features and labels as they are chosen without its rows; where it is not
+    given they are the same for all folds.
+    """
     models, known = [], np.zeros((rows, 0))
     everyone = np.ones(rows, bool)
     for category in range(labels.shape[1]):
-        label = labels[:, category]
-        models.append(_fit(features, rows, width, known, label, everyone))
+        models.append(_fit(features, rows, width, known, labels[:, category], everyone))
         if category + 1 < labels.shape[1]:
             unseen = np.zeros(rows)
             for part in range(FOLDS):
+                some, targets = apart[part] if apart else (features, labels)
                 inside = fold == part
-                w = _fit(features, rows, width, known, label, ~inside)
-                unseen[inside] = _apply(features, rows, width, known, w)[inside]
+                w = _fit(some, rows, width, known, targets[:, category], ~inside)
+                unseen[inside] = _apply(some, rows, width, known, w)[inside]
             known = np.column_stack([known, unseen])
     return models
 
@@ -137,37 +145,66 @@ def _trained(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int,
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_labelled)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id").dropna()
-    rows = rows.mapInArrow(K.batches(_training_rows, TRAINING), "doc_id long, label int, n_words long, terms array<int>, times array<int>")
+    rows = rows.mapInArrow(K.batches(_training_rows, TRAINING), TRAINED)
     rows = written(rows.withColumn("place", F.monotonically_increasing_id()), "toxic-terms")
     # Repeated doc_ids can make more rows of as many labels.
     some = rows.select("place", "doc_id", "label", "n_words").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "n_words", "place").limit(max_labelled)
     rows = written(rows.join(F.broadcast(some.select("place")), "place", "left_semi").drop("place"), "toxic-rows")
-    total, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    share = positive / total if total else 0.0
-    empty = {"table": np.zeros(0, np.int64), "abusive": np.zeros(0, bool), "weights": [], "share": share}
+    folds = {r.fold: (r.total, r.positive) for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("total"), F.sum("label").alias("positive")).collect()}
+    total, positive = (sum(x[i] for x in folds.values()) for i in range(2))
+    empty = {"table": np.zeros(0, np.int64), "abusive": np.zeros(0, bool), "weights": [], "share": positive / total if total else 0.0}
     if not 0 < positive < total:
         return empty
-    seen = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_pos"))
-    z = (F.col("n_pos") - share * F.col("n")) / F.sqrt(share * (1 - share) * F.col("n"))
-    kept = seen.withColumn("z", z).filter((F.abs("z") >= min_z) & (F.col("n") >= MIN_TEXTS)).orderBy(F.abs("z").desc(), "term").limit(max_terms).select("term", "z").toArrow()
-    term, score = kept.column("term").to_numpy(), kept.column("z").to_numpy()
-    order = np.argsort(term)
-    term, abusive = term[order].astype(np.int64), score[order] > 0
-    width = len(term) + 2
+    chosen = _chosen(rows, folds, max_terms, min_z)
+    term = np.unique(np.concatenate([x for x, _ in chosen]))
     shared = docs.sparkSession.sparkContext.broadcast(term)
-    found = rows.mapInArrow(K.batches(_kept_terms(shared), TRAINING), "doc_id long, label int, n_words long, terms array<int>, times array<int>").toArrow()
+    found = rows.mapInArrow(K.batches(_kept_terms(shared), TRAINING), TRAINED).toArrow()
     found = found.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("n_words", "ascending")]).combine_chunks()
-    label, n_words = found.column("label").to_numpy(), found.column("n_words").to_numpy()
-    count = pc.list_value_length(found.column("terms")).to_numpy()
-    features = _sparse(
-        np.repeat(np.arange(len(label)), count), pc.list_flatten(found.column("terms")).to_numpy().astype(np.int64),
-        pc.list_flatten(found.column("times")).to_numpy(), n_words, abusive, len(term),
-    )
-    inside = features[1] < len(term)
-    different = np.bincount(features[0][inside], weights=abusive[features[1][inside]], minlength=len(label))
-    targets = np.column_stack([different >= 1, different >= 2, label > 0]).astype(np.float64)
-    fold = (K.mix(found.column("doc_id").to_numpy().view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
-    return empty | {"table": term, "abusive": abusive, "weights": fit_chain(features, len(label), width, targets, fold)}
+    whole, *apart = [_view(found, len(term), np.searchsorted(term, x), z > 0) for x, z in chosen]
+    width = len(term) + 2
+    weights = fit_chain(whole[0], len(found), width, whole[1], found.column("fold").to_numpy(), apart)
+    # Terms that only a fold chose have no weight in the models of all rows.
+    own, score = chosen[0]
+    place = np.concatenate([np.searchsorted(term, own), np.arange(len(term), width)])
+    return empty | {"table": own, "abusive": score > 0, "weights": [np.concatenate([w[place], w[width:]]) for w in weights]}
+
+
+def _chosen(rows: DataFrame, folds: dict, max_terms: int, min_z: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Terms in order and their z: chosen on all rows, then without each fold's."""
+    def of(fold: int, what):
+        return F.sum(F.when(F.col("fold") == fold, what).otherwise(0))
+
+    counts = [of(i, F.lit(1)).alias(f"n{i}") for i in range(FOLDS)] + [of(i, F.col("label")).alias(f"pos{i}") for i in range(FOLDS)]
+    seen = written(rows.select("label", "fold", F.explode("terms").alias("term")).groupBy("term").agg(*counts), "toxic-counts")
+    out = None
+    for left in (None, *range(FOLDS)):
+        used = [i for i in range(FOLDS) if i != left]
+        total, positive = (sum(folds.get(i, (0, 0))[k] for i in used) for k in range(2))
+        share = positive / total if 0 < positive < total else None
+        n, n_pos = (sum((F.col(f"{name}{i}") for i in used), F.lit(0)) for name in ("n", "pos"))
+        # Without both classes nothing is associated with the label.
+        z = (n_pos - share * n) / F.sqrt(share * (1 - share) * n) if share else F.lit(0.0)
+        some = seen.filter(n >= MIN_TEXTS).select(F.lit(-1 if left is None else left).alias("left"), "term", z.alias("z"))
+        some = some.filter((F.abs("z") >= min_z) & (F.lit(share is not None))).orderBy(F.abs("z").desc(), "term").limit(max_terms)
+        out = some if out is None else out.union(some)
+    out = out.toArrow().sort_by("term").combine_chunks()
+    left, term, z = (out.column(c).to_numpy() for c in ("left", "term", "z"))
+    return [(term[left == i].astype(np.int64), z[left == i]) for i in (-1, *range(FOLDS))]
+
+
+def _view(found: pa.Table, width: int, places: np.ndarray, positive: np.ndarray):
+    """Features and categories of the training rows by some of the terms, of which ``positive`` are abusive."""
+    known, abusive = np.zeros(width, bool), np.zeros(width, bool)
+    known[places], abusive[places] = True, positive
+    n_words = found.column("n_words").to_numpy()
+    row = np.repeat(np.arange(len(found)), pc.list_value_length(found.column("terms")).to_numpy())
+    column = pc.list_flatten(found.column("terms")).to_numpy().astype(np.int64)
+    times = pc.list_flatten(found.column("times")).to_numpy()
+    use = known[column]
+    row, column, times = row[use], column[use], times[use]
+    different = np.bincount(row, weights=abusive[column], minlength=len(found))
+    targets = np.column_stack([different >= 1, different >= 2, found.column("label").to_numpy() > 0]).astype(np.float64)
+    return _sparse(row, column, times, n_words, abusive, width), targets
 
 
 def _kept_terms(shared):
@@ -182,7 +219,7 @@ def _kept_terms(shared):
         place = np.minimum(np.searchsorted(table, number), len(table) - 1) if len(table) else np.zeros(len(number), np.int64)
         keep = table[place] == number if len(table) else np.zeros(len(number), bool)
         counts = np.bincount(row[keep], minlength=len(batch))
-        yield [*(batch.column(c) for c in ("doc_id", "label", "n_words")), K.lists(place[keep].astype(np.int32), counts), K.lists(pc.list_flatten(times).to_numpy()[keep], counts)]
+        yield [*(batch.column(c) for c in ("doc_id", "label", "fold", "n_words")), K.lists(place[keep].astype(np.int32), counts), K.lists(pc.list_flatten(times).to_numpy()[keep], counts)]
 
     return one
 
