@@ -7,6 +7,26 @@ from pyspark.sql import functions as F
 
 KEEP = "keep"
 REPLACE = "replace"
+#: Bytes of stored input for which a task is made.
+TASK_BYTES = 4 << 20
+
+
+def task_count(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """Number of tasks for a shuffle of df, which grows with the files that df reads.
+
+    It is at least the session's number of shuffle partitions, and that where the size of a source isn't known.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return max(least, -(-sum(s for s in sizes if s < 1 << 50) // task_bytes))
+
+
+def dealt(df: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
+    """df by its keys in as many tasks as its input asks for, so that a task's share stays as it is when the
+    input grows. A number that is given is kept by adaptive execution, which would put partitions together by
+    their compressed size, however large they become when they are sorted or exploded."""
+    return df.repartition(tasks or task_count(df), *keys)
 
 
 def dedupe_first(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
