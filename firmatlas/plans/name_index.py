@@ -14,11 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firmatlas.operators.keyed import dealt, task_count
 from firmatlas.operators.registry import NUMBER
+from firmatlas.session import work_folder
 
 GRAM = 3
 #: Folders of postings; a piece lies in one of them.
 PARTS = 64
+#: Bytes of stored names for a task that takes them to pieces.
+NAME_BYTES = 256 << 10
 GRAMS_SCHEMA = "gram string, names long, lowest string, own string"
 POSTINGS_SCHEMA = f"gram string, text string, {NUMBER} string, ats array<int>, part int"
 
@@ -42,16 +46,23 @@ def _pieces(column: str, size: int):
 def write_index(denomination: DataFrame, folder: str) -> None:
     """Build the index of all company names below a folder."""
     known = known_names(denomination)
-    every = F.concat(*(_pieces("text", n) for n in range(1, GRAM + 1)))
-    held = known.select("text", NUMBER, F.explode(every).alias("p")).groupBy("text", NUMBER, F.col("p.gram").alias("gram"))
-    held = held.agg(F.array_sort(F.collect_list("p.at")).alias("ats"))
+    tasks = task_count(known, NAME_BYTES)
+    known = dealt(known, "text", tasks=tasks)
+    # A name is one row, so its pieces are told apart in it.
+    every = F.array_distinct(F.flatten(F.array(*(F.transform(_pieces("text", n), lambda p: p["gram"]) for n in range(1, GRAM + 1)))))
+    pieces = known.select("text", NUMBER, F.explode(every).alias("gram"))
     own = F.min(F.when(F.col("text") == F.col("gram"), F.col(NUMBER)))
-    grams = held.groupBy("gram").agg(F.count("*").alias("names"), F.min(NUMBER).alias("lowest"), own.alias("own"))
+    grams = pieces.groupBy("gram").agg(F.count("*").alias("names"), F.min(NUMBER).alias("lowest"), own.alias("own"))
     grams.sort("gram").write.mode("overwrite").parquet(f"{folder}/grams")
-    postings = held.filter(F.length("gram") == GRAM).withColumn("part", _part("gram"))
-    # Ranges within a part, so that a piece that very many names hold is written by several tasks.
+    whole = known.select("text", NUMBER, _pieces("text", GRAM).alias("pieces"))
+    held = whole.select("text", NUMBER, "pieces", F.explode(F.array_distinct(F.transform("pieces", lambda p: p["gram"]))).alias("gram"))
+    ats = F.transform(F.filter("pieces", lambda p: p["gram"] == F.col("gram")), lambda p: p["at"])
+    postings = held.select("gram", "text", NUMBER, ats.alias("ats"), _part("gram").alias("part"))
+    # Each part is dealt by names, so that a piece that very many names hold is written by several tasks.
+    share = F.pmod(F.xxhash64("text"), F.lit(-(-tasks // PARTS))).alias("share")
     order = ["part", "gram", "text"]
-    postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings")
+    placed = postings.withColumn("share", share).repartition(max(tasks, PARTS), "part", "share").drop("share")
+    placed.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings")
 
 
 def _grams(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,7 +92,10 @@ def resolve(asked: DataFrame, folder: str) -> DataFrame:
     grams = _grams(spark, folder)
     short = asked.filter(F.length("text") <= GRAM).join(grams.withColumnRenamed("gram", "text"), "text")
     short = short.select("text", F.coalesce("own", "lowest").alias(NUMBER))
-    wanted = rarest_pieces(asked.filter(F.length("text") > GRAM), grams)
+    # Written, since three steps read it.
+    path = work_folder(spark, "asked-pieces")
+    rarest_pieces(dealt(asked.filter(F.length("text") > GRAM), "text"), grams).write.parquet(path)
+    wanted = spark.read.schema("text string, gram string, at int").parquet(path)
     cuts = wanted.groupBy("gram").agg(F.collect_set(F.struct("at", F.length("text").alias("size"))).alias("cuts"))
     cuts = cuts.withColumn("part", _part("gram"))
     parts = sorted(r["part"] for r in cuts.select("part").distinct().collect())
@@ -92,5 +106,5 @@ def resolve(asked: DataFrame, folder: str) -> DataFrame:
     pieces = held.filter((start >= 1) & (start + F.col("size") - 1 <= F.length("name"))).select(
         F.substring(F.col("name"), start, F.col("size")).alias("text"), NUMBER, (F.col("size") < F.length("name")).alias("within")
     )
-    found = pieces.join(wanted.select("text"), "text", "left_semi").groupBy("text").agg(F.min_by(NUMBER, F.struct("within", NUMBER)).alias(NUMBER))
-    return asked.join(short.unionByName(found), "text", "left")
+    found = pieces.join(wanted.select("text").hint("merge"), "text", "left_semi").groupBy("text").agg(F.min_by(NUMBER, F.struct("within", NUMBER)).alias(NUMBER))
+    return asked.join(short.unionByName(found).hint("merge"), "text", "left")

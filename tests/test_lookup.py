@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from firmatlas.operators.keyed import dealt, task_count
 from firmatlas.plans import lookup
 from firmatlas.plans import name_index
 from firmatlas.plans.lookup import asked_texts, resolve_names
@@ -117,6 +118,39 @@ def test_substring_search_against_brute_force(rows, tmp_path):
         assert result[text] == min(exact or part, default=None), query
 
 
+def test_places_of_names_are_not_broadcast(spark, rows, tmp_path):
+    """Exploded places were taken for as small as the names and sent through the driver."""
+    rows(NAMES, *[(f"Company {i:05d} Gent", f"{i:06d}") for i in range(300)]).write.parquet(str(tmp_path / "names"))
+    asked = rows("name string", *[(f"{i:05d} g" if i < 300 else f"{i * 7919 % 10007:05d}{i:05d} unknown",) for i in range(6000)])
+    asked.write.parquet(str(tmp_path / "asked"))
+    found = resolve_names(asked_texts(spark.read.parquet(str(tmp_path / "asked"))), spark.read.parquet(str(tmp_path / "names")))
+    result = {r["text"]: r["enterpriseNumber"] for r in found.collect() if r["enterpriseNumber"]}
+    assert result == {f"{i:05d} g": f"{i:06d}" for i in range(300)}
+    assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_without_a_company_are_not_dealt_to_one_task(spark, rows, tables):
+    asked = rows("country string, vat string", *[("NL", str(i)) for i in range(400)], ("BE", "123456789"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = lookup.lookup_vats(asked, tables)
+        held = [n for n in found.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(held) > 1 and sum(held) == 401 and max(held) < 300
+    assert [c for c in found.columns[:4]] == ["enterpriseNumber", "country", "vat", "name"]
+
+
+def test_the_number_of_tasks_grows_with_the_input(spark, tmp_path):
+    spark.range(200_000).write.parquet(str(tmp_path / "stored"))
+    stored = spark.read.parquet(str(tmp_path / "stored"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert task_count(stored, 1 << 40) == least < task_count(stored, 10_000)
+    assert dealt(stored, "id", tasks=7).filter("id < 3").count() == 3
+    # A source of unknown size.
+    assert task_count(spark.createDataFrame([(1,)], "id long"), 1) == least
+
+
 def test_the_index_reads_only_postings_of_asked_pieces(spark, rows, tmp_path):
     index = str(tmp_path)
     names = [(f"Company {i:05d} Gent", f"{i:06d}") for i in range(2000)] + [("ÉCLAIR Zürich İ", "9")]
@@ -137,3 +171,20 @@ def test_an_empty_index(spark, rows, tmp_path):
     name_index.write_index(rows(NAMES), str(tmp_path))
     asked = asked_texts(rows("name string", ("abcd",), ("ab",)))
     assert {tuple(r) for r in name_index.resolve(asked, str(tmp_path)).collect()} == {("abcd", None), ("ab", None)}
+
+
+def test_a_larger_index_is_built_by_more_tasks(spark, rows, tmp_path, monkeypatch):
+    """A piece that every name holds is written by several tasks, each with its own names."""
+    names = [(f"Company {i:05d}", f"{i:06d}") for i in range(3000)]
+    rows(NAMES, *names).write.parquet(str(tmp_path / "names"))
+    monkeypatch.setattr(name_index, "NAME_BYTES", 50)
+    index = str(tmp_path / "index")
+    name_index.write_index(spark.read.parquet(str(tmp_path / "names")), index)
+    held = name_index.postings(spark, index).filter("gram = 'omp'")
+    from pyspark.sql import functions as F
+
+    assert held.count() == 3000 and held.select(F.input_file_name()).distinct().count() > 4
+    twice = name_index.postings(spark, index).filter("gram = '000' and text = 'company 00000'").collect()
+    assert [r["ats"] for r in twice] == [[9, 10, 11]]
+    asked = asked_texts(rows("name string", ("pany 00017",)))
+    assert [r["enterpriseNumber"] for r in name_index.resolve(asked, index).collect()] == ["000017"]
