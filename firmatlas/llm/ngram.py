@@ -7,8 +7,8 @@ to one over all words and an unknown one, whatever the context, and the first to
 Neither counts nor texts meet in one place. Texts are cut into chunks, and each chunk is written once as
 its distinct words and its tokens. Chunks send their distinct words, and their distinct bigrams, with
 training counts to shards; a shard adds the counts up and answers each chunk. Shards of bigrams keep the
-counts as a trie (``eliasfano``) with two-byte codes in memory-mapped levels: what occurs in training only
-is read at its own place, and what texts outside training ask for is found by successor search. Then each
+counts as a trie (``eliasfano``) with two-byte codes in memory-mapped levels, and every bigram that a chunk
+asks for, of a training text or not, is found in it by successor search within its context. Then each
 chunk meets its answers and scores its texts. The number of shards grows with the number of tokens, so a
 shard holds about ``PER_SHARD`` entries; a word or bigram is one entry per chunk, however frequent it is,
 and the successors of a context are dealt over more shards the more shards there are.
@@ -180,12 +180,11 @@ def _asked(shards: int):
                 yield _record([(chunk, 1, int(s), 0, pack(gaps(distinct[part]), n[part]))])
             keys, inverse, order, edge = _distinct_bigrams(length, distinct, index, shards)
             n = np.bincount(inverse, weights=weight, minlength=len(keys)).astype(np.uint32)
-            asked = np.bincount(inverse, weights=~weight, minlength=len(keys)) > 0
             for s in np.flatnonzero(edge[1:] > edge[:-1]):
                 part = order[edge[s] : edge[s + 1]]
                 own = keys[part]
                 context, first, run_length = np.unique(own >> np.uint64(32), return_index=True, return_counts=True)
-                yield _record([(chunk, 2, int(s), 0, pack(gaps(context.astype(np.uint32)), run_length.astype(np.uint32), own.astype(np.uint32), n[part], asked[part]))])
+                yield _record([(chunk, 2, int(s), 0, pack(gaps(context.astype(np.uint32)), run_length.astype(np.uint32), own.astype(np.uint32), n[part]))])
 
     return run
 
@@ -204,7 +203,7 @@ def _answers(table: pa.Table) -> pa.Table:
         sizes = [len(b[0]) for b in bodies]
     else:
         keys = np.concatenate([(np.repeat(risen(b[0]), b[1]).astype(np.uint64) << np.uint64(32)) | b[2] for b in bodies])
-        counts, asked = np.concatenate([b[3] for b in bodies]), np.concatenate([b[4] for b in bodies])
+        counts = np.concatenate([b[3] for b in bodies])
         sizes = [len(b[2]) for b in bodies]
     distinct, inverse = np.unique(keys, return_inverse=True)
     total = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)
@@ -215,11 +214,7 @@ def _answers(table: pa.Table) -> pa.Table:
     else:
         own = total > 0
         trie = Trie(distinct[own] >> np.uint64(32), distinct[own] & np.uint64(0xFFFFFFFF), total[own])
-        codes = np.zeros(len(distinct), np.uint16)
-        codes[own] = trie.codes
-        searched = np.zeros(len(distinct), bool)
-        searched[inverse[asked]] = True
-        codes[searched] = trie.lookup(distinct[searched] >> np.uint64(32), distinct[searched] & np.uint64(0xFFFFFFFF))
+        codes = trie.lookup(distinct >> np.uint64(32), distinct & np.uint64(0xFFFFFFFF))
         answer = codes[inverse]
     rows, at = [], 0
     for chunk, size in zip(chunks, sizes):

@@ -102,6 +102,18 @@ def test_large_counts_of_many_chunks(asked):
     assert back == pytest.approx([12e9] * 3, rel=0.045)
 
 
+def test_training_pairs_are_found_by_successor_search(monkeypatch):
+    # All of the pairs come from training texts; each is looked up in the trie, and none is read by its place.
+    looked = []
+    own = Trie.lookup
+    monkeypatch.setattr(Trie, "lookup", lambda self, context, word: looked.extend(zip(context.tolist(), word.tolist())) or own(self, context, word))
+    body = ngram.pack(np.array([5, 1], np.uint32), np.array([2, 1], np.uint32), np.array([7, 9, 2], np.uint32), np.array([3, 0, 200], np.uint32))
+    got = ngram._answers(ngram.pa.Table.from_batches([ngram._record([(chunk, 2, 0, 0, body)]) for chunk in range(2)]))
+    assert sorted(looked) == [(5, 7), (5, 9), (6, 2)]
+    for packed in got.column("body").to_pylist():
+        assert counted(ngram.unpack(packed)[0]) == pytest.approx([6, 0, 400], rel=0.045)
+
+
 def test_pack():
     arrays = [np.arange(5, dtype=np.uint32), np.zeros(0, np.int64), np.array([True, False]), np.array([2**63], np.uint64)]
     back = ngram.unpack(ngram.pack(*arrays))
