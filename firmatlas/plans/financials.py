@@ -13,6 +13,7 @@ from firmatlas.operators.filings import (
     recent_filings,
     requested_filings,
 )
+from firmatlas.operators.keyed import dealt
 from firmatlas.operators.rubrics import ALL_MEASURES, filing_measures
 from firmatlas.operators.text_rubrics import text_rubrics
 
@@ -66,7 +67,7 @@ def company_history(
     offered = F.coalesce(
         F.nullif("enterpriseName", F.lit("")), F.nullif(payload_name, F.lit(""))
     )
-    return (
+    whole = (
         rows.withColumn("error", error)
         .select(
             COMPANY,
@@ -78,9 +79,8 @@ def company_history(
             "depositDate",
             "error",
         )
-        .withColumn("enterpriseName", _newest("offered", ignore_nulls=True))
-        .drop("offered")
     )
+    return dealt(whole, COMPANY).withColumn("enterpriseName", _newest("offered", ignore_nulls=True)).drop("offered")
 
 
 def _newest(column: str, ignore_nulls: bool = False) -> Column:
@@ -114,7 +114,7 @@ def published_financials(
     """
     if companies is not None:
         deposits = deposits.join(companies.select(COMPANY).distinct(), COMPANY, "left_semi")
-    selected = requested_filings(deposits, years)
+    selected = dealt(requested_filings(deposits, years), COMPANY)
     selected = selected.withColumn("isText", is_text_filing()).withColumn(
         "enterpriseName", _newest("enterpriseName")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from firmatlas.operators.keyed import dealt
 from firmatlas.operators.rubrics import ALL_MEASURES, filing_measures
 
 KEY, BATCH = "filing_id", "batch"
@@ -58,7 +59,9 @@ def update(spark: SparkSession, folder: str) -> list[str]:
     """Add the measures of new batches; returns their names."""
     batches = new_batches(spark, folder)
     for batch in batches:
-        found = filing_measures(new_lines(spark, folder, [batch]).drop(BATCH), [KEY])
+        # Dealt first: a filing's measures take some KB while they are gathered, in every task that meets it.
+        lines = new_lines(spark, folder, [batch]).drop(BATCH)
+        found = filing_measures(dealt(lines, KEY), [KEY])
         found.write.mode("overwrite").parquet(f"{folder}/{MEASURES}/{BATCH}={batch}")
         mark, files = _folder(spark, f"{folder}/{DONE}/{BATCH}={batch}")
         files.mkdirs(mark)
@@ -74,4 +77,5 @@ def measures(spark: SparkSession, folder: str) -> DataFrame:
     paths = [f"{folder}/{MEASURES}/{BATCH}={b}" for b in done]
     rows = spark.read.option("basePath", f"{folder}/{MEASURES}").parquet(*paths).withColumn(BATCH, F.col(BATCH).cast("string"))
     newest = F.max_by(F.struct("lineCount", *ALL_MEASURES), BATCH).alias("newest")
-    return rows.groupBy(KEY).agg(newest).select(KEY, "newest.*")
+    # A filing has one row in each of its batches, so little would be saved by grouping before the shuffle.
+    return dealt(rows, KEY).groupBy(KEY).agg(newest).select(KEY, "newest.*")

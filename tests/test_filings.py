@@ -281,3 +281,23 @@ def test_measures_are_stored_by_batch(spark, rows, tmp_path):
     assert measure_store.measures(spark, folder).count() == 3
     with pytest.raises(ValueError):
         measure_store.land(rows(schema), folder, "a/b")
+
+
+def test_measures_of_a_larger_store_take_more_tasks(spark, rows, tmp_path, monkeypatch):
+    """A filing's measures are wide, so their number in a task must not grow with the lines that landed."""
+    from firmatlas.operators import keyed
+
+    folder = str(tmp_path)
+    lines = [(i, code, str(i), "N", 1) for i in range(600) for code in ("70", "9904")]
+    measure_store.land(rows("filing_id long, code string, value string, period string, pos int", *lines), folder, "2024-01")
+    monkeypatch.setattr(keyed, "task_count", lambda df: 11)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        measure_store.update(spark, folder)
+        found = measure_store.measures(spark, folder)
+        assert found.rdd.getNumPartitions() == 11
+        stored = spark.read.parquet(f"{folder}/measures/batch=2024-01")
+        assert len(stored.inputFiles()) == 11 and stored.filter("revenue = filing_id and netResult = filing_id").count() == 600
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert found.count() == 600
