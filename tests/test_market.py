@@ -2,7 +2,7 @@ import itertools
 
 import pytest
 
-from firmatlas.plans import market
+from firmatlas.plans import code_bitmaps, market
 from firmatlas.sources.snapshots import write_catalog
 
 ACTIVITY = "entityNumber string, naceVersion string, naceCode string, classification string, enterpriseId string, establishmentId string"
@@ -189,3 +189,15 @@ def test_catalog_search_reads_one_version(spark, rows, tmp_path):
     found = market.search_nace(stored, "2025", "1")
     assert [r["description"] for r in found.collect()] == ["b"]
     assert "PartitionFilters: [isnotnull(version" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bitmaps_of_short_prefixes_and_rows_of_longer_ones(spark, tables, tmp_path):
+    path = str(tmp_path / "bitmaps")
+    tables = {**tables, "Establishment": tables["Establishment"].filter("enterpriseNumber IS NOT NULL")}
+    code_bitmaps.write_bitmaps(tables, path)
+    for asked in [("6",), ("62", "2008"), (" 620", None, "SECO"), ("6201", "2008", "MAIN"), ("6_", "2008"), ("6_%",), ("x",), (" ",)]:
+        found = values(code_bitmaps.postal_counts(spark, path, *asked), "postalCode", "enterpriseCount")
+        assert found == values(market.postal_counts(tables, *asked), "postalCode", "enterpriseCount"), asked
+    # A bitmap of 4 KB for every code and 32,768 companies would grow with their product.
+    assert {len(r["prefix"]) for r in spark.read.parquet(f"{path}/prefixes").collect()} == {1, 2}
+    assert not [f.name for f in spark.read.parquet(f"{path}/rows").schema if f.dataType.typeName() == "binary"]
