@@ -293,7 +293,8 @@ def insurer_texts(views: TestViews) -> DataFrame:
         signed = f"if((o_orderkey + {i}) % 4 = 0, concat('( ', {amount}, ' )'), {amount})"
         gap = f"element_at(array(' ', '\\n', '\\n{10 + i}\\n', ' (toel. {i})\\n\\n'), cast((o_orderkey + {i}) % 4 + 1 as int))"
         parts.append(f"if(o_custkey % 2 = 0, '{dutch}', '{french}'), {gap}, {signed}, '\\n'")
-    return views.table("orders").where("o_orderstatus <> 'O'").selectExpr("o_orderkey as filing_id", f"concat({', '.join(parts)}) as text")
+    orders = views.texts_dealt(views.table("orders").where("o_orderstatus <> 'O'"))
+    return orders.selectExpr("o_orderkey as filing_id", f"concat({', '.join(parts)}) as text")
 
 
 def insurer_measures(spark: SparkSession, folder: str) -> DataFrame:

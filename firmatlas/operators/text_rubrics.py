@@ -44,7 +44,8 @@ def _label_pattern(text: str) -> str:
     return "(?iu)" + _pattern(text)
 
 
-ANY_LABEL = "|".join(f"(?:{_label_pattern(p)})" for p in INSURER_LABELS.values())
+# Begins with its anchor, so that a line without a label is not searched at each of its characters.
+ANY_LABEL = "(?iu)^(?:" + "|".join(f"(?:{_pattern(p.removeprefix('^'))})" for p in INSURER_LABELS.values()) + ")"
 
 
 def with_lines(texts: DataFrame) -> DataFrame:
@@ -93,18 +94,24 @@ def insurer_rubrics(lines: DataFrame) -> DataFrame:
                 "reach",
                 lambda x: F.struct(
                     F.get(x, F.lit(0)).alias("line"),
-                    F.get(F.filter(F.transform(x, trailing_amount), lambda a: a != ""), F.lit(0)).alias(
-                        "value"
-                    ),
+                    # Lines after the first amount are not looked at.
+                    F.aggregate(
+                        x, F.lit(""), lambda found, line: F.when(found != "", found).otherwise(trailing_amount(line))
+                    ).alias("value"),
                 ),
             ),
-            lambda r: r["value"].isNotNull(),
+            lambda r: r["value"] != "",
         ),
     )
 
     def first(code: str, pattern: str) -> Column:
-        own = F.filter("priced", lambda r: r["line"].rlike(_label_pattern(pattern)))
-        return F.struct(F.lit(code).alias("code"), F.get(own, F.lit(0))["value"].alias("value"))
+        # Lines after the first one of a label are not matched again.
+        value = F.aggregate(
+            "priced",
+            F.lit(None).cast("string"),
+            lambda found, r: F.when(found.isNull() & r["line"].rlike(_label_pattern(pattern)), r["value"]).otherwise(found),
+        )
+        return F.struct(F.lit(code).alias("code"), value.alias("value"))
 
     amounts = F.array(*[first(code, p) for code, p in INSURER_LABELS.items()])
     none = F.array().cast("array<struct<code:string,value:string>>")

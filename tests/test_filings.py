@@ -2,11 +2,13 @@ import json
 
 import pytest
 
+from firmatlas.checks.filings import insurer_texts
 from firmatlas.operators.filings import latest_per_year, recent_filings, requested_filings, requested_years
 from firmatlas.operators.rubrics import filing_measures
 from firmatlas.operators.text_rubrics import INSURER_LABELS, text_rubrics
 from firmatlas.plans import measure_store
 from firmatlas.plans.financials import company_history, published_financials
+from firmatlas.sources import testviews
 from firmatlas.sources.csv_files import EXPORT_NAME, EXPORT_REFERENCE, read_rubric_exports
 from firmatlas.sources.payloads import (
     accounting_rubrics,
@@ -301,3 +303,19 @@ def test_measures_of_a_larger_store_take_more_tasks(spark, rows, tmp_path, monke
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert found.count() == 600
+
+
+def test_texts_are_dealt_in_tasks_that_grow_with_the_orders(spark, rows, tmp_path, monkeypatch):
+    orders = rows("o_orderkey long, o_custkey long, o_orderstatus string", *[(i, i % 7, "F") for i in range(50)])
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(testviews, "PARSE_BYTES", 100)
+    found = filing_measures(text_rubrics(insurer_texts(testviews.TestViews(spark, str(tmp_path)))), ["filing_id"])
+    # No second shuffle, of measures, behind the parser; and more tasks than the one file has splits.
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert found.rdd.getNumPartitions() > 8 and found.count() == 50
+    assert found.filter("equity is null or netResult is null or insuranceReceivables is null").count() == 0
+
+
+def test_first_label_with_an_amount_counts(rubrics_of):
+    text = "C. Beleggingen\nnote\n1.234\n5.678\nC. Placements 9.999\nA. Eigen vermogen\nx A. Eigen vermogen 7.777"
+    assert rubrics_of(text) == [("INS_EQUITY", "7777"), ("INS_INVESTMENTS", "1234")]
