@@ -130,7 +130,8 @@ def stored_report_runs(spark: SparkSession, folder: str) -> DataFrame:
     moments = iter(datetime.datetime(2024, 5, 6) + datetime.timedelta(minutes=i) for i in range(1000))
     wide, narrow = (Selection(PREFIX, VERSION, "", YEARS, options) for options in (OPTIONS, ["revenue"]))
     dropped = Selection(PREFIX, VERSION, "", YEARS[:1], ["equity"])
-    companies, published, listed = _companies(views), _published(views), _listed(views)
+    sources = _companies(views), _published(views), _listed(views)
+    companies, published, listed = report_store.keep_sources(work_folder(spark, "report-sources"), *sources)
     for run_id, selection in (("wide", wide), ("narrow", wide), ("dropped", dropped), ("narrow", narrow)):
         report_store.run_report(spark, store, run_id, companies, published, listed, selection, lambda: next(moments))
     report_store.reset_selection(spark, store, dropped)

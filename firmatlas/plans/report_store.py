@@ -125,6 +125,19 @@ def upsert_rows(spark: SparkSession, rows: DataFrame, folder: str) -> None:
     write_headers(headers, folder, F.lit(attempt))
 
 
+def keep_sources(folder: str, companies: DataFrame, financials: DataFrame, listed: DataFrame) -> list[DataFrame]:
+    """The three inputs of ``run_report``, written once for all runs that read them.
+
+    A run counts its companies for each of its headers, so inputs that are not stored are computed some five times
+    in every run.
+    """
+    kept = []
+    for name, df in (("companies", companies), ("financials", financials), ("listed", listed)):
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        kept.append(df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}"))
+    return kept
+
+
 def run_report(
     spark: SparkSession,
     folder: str,

@@ -298,3 +298,10 @@ def test_rows_of_runs_with_other_fields_unite(companies, years, listed):
     both = stored_reports.save_rows(*parts)
     assert both.count() == sum(p.count() for p in parts)
     assert {"revenue", "equity"} <= set(stored_reports.data_fields(both))
+
+
+def test_inputs_of_runs_are_computed_once(spark, companies, years, listed, tmp_path):
+    kept = report_store.keep_sources(str(tmp_path / "sources"), companies, years, listed)
+    for df, own in zip(kept, (companies, years, listed)):
+        assert df.schema.fieldNames() == own.schema.fieldNames() and sorted(map(str, df.collect())) == sorted(map(str, own.collect()))
+        assert df._jdf.queryExecution().analyzed().collectLeaves().size() == 1 and df.inputFiles()
