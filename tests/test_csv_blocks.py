@@ -145,3 +145,12 @@ def test_empty_files_give_no_rows(spark, tmp_path):
     assert read_extract(spark, str(tmp_path / "meta.csv"), "Meta").collect() == []
     (tmp_path / "meta.csv").write_text(HEADER)
     assert read_extract(spark, str(tmp_path / "meta.csv"), "Meta").collect() == []
+
+
+def test_blocks_with_line_breaks_are_not_shuffled(spark, tmp_path):
+    """Rows over several lines are joined by the task that reads their block."""
+    path = tmp_path / "meta.csv"
+    path.write_text(f"{HEADER}\n" + "".join(f'k{i},"v\n{i}"\n' for i in range(100)))
+    rows = read_extract(spark, str(path), "Meta")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and in_blocks(spark, str(path)) == in_one_task(spark, str(path))
