@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from firmatlas.sources.csv_blocks import _bare
 from firmatlas.sources.csv_files import FILE_ORDER, ragged_rows, read_extract, text_schema
 
 HEADER = "Variable,Value"
@@ -154,3 +155,12 @@ def test_blocks_with_line_breaks_are_not_shuffled(spark, tmp_path):
     rows = read_extract(spark, str(path), "Meta")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and in_blocks(spark, str(path)) == in_one_task(spark, str(path))
+
+
+def test_marks_are_taken_off_as_the_patterns_do(spark):
+    """Lines without a carriage return or byte order mark are spared the patterns."""
+    values = ["a", "", "a\r", "a\r\r", "a\rb", "﻿a", "a﻿", "﻿a\r", "\r", "a\r "]
+    line = F.col("value")
+    always = F.regexp_replace(F.regexp_replace(line, "^﻿", ""), "\r$", "")
+    rows = spark.createDataFrame([(v,) for v in values], "value string").select(_bare(line).alias("found"), always.alias("want"))
+    assert all(r["found"] == r["want"] for r in rows.collect())
