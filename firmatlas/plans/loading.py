@@ -14,7 +14,7 @@ from firmatlas.operators.keyed import KEEP, REPLACE, merge_rows
 from firmatlas.operators.staging import stage_table
 from firmatlas.schemas import TABLES
 from firmatlas.sources.csv_files import read_extract
-from firmatlas.sources.snapshots import empty_table, read_snapshot, write_table
+from firmatlas.sources.snapshots import copy_table, empty_table, read_snapshot, write_table
 
 
 #: Tables whose jobs are given to Spark at the same time.
@@ -103,7 +103,7 @@ def load_missing(
         if table in incomplete:
             load_table(spark, table, f"{csv_folder}/{TABLES[table].file}", target, load_time, current, upsert)
         else:
-            write_table(read_snapshot(spark, current, [table])[table], target, table)
+            copy_table(spark, current, target, table)
 
     each_table(load)
     return incomplete

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from firmatlas.schemas import TABLES
 
 TIMESTAMP_COLUMNS = {"startDate", "dateStrikingOff"}
+ACTIVITY_ORDER = ["naceVersion", "naceCode", "entityNumber"]
 
 
 def table_schema(name: str) -> T.StructType:
@@ -27,7 +28,9 @@ def table_schema(name: str) -> T.StructType:
 
 
 def empty_table(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame([], table_schema(name))
+    """No rows, known as such when a plan is made, so that a merge into it costs no join."""
+    nothing = spark.range(1).filter(F.lit(False))
+    return nothing.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in table_schema(name)])
 
 
 def read_snapshot(spark: SparkSession, folder: str, names: Iterable[str] = TABLES) -> dict[str, DataFrame]:
@@ -41,13 +44,23 @@ def _layout(df: DataFrame, name: str) -> DataFrame:
     touches few row groups. Range partitions over version, code and number also split a
     version or a single code that holds much of the data."""
     if name == "Activity":
-        order = ["naceVersion", "naceCode", "entityNumber"]
-        return df.repartitionByRange(*order).sortWithinPartitions(*order)
+        return df.repartitionByRange(*ACTIVITY_ORDER).sortWithinPartitions(*ACTIVITY_ORDER)
     return df
 
 
 def write_table(df: DataFrame, folder: str, name: str) -> None:
-    writer = _layout(df.select(*TABLES[name].columns), name).write.mode("overwrite")
+    _write(_layout(df.select(*TABLES[name].columns), name), folder, name)
+
+
+def copy_table(spark: SparkSession, source: str, folder: str, name: str) -> None:
+    """A table of the snapshot ``source`` as it is. Its rows lie in ranges already, so they are sorted by the
+    tasks that read them and not shuffled."""
+    df = read_snapshot(spark, source, [name])[name]
+    _write(df.sortWithinPartitions(*ACTIVITY_ORDER) if name == "Activity" else df, folder, name)
+
+
+def _write(df: DataFrame, folder: str, name: str) -> None:
+    writer = df.write.mode("overwrite")
     if name == "Activity":
         writer = writer.partitionBy("naceVersion")
     writer.parquet(f"{folder}/{name}")

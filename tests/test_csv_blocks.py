@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from firmatlas.sources.csv_blocks import _bare
+from firmatlas.sources.csv_blocks import _bare, _misplaced
 from firmatlas.sources.csv_files import FILE_ORDER, ragged_rows, read_extract, text_schema
 
 HEADER = "Variable,Value"
@@ -164,3 +164,17 @@ def test_marks_are_taken_off_as_the_patterns_do(spark):
     always = F.regexp_replace(F.regexp_replace(line, "^﻿", ""), "\r$", "")
     rows = spark.createDataFrame([(v,) for v in values], "value string").select(_bare(line).alias("found"), always.alias("want"))
     assert all(r["found"] == r["want"] for r in rows.collect())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quotes_are_checked_in_generated_code(spark, tmp_path):
+    texts = {'a,"b"': 0, '"a","b"': 0, '"a,""b"","': 0, '""': 0, ',"",': 0, 'a""b': 0, '"a\nb",c': 0, 'a"b",c': 1, '"a"b,c': 1, '"a': 1, 'a"': 1, '"a" ,b': 1, '"a","b"c': 1}
+    rows = spark.createDataFrame(list(texts.items()), "value string, want int")
+    found = {r["value"]: int(r["found"]) for r in rows.select("value", _misplaced(F.col("value")).alias("found")).collect()}
+    assert found == texts
+    (tmp_path / "a.csv").write_text(f'{HEADER}\nk,"v"\n')
+    # All steps from the file to the fields are one generated step.
+    assert "lambda" not in plan_of(read_extract(spark, str(tmp_path), "Meta"))

@@ -6,11 +6,11 @@ from firmatlas.operators.audit import orphan_check, orphan_check_filtered, split
 from firmatlas.operators.keyed import dedupe_first, merge_rows
 from firmatlas.operators.staging import stage_table
 from firmatlas.plans import digests
-from firmatlas.plans.loading import audit_snapshot, load_all, load_missing, load_table
+from firmatlas.plans.loading import audit_snapshot, load_all, load_missing, load_table, merged_table
 from firmatlas.schemas import TABLES, Relation
 from firmatlas.sources.buckets import batches, expire, merge_into, read_table, state
 from firmatlas.sources.csv_files import ragged_rows, read_extract
-from firmatlas.sources.snapshots import read_snapshot, write_bucketed
+from firmatlas.sources.snapshots import copy_table, empty_table, read_snapshot, table_schema, write_bucketed, write_table
 from firmatlas.streaming.deliveries import last_batch, start_deliveries
 
 NOW = datetime.datetime(2024, 5, 6, 7, 8, 9)
@@ -196,6 +196,28 @@ def test_unchanged_extracts_are_audited_without_their_keys(spark, folder, tmp_pa
     assert all(found[t][c] == want[t][c] for t in TABLES for c in ("expected", "loaded", "status", "incomplete"))
 
 
+def test_merging_into_an_empty_table_joins_nothing(spark, rows):
+    raw = rows("Id string, StartDate string, EnterpriseNumber string", ("9.000.006.626", "01-11-1974", "0200.065.765"))
+    for upsert in (False, True):
+        merged = merged_table(empty_table(spark, "Branch"), raw, "Branch", NOW, upsert)
+        assert "Join" not in merged._jdf.queryExecution().optimizedPlan().toString() and merged.count() == 1
+    assert empty_table(spark, "Branch").schema == table_schema("Branch")
+
+
+def test_tables_are_copied_without_a_shuffle(spark, tmp_path):
+    first, second = str(tmp_path / "first"), str(tmp_path / "second")
+    given = [(f"{i % 90:04}", "001", ("2003", "2008")[i % 2], f"{i * 7919 % 997:05}", "MAIN", None, None) for i in range(2000)]
+    write_table(spark.createDataFrame(given, table_schema("Activity")), first, "Activity")
+    shuffled = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    copy_table(spark, first, second, "Activity")
+    assert spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size() <= shuffled
+    found = read_snapshot(spark, second, ["Activity"])["Activity"].select(*TABLES["Activity"].columns)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(given, key=str)
+    for path in (tmp_path / "second" / "Activity").glob("*/*.parquet"):
+        order = [(r["naceCode"], r["entityNumber"]) for r in spark.read.parquet(str(path)).collect()]
+        assert order == sorted(order)
+
+
 def test_upsert_replaces_and_plain_load_keeps(spark, folder, tmp_path):
     base, kept, replaced = (str(tmp_path / n) for n in ("base", "kept", "replaced"))
     load_table(spark, "Establishment", f"{folder}/establishment.csv", base, NOW)
