@@ -22,11 +22,13 @@ SUMS = ("rows", "low", "high")
 DIGEST_SCHEMA = "bucket int, rows long, low long, high long, keys long"
 
 
+def _hashed(rows: DataFrame, table: str) -> DataFrame:
+    hashed = F.xxhash64(*(F.coalesce(c, F.lit("\0")) for c in TABLES[table].source_key))
+    return rows.withColumn("hash", hashed).withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)).cast("int"))
+
+
 def _keys(raw: DataFrame, table: str) -> DataFrame:
-    spec = TABLES[table]
-    hashed = F.xxhash64(*(F.coalesce(c, F.lit("\0")) for c in spec.source_key))
-    rows = raw.filter(source_filter(table)).select(*spec.source_key, hashed.alias("hash"))
-    return rows.withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)).cast("int"))
+    return _hashed(raw.filter(source_filter(table)).select(*TABLES[table].source_key), table)
 
 
 def source_sums(raw: DataFrame, table: str) -> DataFrame:
@@ -43,6 +45,14 @@ def distinct_keys(raw: DataFrame, table: str, buckets: list[int] | None = None)
     return rows.select("bucket", *TABLES[table].source_key).distinct().groupBy("bucket").agg(F.count("*").alias("keys"))
 
 
+def whole_digest(raw: DataFrame, table: str) -> DataFrame:
+    """``source_sums`` and ``distinct_keys`` of all buckets, by one reading of the extract."""
+    rows = raw.filter(source_filter(table)).groupBy(*TABLES[table].source_key).agg(F.count("*").alias("n"))
+    low, high = F.col("hash").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("hash", 32)
+    sums = [F.sum("n").alias("rows"), F.sum(low * F.col("n")).alias("low"), F.sum(high * F.col("n")).alias("high")]
+    return _hashed(rows, table).groupBy("bucket").agg(*sums, F.count("*").alias("keys"))
+
+
 def _path(snapshot: str, table: str) -> str:
     return f"{snapshot}/digests/{table}"
 
@@ -52,8 +62,7 @@ def keep_digests(spark: SparkSession, csv_folder: str, snapshot: str) -> None:
 
     def keep(table: str) -> None:
         raw = read_extract(spark, f"{csv_folder}/{TABLES[table].file}", table)
-        found = source_sums(raw, table).join(distinct_keys(raw, table), "bucket")
-        found.select("bucket", *SUMS, "keys").coalesce(1).write.mode("overwrite").parquet(_path(snapshot, table))
+        whole_digest(raw, table).coalesce(1).write.mode("overwrite").parquet(_path(snapshot, table))
 
     each_table(keep)
 

@@ -196,6 +196,16 @@ def test_unchanged_extracts_are_audited_without_their_keys(spark, folder, tmp_pa
     assert all(found[t][c] == want[t][c] for t in TABLES for c in ("expected", "loaded", "status", "incomplete"))
 
 
+def test_a_digest_is_made_by_one_reading(rows):
+    raw = rows("EntityNumber string, EntityContact string, ContactType string, Value string", *[(f"e{i % 150}" if i % 7 else None, "ENT" if i % 5 else "BRA", "\0" if i % 2 else None, "v") for i in range(600)])
+    digest = digests.whole_digest(raw, "KBOContact")
+    want = digests.source_sums(raw, "KBOContact").join(digests.distinct_keys(raw, "KBOContact"), "bucket")
+    columns = ["bucket", "rows", "low", "high", "keys"]
+    found = sorted(map(tuple, digest.select(*columns).collect()))
+    assert found == sorted(map(tuple, want.select(*columns).collect())) and len(found) > 40
+    assert digest._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+
+
 def test_merging_into_an_empty_table_joins_nothing(spark, rows):
     raw = rows("Id string, StartDate string, EnterpriseNumber string", ("9.000.006.626", "01-11-1974", "0200.065.765"))
     for upsert in (False, True):
